@@ -14,6 +14,7 @@ columns of the input are ignored, so their names cannot clash; repeated rows giv
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -34,7 +35,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 LETTER, NUMBER, OTHER, SPACE, SPACE_LAST, WHITE, WHITE_LAST, QUOTE1, QUOTE2, GAP = range(10)
 START, IN_WHITE, IN_SPACE, IN_LETTER, IN_NUMBER, IN_OTHER, LEFT2, LEFT1, CLOSED = range(9)
 BLOCK = 512
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 LONG_WORD = 48
 TEXT_CHARS = 1 << 20
 NO_RANK = np.int32(2**31 - 1)
@@ -268,7 +269,6 @@ class Merges:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[(left << 20) | right] = rank
-        self.pairs = pairs
         self.table = HashTable(len(pairs) * 4)
         self.table.add(np.array(list(pairs), dtype=np.uint64) + np.uint64(1), np.arange(len(pairs), dtype=np.int32))
         self.pair_ranks = np.array(list(pairs.values()), dtype=np.int32)
@@ -345,11 +345,10 @@ class Merges:
         ids = self.of_byte[np.frombuffer(word, dtype=np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pairs, gone = self.pairs, [False] * n
-        heap = []
-        for i in range(n - 1):
-            if (r := pairs.get((ids[i] << 20) | ids[i + 1])) is not None:
-                heap.append((r, i, ids[i], ids[i + 1]))
+        ranks, tokens, gone = self.ranks, self.tokens, [False] * n
+        whole = np.array(ids)
+        first = self.rank_of(whole[:-1], whole[1:])
+        heap = [(int(first[i]), i, ids[i], ids[i + 1]) for i in np.flatnonzero(first != NO_RANK).tolist()]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -361,7 +360,7 @@ class Merges:
             if after[j] < n:
                 before[after[j]] = i
             for x in (before[i], i):
-                if x >= 0 and (y := after[x]) < n and (r := pairs.get((ids[x] << 20) | ids[y])) is not None:
+                if x >= 0 and (y := after[x]) < n and (r := ranks.get(tokens[ids[x]] + tokens[ids[y]])) is not None:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return np.array([ids[i] for i in range(n) if not gone[i]], dtype="<u4").tobytes()
 
@@ -441,8 +440,8 @@ def merges(path: str) -> Merges:
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     tool = merges(path)
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            part = batch.slice(low, 512)
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
             ids = tool.encode([t or "" for t in part.column(1).to_pylist()])
             offsets = [tool.offsets(np.frombuffer(x, dtype="<u4")).astype("<u4").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())], names=["doc_id", "ids", "offsets"])
@@ -470,7 +469,17 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids", "offsets").mapInArrow(lambda batches: _decode_batches(batches, ranks_path), "doc_id long, ids binary, decoded binary")
 
 
+def _digest_batches(decoded: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in decoded:
+        ids, raw = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        digests = [pa.array([hashlib.sha256(x).hexdigest() for x in side]) for side in (ids, raw)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """Digests of the encoded and the decoded documents."""
-    both = decode_documents(encode_documents(docs, ranks_path), ranks_path)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Digests of the encoded and the decoded documents. Encoding, decoding and digests run one
+    after another in one Python worker, some hundred documents at a time, so ids never travel."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        lambda batches: _digest_batches(_decode_batches(_encode_batches(batches, ranks_path), ranks_path)),
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+    )
