@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, chat, packing, secrets, simhash, topk, url_rules
+from newsloom.llm import bpe, chat, packing, quality, secrets, simhash, topk, url_rules
 from newsloom.llm.support import table
 
 
@@ -24,6 +24,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, action string"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_edits(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op10_secret_scan": op10_secret_scan,
     "op3_url_rules": op3_url_rules,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_exact_topk": op7_exact_topk,
     "op9_chat_format": op9_chat_format,

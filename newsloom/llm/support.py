@@ -37,11 +37,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(df: DataFrame, column: str, target_bytes: int, least: int = 1) -> int:
-    """How many partitions hold about ``target_bytes`` of a text column each (one aggregate
-    over that column; a number goes to the driver)."""
-    total = df.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0
-    return max(least, math.ceil(total / target_bytes))
+def block_count(df: DataFrame, block_bytes: int = 16 << 20) -> int:
+    """Blocks of about ``block_bytes`` of a frame's input: its partitions, cut further where the session
+    makes large ones. Planning only; no job runs."""
+    size = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.rdd.getNumPartitions() * max(1, math.ceil(size / block_bytes))
 
 
 def text_or_empty(column: str = "text"):
