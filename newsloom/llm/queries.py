@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, chat, packing, quality, secrets, simhash, topk, url_rules
+from newsloom.llm import bpe, chat, jaccard_join, packing, quality, secrets, simhash, topk, url_rules
 from newsloom.llm.support import table
 
 
@@ -24,6 +24,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, action string"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op10_secret_scan": op10_secret_scan,
     "op3_url_rules": op3_url_rules,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_exact_topk": op7_exact_topk,
@@ -78,6 +83,21 @@ ORACLES: dict[str, str] = {
         m AS (SELECT n.i, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
               FROM n JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY n.i)
         SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verdict FROM n LEFT JOIN m USING (i)""",
+    "op4_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+        t AS (SELECT min(doc_id) AS id, ws, count(*) AS n_copies FROM w GROUP BY ws),
+        g AS (SELECT id, unnest(list_distinct(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                     ELSE [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] END)) AS gram FROM t WHERE len(ws) > 0),
+        z AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+        i AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM i JOIN z za ON za.id = a JOIN z zb ON zb.id = b WHERE c * 5 >= 4 * (za.n + zb.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT id, id AS root FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+        k AS (SELECT id, min(root) AS class_id FROM r GROUP BY id),
+        d AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY a)
+        SELECT w.doc_id, t.id AS copy_id, k.class_id, coalesce(d.n_links, 0) AS n_links, t.n_copies
+        FROM w JOIN t ON w.ws = t.ws JOIN k ON k.id = t.id LEFT JOIN d ON d.id = t.id""",
     "op7_exact_topk": """
         WITH v AS (
             SELECT row_number() OVER () AS i, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
