@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, chat, jaccard_join, packing, quality, secrets, simhash, topk, url_rules
+import corpus_pipeline
+from newsloom.llm import bpe, chat, jaccard_join, packing, page_text, quality, secrets, simhash, topk, url_rules
 from newsloom.llm.support import table
 
 
@@ -16,6 +17,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = page_text.extract(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: The rules that the query applies (host, path, action).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -60,6 +66,8 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "pipeline": corpus_pipeline.run,
+    "op2_main_text": op2_main_text,
     "op10_secret_scan": op10_secret_scan,
     "op3_url_rules": op3_url_rules,
     "op4_jaccard_join": op4_jaccard_join,
