@@ -37,8 +37,11 @@ def _pairs(query: Column) -> Column:
 def unwrap(url: Column) -> Column:
     """The target of a redirect kept in a query key (NM4), else the URL."""
     pairs = _pairs(parts(url)["query"])
-    targets = [F.get(F.filter(pairs, lambda p, key=key: p["k"] == key), F.lit(0))["v"] for key in REDIRECT_KEYS]
-    decoded = [F.try_url_decode(t) for t in targets]
+
+    def target(key: str) -> Column:
+        return F.try_url_decode(F.get(F.filter(pairs, lambda p: p["k"] == key), F.lit(0))["v"])
+
+    decoded = [target(key) for key in REDIRECT_KEYS]
     return F.coalesce(*[F.when(d.startswith("http"), d) for d in decoded], url)
 
 

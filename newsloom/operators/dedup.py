@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions import text
 from newsloom.operators.graph import components
@@ -23,13 +24,18 @@ def best_first() -> Column:
     )
 
 
-URL_KEY = F.lower(F.coalesce(F.col("url"), F.lit("")))
-TITLE_KEY = F.when(text.normalize_title(F.col("title")) != "", F.concat_ws("|", text.normalize_title(F.col("title")), F.lower(F.coalesce(F.col("source_domain"), F.lit(""))))).otherwise("")
+def url_key() -> Column:
+    return F.lower(F.coalesce(F.col("url"), F.lit("")))
+
+
+def title_key() -> Column:
+    key = text.normalize_title(F.col("title"))
+    return F.when(key != "", F.concat_ws("|", key, F.lower(F.coalesce(F.col("source_domain"), F.lit(""))))).otherwise("")
 
 
 def collapse(articles: DataFrame, key: Column) -> DataFrame:
     """The best row for each key; rows with a blank key stay. An aggregate, so a hot key is combined
-    where its rows are read (DD2 with URL_KEY, DD3 with TITLE_KEY)."""
+    where its rows are read (DD2 with url_key, DD3 with title_key)."""
     keyed = articles.withColumn("_key", key)
     rows = F.struct(*[F.col(c) for c in articles.columns])
     best = keyed.filter("_key <> ''").groupBy("_key").agg(F.min_by(rows, best_first()).alias("r")).select("r.*")
@@ -73,7 +79,7 @@ def near_pairs(articles: DataFrame, similarity: float = SIMILARITY, days: int =
     return pairs.filter(near).select("a", "b", j.alias("jaccard"), c.alias("containment")).filter(F.col("jaccard") >= bound)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
@@ -95,7 +101,7 @@ def near_duplicates(articles: DataFrame, similarity: float = SIMILARITY, days: i
 
 def deduplicate(articles: DataFrame) -> DataFrame:
     """The passes in order, cheapest first."""
-    return near_duplicates(collapse(collapse(articles, URL_KEY), TITLE_KEY))
+    return near_duplicates(collapse(collapse(articles, url_key()), title_key()))
 
 
 def split_seen(articles: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions import text
 
@@ -119,7 +120,7 @@ def prompts(pairs: DataFrame) -> DataFrame:
 ANSWER = "struct<summary:string,why_it_matters:string,mechanism:string,horizon:string,confidence:string,risks:array<string>,opportunities:array<string>,watch:array<string>,unknowns:array<string>,counter:string>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced_json(texts: pd.Series) -> pd.Series:
     """The first complete object of a chatty text, null if none (TX18)."""
 

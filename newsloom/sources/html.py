@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions import text, urls
 
@@ -44,7 +45,7 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInPandas(_anchors, "page_url string, place int, link string, anchor string").withColumn("anchor", text.clean_text(F.col("anchor")))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _feeds(base: pd.Series, pages: pd.Series) -> pd.Series:
     def found(url, page):
         tags = [t for t in LINK_TAG.findall(page or "") if re.search(r"""rel\s*=\s*["']?alternate""", t, re.I) and re.search(r"application/(?:rss|atom)\+xml", t, re.I)]
@@ -104,7 +105,7 @@ def segment(words: list[str]):
             best.append(min(options, key=len) if options else None)
         return " ".join(best[-1]) if best[-1] else word
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def split(titles: pd.Series) -> pd.Series:
         return titles.map(lambda t: None if t is None else " ".join(cut(w) for w in t.split()))
 
