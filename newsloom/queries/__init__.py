@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.queries import text_queries
+from newsloom.queries import article_queries, text_queries
 
-MODULES = [text_queries]
+MODULES = [text_queries, article_queries]
 
 
 def all_queries() -> dict:
