@@ -5,8 +5,8 @@ words are one class, kept once with its smallest doc_id. Signatures of b bands o
 that a pair at the wanted similarity shares a band with the wanted recall; rows are shuffled on band hashes, and
 only classes in buckets of two or more go on.
 
-Buckets may hold thousands of near copies, so pairs are never listed. Each class takes its largest bucket
-as home; homes are cut into chunks of bounded text; a bucket names the chunks it spans, and each distinct
+Buckets may hold thousands of near copies, so pairs are never listed. Each class takes as home the largest
+bucket that it or a class beside it in some bucket has; homes are cut into chunks of bounded text; a bucket names the chunks it spans, and each distinct
 pair of chunks is a tile. A tile's task holds the full n-gram sets of at most two chunks, counts
 all intersections at once by a matrix product over the n-grams that occur twice there, and returns for
 each class its number of links and a link towards the smallest member of its part of the tile. As a class is in
@@ -214,8 +214,17 @@ def _large_buckets(texts: DataFrame) -> DataFrame:
 
 
 def _chunks(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, chunk): texts of one home go together, as many as a task can hold."""
-    homes = met.groupBy("key").agg(F.max_by("bucket", F.struct("members", "bucket")).alias("home")).join(texts.select("key", "chars"), "key")
+    """(key, chunk): texts of one home go together, as many as a task can hold.
+
+    A text's first home is its largest bucket. Near copies that miss that bucket would make many small homes, each
+    to be compared with the large one; so each bucket then names the largest home of its texts, and each
+    text takes the largest home that its buckets name."""
+    first = met.groupBy("key").agg(F.max_by("bucket", F.struct("members", "bucket")).alias("home"))
+    sized = first.join(first.groupBy("home").agg(F.count("*").alias("size")), "home")
+    named = met.select("key", "bucket").join(sized, "key")
+    best = named.groupBy("bucket").agg(F.max(F.struct("size", "home")).alias("best"))
+    homes = met.select("key", "bucket").join(best, "bucket").groupBy("key").agg(F.max("best").alias("b")).select("key", F.col("b.home").alias("home"))
+    homes = stored(homes.join(texts.select("key", "chars"), "key"))
     cuts = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / CHUNK_TEXTS, F.sum("chars") / CHUNK_CHARS)).alias("cuts"))
     cut = F.pmod(F.xxhash64("key", F.lit(3)), F.col("cuts"))
     return stored(homes.join(cuts, "home").select("key", F.xxhash64("home", cut).alias("chunk")))
