@@ -42,11 +42,12 @@ def unescape(text: str) -> str:
 
 
 def _safe_role(role: str) -> str:
-    return escape(role).replace("\\n", "\\\\n").replace("\n", "\\n") if "\n" in role or "\\n" in role else escape(role)
+    """A role on one line."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
 
 
 def _role_back(text: str) -> str:
-    return unescape(re.sub(r"\\(\\n|n)", lambda m: "\n" if m[1] == "n" else "\\n", text))
+    return re.sub(r"\\(\\|n)", lambda m: "\n" if m[1] == "n" else "\\", unescape(text))
 
 
 def _segments(batches: Iterator[pa.RecordBatch], template: dict) -> Iterator[pa.RecordBatch]:
