@@ -38,8 +38,9 @@ def assess(facts: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def fresh_articles(landed: DataFrame, seen: DataFrame, domains: DataFrame, now, hours: int = 36) -> DataFrame:
-    """Normalised articles of the window, each once, that no earlier run saw."""
-    recent = normalize.lookback(normalize.normalize(landed, domains), now, hours)
+    """Normalised articles of the window, each once, that no earlier run saw. Normalised articles are written, as
+    every pass of de-duplication reads them again."""
+    recent = graph.written(normalize.lookback(normalize.normalize(landed, domains), now, hours))
     return dedup.split_seen(dedup.deduplicate(recent), seen)[0]
 
 
