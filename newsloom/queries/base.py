@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
+from newsloom.operators.sizing import spread
 
 # The type of source that each of the 20 sources stands for.
 TYPES = ["exchange_filing", "regulator", "company_ir", "wire", "financial_press", "financial_press", "financial_press", "financial_press", "newspaper", "newspaper", "newspaper", "newspaper", "trade_publication", "trade_publication", "trade_publication", "trade_publication", "unknown", "unknown", "blog", "social"]
@@ -19,7 +20,8 @@ TERMS = [("COMPETITOR", "Anon"), ("CUSTOMER", "Erer"), ("SUPPLIER", "onhe"), ("C
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
