@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +111,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     n = len(sets)
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
     shared = values[counts > 1]
-    total = np.zeros((n, n), dtype=np.float32)
+    total = np.zeros((n, n), dtype=np.int64)
     owner = np.repeat(np.arange(n), _sizes(sets))
     flat = np.concatenate(sets)
     at = np.searchsorted(shared, flat)
@@ -121,7 +122,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
         inside = (at >= low) & (at < low + MATRIX_COLUMNS)
         there = np.zeros((n, min(MATRIX_COLUMNS, len(shared) - low)), dtype=np.float32)
         there[owner[inside], at[inside] - low] = 1
-        total += there @ there.T
+        total += (there @ there.T).astype(np.int64)  # at most MATRIX_COLUMNS, so whole
     return total
 
 
@@ -129,8 +130,10 @@ def _tile(keys: list[int], sides: list[int], texts: list[str], similarity: float
     """(keys, links of each, smallest key of its part) of the members that have a link."""
     sets = [shingles(t) for t in texts]
     common, sizes = common_counts(sets), _sizes(sets)
-    # |A and B| / |A or B| >= s, in whole numbers where they are exact
-    linked = common * (1 + similarity) + 1e-6 * similarity >= similarity * (sizes[:, None] + sizes[None, :])
+    # |A and B| / |A or B| >= p / q in whole numbers, so that pairs at the threshold are in
+    least = Fraction(str(similarity)).limit_denominator(10**9)
+    p, q = least.numerator, least.denominator
+    linked = common * (p + q) >= p * (sizes[:, None] + sizes[None, :])
     side = np.array(sides)
     linked &= side[:, None] != side[None, :] if side.any() else ~np.eye(len(keys), dtype=bool)
     linked &= common > 0
@@ -233,10 +236,10 @@ def _chunks(met: DataFrame, texts: DataFrame) -> DataFrame:
 def links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(doc_id, text_hash, copy_id, class_id, n_links, n_copies) of every row."""
     rows = signed(docs, similarity, recall)
-    texts = rows.groupBy("key").agg(
-        F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.min_by("text_hash", F.struct("doc_id", "text_hash")).alias("text_hash"), F.max("chars").alias("chars"), F.first("buckets").alias("buckets")
-    )
-    texts = stored(texts)
+    # copy_id and text_hash are of one row, which stands for the class; rows without an id come last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    texts = rows.groupBy("key").agg(first, F.count("*").alias("n_copies"), F.max("chars").alias("chars"), F.first("buckets").alias("buckets"))
+    texts = stored(texts.select("key", F.col("first.doc_id").alias("copy_id"), "n_copies", F.col("first.text_hash").alias("text_hash"), "chars", "buckets"))
     met = _large_buckets(texts)
     chunk_of = _chunks(met, texts)
     spans = met.select("key", "bucket").join(chunk_of, "key").groupBy("bucket", "chunk").agg(F.count("*").alias("n"))

@@ -83,3 +83,27 @@ def test_bands_reach_the_recall():
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     assert {(r["node"], r["root"]) for r in join.components(edges).collect()} == {(k, 0) for k in range(1, 61)} | {(101, 100)}
+
+
+def test_pairs_at_the_threshold_are_linked(spark):
+    """Texts a and b have 4k shingles in common and sizes that sum to 9k; c has one more, so a and c are below. Then
+    two texts of 40 words that differ in the fourth, with 32 of 40 shingles in common."""
+    rows = []
+    for k in (1, 2, 3, 8, 9, 16, 50, 125, 399):
+        left, right = 9 * k // 2, 9 * k - 9 * k // 2
+        shared = [f"s{k}x{j}" for j in range(4 * k + 4)]
+        texts = [shared + [f"{side}{k}x{j}" for j in range(n - 4 * k)] for side, n in (("a", left), ("b", right), ("c", right + 1))]
+        rows += [(len(rows) + j, " ".join(t)) for j, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in join.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert all(got[i][1] >= 1 for i, _ in rows if i % 3 == 1)
+    words = [f"w{j}" for j in range(40)]
+    tied = [(0, " ".join(words)), (1, " ".join([*words[:3], "other", *words[4:]]))]
+    assert {r["n_links"] for r in join.links(spark.createDataFrame(tied, "doc_id long, text string")).collect()} == {1}
+
+
+def test_a_row_without_an_id_does_not_hide_its_copies(spark):
+    words = [f"w{j}" for j in range(60)]
+    rows = [(None, " ".join(words).upper()), (5, "  ".join(words)), (6, " ".join([*words, "more"]))]
+    got = {(r["doc_id"], r["copy_id"], r["class_id"], r["n_links"]) for r in join.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 5, 5, 1), (5, 5, 5, 1), (6, 6, 5, 1)}
