@@ -1,7 +1,7 @@
 """Operator 10 [native]: secret scans with multipart credential linking.
 
 Strong patterns (assignments, access identifiers, long hexadecimal strings) are reported where they
-stand. Weak candidates, which alone mean little, are endpoints, key names and long mixed strings.
+stand. Weak candidates, which alone mean little, are endpoints and long mixed strings.
 Each weak candidate is reported only if a complementary part stands within its scope: parts are
 intervals, dealt by document and by stretches of ``SCOPE`` code points, and joined where they
 lie in one stretch or the next and at most ``SCOPE`` apart. An access identifier or an endpoint
@@ -24,10 +24,10 @@ from newsloom.llm.support import text_or_empty
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of 20 or more in all: the same matches as of AKIA[A-Z0-9]+ cut to those
 HEX = r"[0-9a-f]{24,}"
-# Weak kinds: a host of a service, and a string of 32 to 64 characters of mixed case with digits.
+# Weak kinds: a host of a service, and a whole run of 32 characters or more of mixed case with digits.
 SERVICE = r"(?i)\.(?:amazonaws|azure|googleapis|windows)\.(?:com|net)"
 ENDPOINT = r"(?i)(?:https?://)?[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,8}\.(?:amazonaws|azure|googleapis|windows)\.(?:com|net)"
-MIXED = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,63}[0-9])(?=[A-Za-z0-9+/]{0,63}[a-z])(?=[A-Za-z0-9+/]{0,63}[A-Z])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/])"
+MIXED = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])(?=[A-Z0-9+/]*+[a-z])(?=[a-z0-9+/]*+[A-Z])[A-Za-z0-9+/]{32,}+"
 KINDS = ["assign", "access", "hex", "endpoint", "mixed"]
 #: Which kinds make a weak kind credible.
 COMPLEMENTS = [("mixed", "access"), ("mixed", "endpoint"), ("endpoint", "access"), ("endpoint", "mixed"), ("endpoint", "assign")]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 from newsloom.llm import secrets
 
@@ -60,3 +61,18 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = secrets.digests(secrets.scan(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_mixed_strings_are_read_whole(spark):
+    draw = random.Random(4)
+    alphabet = string.ascii_letters + string.digits + "+/"
+    run = lambda n: "aB3" + "".join(draw.choices(alphabet, k=n - 3))
+    host = "https://account.blob.core.windows.net"
+    sizes = [31, 32, 64, 65, 86, 88, 399, 5000, 200_000]
+    rows = [(n, f"{host} {run(n)}") for n in sizes] + [(-86, f"{host} {run(86)}=="), (-1, f"{host} {'aB' * 60}"), (-2, f"{host} {'z3' * 60}"), (-3, f"{host} {'B3' * 60}"), (-4, run(88))]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digests(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    at = len(host)
+    both = lambda n: f"endpoint:0:{at},mixed:{at + 1}:{at + 1 + n}"
+    assert got == {n: both(n) if n >= 32 else "" for n in sizes} | {-86: both(86), -1: "", -2: "", -3: "", -4: ""}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[88] == "[SECRET] [SECRET]" and clean[-86] == "[SECRET] [SECRET]=="
