@@ -3,8 +3,8 @@
 Strong patterns (assignments, access identifiers, long hexadecimal strings) are reported where they
 stand. Weak candidates, which alone mean little, are endpoints and long mixed strings.
 Each weak candidate is reported only if a complementary part stands within its scope: parts are
-intervals, dealt by document and by stretches of ``SCOPE`` code points, and joined where they
-lie in one stretch or the next and at most ``SCOPE`` apart. An access identifier or an endpoint
+intervals, dealt by document and by the stretches of ``SCOPE`` code points of their ends, and joined where
+they are at most ``SCOPE`` apart. An access identifier or an endpoint
 complements a mixed string; a mixed string or an assignment complements an endpoint. Positions are in
 code points, ends exclusive. Only documents with some part take part in the join.
 
@@ -87,13 +87,16 @@ def linked_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     every = F.concat("weak", _assignments(body), found(body, ACCESS, "access"))
     parts = rows.select("doc_id", "text_hash", F.explode(every).alias("part")).select("doc_id", "text_hash", "part.*").distinct()
     pairs = F.array(*[F.struct(F.lit(KINDS.index(a)).alias("weak_rank"), F.lit(KINDS.index(b)).alias("rank")) for a, b in COMPLEMENTS])
+    # a part that doesn't overlap a weak part ends within reach before it or starts within reach after it, so
+    # a part lies in the stretches of its start and its end, and the weak part looks around its own ends
+    around = lambda low, high: F.sequence(F.floor(low / scope), F.floor(high / scope))
+    before, after = around(F.col("weak_start") - scope, F.col("weak_start")), around(F.col("weak_end"), F.col("weak_end") + scope)
     weak_parts = (
         parts.withColumnsRenamed({"start": "weak_start", "end": "weak_end", "rank": "weak_rank"})
         .filter(F.col("weak_rank").isin(*{KINDS.index(a) for a, _ in COMPLEMENTS}))
-        .withColumn("stretch", F.explode(F.sequence(F.floor((F.col("weak_start") - scope) / scope), F.floor((F.col("weak_end") + scope) / scope))))
+        .withColumn("stretch", F.explode(F.array_union(before, after)))
     )
-    # a part lies in the stretch of its start; the weak part looks in all stretches within reach of it
-    reach = parts.withColumn("stretch", F.floor(F.col("start") / scope))
+    reach = parts.withColumn("stretch", F.explode(F.array_distinct(F.array(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)))))
     near = (F.col("start") <= F.col("weak_end") + scope) & (F.col("end") >= F.col("weak_start") - scope)
     apart = (F.col("end") <= F.col("weak_start")) | (F.col("start") >= F.col("weak_end"))
     fits = F.array_contains(pairs, F.struct("weak_rank", "rank"))

@@ -76,3 +76,15 @@ def test_long_mixed_strings_are_read_whole(spark):
     assert got == {n: both(n) if n >= 32 else "" for n in sizes} | {-86: both(86), -1: "", -2: "", -3: "", -4: ""}
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert clean[88] == "[SECRET] [SECRET]" and clean[-86] == "[SECRET] [SECRET]=="
+
+
+def test_long_parts_are_near_by_their_nearest_end(spark):
+    host = "s3.us-east-1.amazonaws.com"
+    texts = {}
+    for size in (6, 393, 394, 395, 799, 2000, 50_000):
+        for gap in (1, 399, 400, 401):
+            space = " " * gap
+            texts |= {f"before {size} {gap}": f"token={'x' * size}{space}{host}", f"after {size} {gap}": f"{host}{space}token={'x' * size}"}
+    rows = [(k, t) for k, t in enumerate(texts.values())]
+    got = {r["doc_id"]: "endpoint" in r["spans"] for r in secrets.digests(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert {name: got[k] for k, name in enumerate(texts)} == {name: int(name.split()[2]) <= 400 for name in texts}
