@@ -4,11 +4,13 @@ Texts are cut into pre-tokens without a regular expression. Every code point get
 array; each class stands for a transition function of a small automaton, and functions compose
 associatively, so prefixes of the composition are found block by block with array lookups. The
 automaton's state and the class of the next code point tell where a pre-token starts. The slices
-go through a bounded cache of merged pairs; slices that are new are merged together, all words of
-one length at a time. Offsets of tokens in the UTF-8 bytes are kept and used to decode.
+go through a bounded cache of merged pairs, found by a hash and confirmed by their code points; slices
+that are new are merged together, all words of one length at a time. Offsets of tokens in the UTF-8 bytes are kept and used to decode.
 
 Defined results: null text counts as empty; empty text has no ids and decodes to no bytes; other
-columns of the input are ignored, so their names cannot clash; repeated rows give repeated rows.
+columns of the input are ignored, so their names cannot clash; repeated rows give repeated rows; an
+empty table gives no rows. ``encode`` takes every text as ordinary text; ``encode_added`` finds the
+vocabulary file's added tokens in a text first, as that file's library does.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -183,6 +186,32 @@ def read_json(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of a JSON vocabulary: strings that are found in a text as they stand."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in added):
+        raise ValueError("this vocabulary has added tokens that aren't plain strings")
+    return {t["content"]: t["id"] for t in added}
+
+
+class Grown:
+    """An array with room to grow."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.zeros(1024, dtype=kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.room):
+            self.room = np.concatenate([self.values, np.zeros(max(len(self.room), len(more)), self.room.dtype)])
+        self.room[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class HashTable:
     """Numbers found by unsigned 64-bit keys (not 0), many keys at once; open addressing."""
 
@@ -255,10 +284,13 @@ class Merges:
 
     def __init__(self, path: str):
         self.ranks = ranks = read_json(path) if path.endswith(".json") else read_ranks(path)
-        self.size = max(ranks.values()) + 1
+        self.added = read_added(path) if path.endswith(".json") else {}
+        self.size = max([*ranks.values(), *self.added.values()]) + 1
         self.tokens: list[bytes] = [b""] * self.size
-        for token, rank in ranks.items():
+        for token, rank in [*ranks.items(), *((t.encode(), i) for t, i in self.added.items())]:
             self.tokens[rank] = token
+        # the longest of the strings that start at one place is taken
+        self.cut_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.blob = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.blob_start = np.cumsum(self.lengths) - self.lengths
@@ -277,9 +309,8 @@ class Merges:
     def forget(self) -> None:
         """Empties the cache of merged words."""
         self.cache = HashTable(CACHE_ENTRIES * 4)
-        self.pool = np.zeros(0, dtype="<u4")
-        self.pool_starts = np.zeros(0, dtype=np.int64)
-        self.pool_lengths = np.zeros(0, dtype=np.int64)
+        self.ids, self.id_starts, self.id_counts = Grown("<u4"), Grown(np.int64), Grown(np.int64)
+        self.codes, self.code_starts, self.code_counts = Grown("<u4"), Grown(np.int64), Grown(np.int64)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two adjacent tokens make, NO_RANK if they make none."""
@@ -381,42 +412,83 @@ class Merges:
                 yield self._encode(texts[low : high + 1])
                 low, chars = high + 1, 0
 
+    def encode_added(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``encode_parts``, but added tokens inside a text have their own ids, and the texts between
+        them are encoded each for itself."""
+        if self.cut_added is None or not any(map(self.cut_added.search, texts)):
+            yield from self.encode_parts(texts)
+            return
+        for text in texts:
+            between = self.cut_added.split(text)
+            own = [np.array([self.added[t]], "<u4") for t in self.cut_added.findall(text)] + [np.zeros(0, "<u4")]
+            ids = np.concatenate([x for packed, i in zip(self.encode(between), own) for x in (np.frombuffer(packed, "<u4"), i)])
+            yield ids, np.array([len(ids)])
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\0".join(texts) + "\0"
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
         gaps = np.cumsum([len(t) + 1 for t in texts]) - 1
         starts = piece_starts(codes, gaps)
         hashes = piece_hashes(codes, starts)
-        hashes[np.searchsorted(starts, gaps)] = 0  # a gap is a piece of its own, and has no ids
-        if len(self.pool_lengths) > CACHE_ENTRIES or len(self.pool) > 8 * CACHE_ENTRIES:
+        at_gaps = np.searchsorted(starts, gaps)
+        hashes[at_gaps] = 0  # a gap is a piece of its own, and has no ids
+        if max(self.id_counts.size, self.ids.size // 8, self.codes.size // 16) > CACHE_ENTRIES:
             self.forget()
-        if not len(self.pool_lengths):
-            self._remember(np.zeros(0, dtype=np.uint64), [b""])
+        if not self.id_counts.size:
+            self._remember([b""], codes[gaps[:1]], [1])
+        bounds = np.append(starts, len(codes))
+        sizes = np.diff(bounds)
         found = self.cache.find(hashes)
-        found[hashes == 0] = 0
+        found[at_gaps] = 0
         new = np.flatnonzero(found < 0)
         if len(new):
             keys, first, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
-            bounds = np.append(starts, len(codes))
-            at = new[first]
-            words = [joined[a:b].encode() for a, b in zip(bounds[at].tolist(), bounds[at + 1].tolist())]
-            number = len(self.pool_lengths)
-            self._remember(keys, self.merge_words(words))
-            found[new] = number + inverse
-        lengths = self.pool_lengths[found]
+            found[new] = self._learn(joined, codes, bounds, new[first], keys) + inverse
+        other = self._differ(codes, starts, sizes, found)
+        other = other[hashes[other] != 0]
+        if len(other):  # pieces whose hash is another piece's
+            words: dict[str, int] = {}
+            inverse = [words.setdefault(joined[a:b], len(words)) for a, b in zip(bounds[other].tolist(), bounds[other + 1].tolist())]
+            first = np.unique(inverse, return_index=True)[1]
+            found[other] = self._learn(joined, codes, bounds, other[first], None) + np.array(inverse)
+        lengths = self.id_counts.values[found]
         ends = np.cumsum(lengths)
-        ids = self.pool[np.repeat(self.pool_starts[found] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        at = ends[np.searchsorted(starts, gaps)]
+        ids = self.ids.values[np.repeat(self.id_starts.values[found] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        at = ends[at_gaps]
         return ids, np.diff(at, prepend=0)
 
-    def _remember(self, keys: np.ndarray, packed: list[bytes]) -> None:
-        number = len(self.pool_lengths)
-        lengths = np.fromiter((len(x) // 4 for x in packed), dtype=np.int64, count=len(packed))
-        self.pool_starts = np.append(self.pool_starts, len(self.pool) + np.cumsum(lengths) - lengths)
-        self.pool_lengths = np.append(self.pool_lengths, lengths)
-        self.pool = np.append(self.pool, np.frombuffer(b"".join(packed), dtype="<u4"))
-        if number + len(keys) <= 2 * CACHE_ENTRIES:
+    def _differ(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Pieces whose code points are not those of the word they were found as."""
+        same_size = self.code_counts.values[found] == sizes
+        known = np.where(same_size, self.code_starts.values[found], 0)
+        place = np.repeat(np.where(same_size, known - starts, 0), sizes) + np.arange(len(codes))
+        kept = self.codes.values
+        wrong = kept[np.minimum(place, len(kept) - 1)] != codes
+        differ = ~same_size
+        if wrong.any():
+            differ |= np.add.reduceat(wrong, starts) > 0
+        return np.flatnonzero(differ)
+
+    def _learn(self, joined: str, codes: np.ndarray, bounds: np.ndarray, at: np.ndarray, keys: np.ndarray | None) -> int:
+        """Merges the pieces ``at`` and keeps them, by ``keys`` if given; the number of the first."""
+        number, low, high = self.id_counts.size, bounds[at], bounds[at + 1]
+        packed = self.merge_words([joined[a:b].encode() for a, b in zip(low.tolist(), high.tolist())])
+        sizes = high - low
+        ends = np.cumsum(sizes)
+        self._remember(packed, codes[np.repeat(low - (ends - sizes), sizes) + np.arange(ends[-1])], sizes)
+        if keys is not None and number + len(keys) <= 2 * CACHE_ENTRIES:
             self.cache.add(keys, np.arange(number, number + len(keys), dtype=np.int32))
+        return number
+
+    def _remember(self, packed: list[bytes], codes: np.ndarray, sizes) -> None:
+        counts = np.fromiter((len(x) // 4 for x in packed), dtype=np.int64, count=len(packed))
+        sizes = np.asarray(sizes, dtype=np.int64)
+        self.id_starts.extend(self.ids.size + np.cumsum(counts) - counts)
+        self.id_counts.extend(counts)
+        self.ids.extend(np.frombuffer(b"".join(packed), dtype="<u4"))
+        self.code_starts.extend(self.codes.size + np.cumsum(sizes) - sizes)
+        self.code_counts.extend(sizes)
+        self.codes.extend(codes)
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """First byte of each token in the UTF-8 text."""

@@ -7,8 +7,8 @@ No token is shuffled. Only the last sequence can be short.
 
 Defined results: null text counts as empty, and an empty document is its end id alone; a document
 longer than a window makes several pieces; repeated rows are packed each; other columns are ignored.
-An empty table gives no pieces. Ids come from the vocabulary file; strings of special tokens inside
-a text are ordinary text.
+An empty table gives no pieces. A null id is an id like others. Ids are those of the vocabulary file's
+library with its defaults: added tokens of the file (strings like ``<|endoftext|>``) inside a text have their own ids.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], vocab_path: str, end_id: int) ->
         for low in range(0, batch.num_rows, 512):
             piece = batch.slice(low, 512)
             packed, counts = [], []
-            for ids, sizes in tool.encode_parts([t or "" for t in piece.column(1).to_pylist()]):
+            for ids, sizes in tool.encode_added([t or "" for t in piece.column(1).to_pylist()]):
                 ends = np.cumsum(sizes)
                 whole = np.insert(ids, ends, end_id).astype(kind)
                 raw, ends = whole.tobytes(), ((ends + np.arange(1, len(ends) + 1)) * whole.itemsize).tolist()

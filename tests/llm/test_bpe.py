@@ -56,3 +56,21 @@ def test_offsets_decode(spark):
     docs = spark.createDataFrame([(1, "naïve café 12")], "doc_id long, text string")
     row = bpe.decode_documents(bpe.encode_documents(docs, PATH), PATH).first()
     assert bytes(row["decoded"]).decode() == "naïve café 12"
+
+
+def swaps(size, a, b):
+    """The word whose letter at each place follows from how many bits of the place's number are set."""
+    return "".join((a, b)[k.bit_count() % 2] for k in range(size))
+
+
+def test_pieces_of_one_hash_stay_apart(library, monkeypatch):
+    texts = [swaps(n, a, b) for n in (512, 1024, 2048, 4096, 8192) for a, b in ("ab", "ba", "xy", "yx")]
+    want = [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    tool = bpe.Merges(PATH)
+    for _ in range(2):
+        assert tool.encode(texts) == want
+    # with one hash for all pieces, content alone tells them apart
+    monkeypatch.setattr(bpe, "piece_hashes", lambda codes, starts: np.full(len(starts), 7, dtype=np.uint64))
+    tool, texts = bpe.Merges(PATH), ["one two three", "", "two  one\0\0 ones", "three" * 30]
+    for _ in range(2):
+        assert tool.encode(texts) == [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
