@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.simhash import hasher, shingle_hashes
-from newsloom.llm.support import stored
+from newsloom.llm.support import scratch_names, stored
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -272,10 +272,11 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECAL
 def first_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without all but the one of each group that has the smallest doc_id (one row, if
     rows repeat it), with their columns as they were. Rows without an id stay."""
+    kept_id, kept_hash, rows = scratch_names(docs, "kept_id", "kept_hash", "rows")
     found = links(docs, similarity).filter("doc_id is null or doc_id = class_id or class_id is null")
-    found = found.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count("*").alias("rows"))
+    found = found.groupBy(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).agg(F.count("*").alias(rows))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_hash"))
-    repeated = (F.col("rows") > 1) & F.col("kept_id").isNotNull()
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64(text) == F.col(kept_hash))
+    repeated = (F.col(rows) > 1) & F.col(kept_id).isNotNull()
     again = docs.join(found.filter(repeated), on, "left_semi").dropDuplicates(["doc_id", "text"])
     return docs.join(found.filter(~repeated), on, "left_semi").unionByName(again)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.support import block_count, stored
+from newsloom.llm.support import block_count, scratch_names, stored
 
 ORDER = 4
 SYMBOL_BITS = 6
@@ -248,6 +248,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with their columns as they were."""
-    bad = judge(docs, labels).filter(~F.col("keep")).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    bad_id, bad_hash = scratch_names(docs, "bad_id", "bad_hash")
+    bad = judge(docs, labels).filter(~F.col("keep")).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(text) == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(text) == F.col(bad_hash)), "left_anti")

@@ -107,3 +107,12 @@ def test_a_row_without_an_id_does_not_hide_its_copies(spark):
     rows = [(None, " ".join(words).upper()), (5, "  ".join(words)), (6, " ".join([*words, "more"]))]
     got = {(r["doc_id"], r["copy_id"], r["class_id"], r["n_links"]) for r in join.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(None, 5, 5, 1), (5, 5, 5, 1), (6, 6, 5, 1)}
+
+
+def test_clashing_columns(spark):
+    names = ["kept_id", "kept_hash", "rows", "text_hash", "key", "chunk", "tile", "copy_id", "class_id"]
+    rows = [(1, "a b c d e f g", *names), (1, "a b c d e f g", *names), (2, "a b c d e f g", *names), (3, "x", *names), (None, None, *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = join.first_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from newsloom.llm import quality
 
@@ -84,3 +85,12 @@ def test_without_labels_or_rows(spark):
     docs, labels = corpus(spark)
     assert quality.keep(docs, labels.limit(0)).count() == docs.count()
     assert quality.judge(docs.limit(0), labels).count() == 0
+
+
+def test_clashing_columns(spark):
+    docs, labels = corpus(spark)
+    names = ["bad_id", "bad_hash", "text_hash", "block", "perplexity", "limit", "good", "limit_lang", "total"]
+    more = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    kept = quality.keep(more, labels)
+    assert kept.columns == more.columns and kept.count() == quality.keep(docs, labels).count()
+    assert {tuple(r) for r in kept.select(*names).collect()} == {tuple(names)}

@@ -88,3 +88,31 @@ def test_long_parts_are_near_by_their_nearest_end(spark):
     rows = [(k, t) for k, t in enumerate(texts.values())]
     got = {r["doc_id"]: "endpoint" in r["spans"] for r in secrets.digests(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert {name: got[k] for k, name in enumerate(texts)} == {name: int(name.split()[2]) <= 400 for name in texts}
+
+
+def test_redaction_with_clashing_columns(spark):
+    names = ["body", "strong", "spans", "linked", "text_hash", "row", "found_id", "kept", "clean", "b", "m", "start"]
+    secret = "x token = 'abcdef0123456789abcdef01' y"
+    docs = spark.createDataFrame([(1, secret, *names), (1, secret, *names), (None, None, *names)], ["doc_id", "text", *names])
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns
+    clean = "x [SECRET]' y"
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, clean, *names), (1, clean, *names), (None, None, *names)], key=str)
+    assert secrets.digests(secrets.scan(docs)).count() == 3
+
+
+def test_marks_over_many_spans(spark):
+    """Overlapping and adjacent spans, and many in one text, against a plain loop."""
+    draw = random.Random(5)
+    texts = fixture()[:120] + ["é AKIA" + "A" * 16 + " " + "token=abcdef0 " * 3000, "deadbeef" * 3 + "AKIA" + "B" * 20, "x " + "0123456789abcdef01234567 " * 700 + "end"]
+    draw.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.digests(secrets.scan(docs)).collect()}
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    for k, t in enumerate(texts):
+        at, out = 0, ""
+        for low, high in sorted(tuple(map(int, s.split(":")[1:])) for s in spans[k].split(",") if s):
+            if low >= at:
+                out += t[at:low] + "[SECRET]"
+            at = max(at, high)
+        assert got[k] == (out + t[at:] if spans[k] else t)
