@@ -1,15 +1,19 @@
 """Operator 7: exact top-k by inner product with vector-approximation files.
 
-Components become integers floor(scale * x). Each vector is kept twice: as cells of a few bits a
-dimension, and exact. Queries are dealt into blocks, and every vector goes to each block of queries
-(a stated query set against all rows, in blocks). A task streams through its vectors: it scans the
-cells for upper bounds of the score, reads exact vectors from the highest bound down, and stops for
-a query as soon as the next bound is below its k-th best score. What tasks found is then ranked.
+Components become integers floor(scale * x). Equal vectors are one entry of the file, with its k + 1 smallest
+ids, which are all that a result can name. An entry has cells, one byte of ``CELL_BITS`` bits a dimension, and
+the exact vector; they are columns of one table, so that a scan of the cells reads no exact vector.
+
+Queries are taken in waves of a bounded number of entries, the one thing that is sent to all tasks; however many
+queries there are, a task holds one wave and ``SCAN`` entries. For each wave a task streams through its cells
+and bounds every score from both sides. An entry that k + 1 others beat for certain is left out. What is left
+is ordered by upper bound, and exact vectors are read (joined by entry) from the highest bound down, in steps that
+grow, until no unread bound reaches the k-th best exact score: then the result is certain.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; only
 vectors of one length are compared; a row with a null id is a candidate, never a query, and ranks
 after other ids at equal scores; rows with repeated ids are rows of their own (each query row leaves
-out one row: its own); an empty table gives no rows. Scores must fit 63 bits.
+out one row: its own); an empty table gives no rows; other columns are ignored. Scores must fit 53 bits.
 """
 
 from __future__ import annotations
@@ -19,131 +23,155 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.support import stored
 
 SCALE = 256
-CELL_BITS = 7
-QUERY_BLOCK = 1024
+CELL_BITS = 8
+WAVE = 2048
+WAVE_BYTES = 64 << 20
 SCAN = 4096
-STEP = 64
-FOUND = "query_row long, query_id long, vec_id long, score long, own boolean"
-
-
-def _quantise(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for row, key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if vector is None or any(x is None for x in vector):
-                continue
-            x = np.array(vector, dtype=np.float64)
-            if np.isfinite(x).all():
-                exact = np.floor(scale * x).astype("<i8")
-                rows.append((row, key, len(exact), int(np.abs(exact).max(initial=0)), exact.tobytes()))
-        columns = list(zip(*rows)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "vec_id", "dim", "largest", "exact"])
-
-
-def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(row, vec_id, dim, largest, exact) of the vectors that take part, in the shared folder."""
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return stored(rows.mapInArrow(lambda b: _quantise(b, scale), "row long, vec_id long, dim int, largest long, exact binary"))
-
-
-class _Search:
-    """Running top k of one block of queries."""
-
-    def __init__(self, queries: list[tuple], dim: int, shift: int, k: int):
-        self.rows, self.ids = [q[0] for q in queries], [q[1] for q in queries]
-        self.exact = np.frombuffer(b"".join(q[2] for q in queries), dtype="<i8").reshape(len(queries), dim)
-        self.shift, self.k = shift, k
-        # upper bound of a score = query . lowest corner of the cell + what positive components can add
-        self.above = np.maximum(self.exact, 0).sum(axis=1) * ((1 << shift) - 1)
-        self.floats = self.exact.astype(np.float64)
-        self.best: list[list[tuple]] = [[] for _ in queries]  # (-score, id is null, id, own)
-        self.kth = np.full(len(queries), -np.inf)
-
-    def scan(self, rows: list[int], ids: list[int | None], vectors: np.ndarray, cells: np.ndarray) -> None:
-        corners = cells.astype(np.float64) * (1 << self.shift)
-        # bounds are exact below 2**53; a margin covers what rounding could do beyond
-        bounds = self.floats @ corners.T + self.above[:, None]
-        bounds += np.abs(bounds) * 1e-12
-        for q in np.flatnonzero(bounds.max(axis=1) >= self.kth):
-            order = np.flatnonzero(bounds[q] >= self.kth[q])
-            order = order[np.argsort(-bounds[q, order], kind="stable")]
-            for low in range(0, len(order), STEP):
-                part = order[low : low + STEP]
-                if len(self.best[q]) == self.k and bounds[q, part[0]] < self.kth[q]:
-                    break
-                scores = vectors[part] @ self.exact[q]
-                near = part[scores >= self.kth[q]] if len(self.best[q]) == self.k else part
-                score_of = dict(zip(part.tolist(), scores.tolist()))
-                found = [(-score_of[i], ids[i] is None, ids[i] or 0, rows[i] == self.rows[q]) for i in near.tolist()]
-                self.best[q] = sorted(self.best[q] + found)[: self.k]
-                if len(self.best[q]) == self.k:
-                    self.kth[q] = -self.best[q][-1][0]
-
-    def found(self) -> pa.RecordBatch:
-        rows = [(r, i, None if null else x, -s, own) for r, i, best in zip(self.rows, self.ids, self.best) for s, null, x, own in best]
-        columns = list(zip(*rows)) or [[]] * 5
-        kinds = [pa.int64()] * 4 + [pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
-
-
-def _scan(batches: Iterator[pa.RecordBatch], shift: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (tile, queries first); a tile has one block of queries and some vectors."""
-    tile, search, queries, waiting = None, None, [], []
-
-    def flush():
-        nonlocal search, waiting
-        if queries and waiting:
-            dim = len(queries[0][2]) // 8
-            search = search or _Search(queries, dim, shift, k)
-            vectors = np.frombuffer(b"".join(w[2] for w in waiting), dtype="<i8").reshape(len(waiting), dim)
-            cells = np.frombuffer(b"".join(w[3] for w in waiting), dtype="i1").reshape(len(waiting), dim)
-            search.scan([w[0] for w in waiting], [w[1] for w in waiting], vectors, cells)
-        waiting = []
-
-    for batch in batches:
-        for t, is_query, row, key, exact in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if t != tile:
-                flush()
-                if search:
-                    yield search.found()
-                tile, search, queries = t, None, []
-            if is_query:
-                queries.append((row, key, exact))
+FIRST_STEP = 16
+BOUNDED = "query int, entry string, first_id struct<no_id:boolean,vec_id:long,row:long>, low double, high double"
+
+
+def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
+    """(row, vec_id, exact) of the vectors that take part, in the shared folder."""
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    usable = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return stored(rows.filter(usable).select("row", "vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("exact")))
+
+
+def approximation_file(rows: DataFrame, is_query: Column, members: int, shift: int) -> DataFrame:
+    """(entry, dim, cells, exact, members, queried): a row for each different vector, in the shared folder.
+    Only the ``members`` smallest ids of a vector are kept, and they alone are shuffled: the limit of the
+    window works before the shuffle, so one very common vector is a few rows a task."""
+    keyed = rows.withColumn("entry", F.md5(F.array_join(F.transform("exact", lambda x: x.cast("string")), ",")))
+    member = F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id", "row")
+    order = Window.partitionBy("entry", F.coalesce(is_query, F.lit(False))).orderBy(member)
+    few = keyed.select("entry", "exact", "vec_id", is_query.alias("asks"), member.alias("member"), F.row_number().over(order).alias("n")).filter(F.col("n") <= members)
+    entries = few.groupBy("entry").agg(F.first("exact").alias("exact"), F.slice(F.array_sort(F.collect_list("member")), 1, members).alias("members"), F.max(F.coalesce("asks", F.lit(False))).alias("queried"))
+    cells = F.to_binary(F.array_join(F.transform("exact", lambda x: F.lpad(F.hex(F.shiftright(x, shift).bitwiseAND(255)), 2, "0")), ""), F.lit("hex"))
+    return stored(entries.select("entry", F.size("exact").alias("dim"), cells.alias("cells"), "exact", "members", "queried"))
+
+
+class _Scan:
+    """Bounds of one wave's queries of one length, over the cells of a task."""
+
+    def __init__(self, numbers: list[int], vectors: list[list[int]], shift: int, keep: int):
+        self.numbers, self.shift, self.keep = np.array(numbers), shift, keep
+        exact = np.array(vectors, dtype=np.float64).reshape(len(vectors), -1)
+        self.exact, reach = exact, float((1 << shift) - 1)
+        # a component lies between its cell's corner and that plus reach
+        self.above, self.below = np.maximum(exact, 0).sum(axis=1) * reach, np.minimum(exact, 0).sum(axis=1) * reach
+        self.best: list[list[tuple]] = [[] for _ in numbers]  # (-lower bound, first id) of the best entries so far
+        self.least = np.full(len(numbers), -np.inf)
+
+    def scan(self, entries: list[str], firsts: list[tuple], cells: np.ndarray) -> Iterator[tuple]:
+        at_corner = self.exact @ (cells.astype(np.float64) * (1 << self.shift)).T  # whole numbers, exact below 2**53
+        for q in np.flatnonzero(at_corner.max(axis=1) + self.above >= self.least):
+            low, high = at_corner[q] + self.below[q], at_corner[q] + self.above[q]
+            likely = np.flatnonzero(high >= self.least[q])
+            lows = low[likely]
+            if len(likely) > self.keep:  # the best lower bounds of this stretch, with all their ties
+                lows = lows[lows >= np.partition(lows, len(lows) - self.keep)[len(lows) - self.keep]]
+                few = likely[low[likely] >= lows.min()]
             else:
-                waiting.append((row, key, exact, (np.frombuffer(exact, dtype="<i8") >> shift).astype(np.int8).tobytes()))
-                if len(waiting) == SCAN:
-                    flush()
-    flush()
-    if search:
-        yield search.found()
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
+                few = likely
+            self.best[q] = sorted(self.best[q] + [(-low[i], firsts[i]) for i in few.tolist()])[: self.keep]
+            full = len(self.best[q]) == self.keep
+            if full:
+                self.least[q] = -self.best[q][-1][0]
+                likely = likely[high[likely] >= self.least[q]]
+            for i in likely.tolist():
+                # beaten for certain: as many others reach its upper bound, with smaller ids where they only equal it
+                if not full or (-high[i], firsts[i]) <= self.best[q][-1]:
+                    yield int(self.numbers[q]), entries[i], firsts[i], float(low[i]), float(high[i])
+
+
+def _bounds(batches: Iterator[pa.RecordBatch], wave, shift: int, keep: int) -> Iterator[pa.RecordBatch]:
+    by_dim: dict[int, tuple[list, list]] = {}
+    for number, vector in wave.value:
+        numbers, vectors = by_dim.setdefault(len(vector), ([], []))
+        numbers.append(number)
+        vectors.append(vector)
+    scans = {dim: _Scan(numbers, vectors, shift, keep) for dim, (numbers, vectors) in by_dim.items()}
+    names = ["query", "entry", "first_id", "low", "high"]
+    first = pa.struct([("no_id", pa.bool_()), ("vec_id", pa.int64()), ("row", pa.int64())])
+    kinds = [pa.int32(), pa.string(), first, pa.float64(), pa.float64()]
+    for batch in batches:
+        for start in range(0, batch.num_rows, SCAN):
+            part = batch.slice(start, SCAN)
+            entries, dims, cells, firsts = (part.column(k).to_pylist() for k in range(4))
+            for dim in set(dims) & set(scans):
+                own = [k for k, d in enumerate(dims) if d == dim]
+                block = np.frombuffer(b"".join(cells[k] for k in own), dtype=np.int8).reshape(len(own), dim)
+                ids = [(firsts[k]["no_id"], firsts[k]["vec_id"] or 0, firsts[k]["row"]) for k in own]
+                found = list(scans[dim].scan([entries[k] for k in own], ids, block))
+                for low in range(0, len(found), 1 << 16):
+                    columns = list(zip(*found[low : low + (1 << 16)]))
+                    columns[2] = [{"no_id": a, "vec_id": None if a else b, "row": c} for a, b, c in columns[2]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _ranked(scores: DataFrame, keep: int, order: list) -> DataFrame:
+    return scores.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("n") <= keep)
+
+
+def read_in_order(file: DataFrame, bounded: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """(query, entry, first_id, score) of all exact vectors that were read: from the highest upper bound down, until
+    no unread bound reaches the ``keep``-th best score. ``bounded`` has the bounds of all entries that can be
+    among the best, ``queries`` (query, vector) the queries of one wave."""
+    # an entry whose upper bound is below the keep-th best lower bound of all tasks is not among the best
+    sure = _ranked(bounded, keep, [F.desc("low"), "first_id"]).groupBy("query").agg(F.count("*").alias("have"), F.min("low").alias("sure"))
+    # a wave has a bounded number of queries, so its rows of one a query can be broadcast
+    near = bounded.join(F.broadcast(sure), "query").filter((F.col("have") < keep) | (F.col("high") >= F.col("sure"))).select("query", "entry", "first_id", "high")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("high"), "first_id"))
+    near = stored(near.select("*", place.alias("place")))
+    exact = file.select("entry", "exact")
+    product = F.aggregate(F.zip_with("exact", "vector", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    done, until, read, kth = 0, FIRST_STEP, None, None
+    while True:
+        open_rows = near.filter((F.col("place") > done) & (F.col("place") <= until))
+        if kth is not None:
+            open_rows = open_rows.join(F.broadcast(kth), "query", "left").filter(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).drop("kth")
+        new = open_rows.join(exact, "entry").join(F.broadcast(queries), "query").select("query", "entry", "first_id", product.alias("score"))
+        read = stored(new if read is None else read.unionByName(new))
+        kth = _ranked(read, keep, [F.desc("score"), "first_id"]).groupBy("query").agg(F.count("*").alias("have"), F.min("score").alias("kth")).filter(F.col("have") >= keep).select("query", "kth")
+        left = near.filter(F.col("place") > until).join(F.broadcast(kth), "query", "left").filter(F.col("kth").isNull() | (F.col("high") >= F.col("kth")))
+        if left.isEmpty():
+            return read
+        done, until = until, until * 8
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, wave: int = WAVE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (a condition on vec_id)
     selects, the k highest integer inner products with the other rows."""
-    spark = vectors.sparkSession
-    file = quantised(vectors, scale)
-    facts = file.agg(F.max("largest").alias("largest"), F.count(F.when(is_query, 1)).alias("queries"), F.count("*").alias("rows")).first()
-    shift = max(0, int(facts["largest"] or 0).bit_length() - CELL_BITS)
-    blocks = max(1, math.ceil(facts["queries"] / query_block))
-    groups = max(1, min(spark.sparkContext.defaultParallelism * 2 // blocks + 1, math.ceil(facts["rows"] / SCAN)))
-    place = F.xxhash64("row")
-    block = F.pmod(place, F.lit(blocks))
-    group = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = file.filter(is_query).select("dim", block.alias("block"), spread(groups).alias("group"), F.lit(True).alias("is_query"), "row", "vec_id", "exact")
-    candidates = file.select("dim", spread(blocks).alias("block"), group.alias("group"), F.lit(False).alias("is_query"), "row", "vec_id", "exact")
-    tiles = queries.unionByName(candidates).withColumn("tile", F.format_string("%d/%d/%d", "dim", "block", "group"))
-    dealt = tiles.repartition(blocks * groups, "tile").sortWithinPartitions("tile", F.desc("is_query")).select("tile", "is_query", "row", "vec_id", "exact")
-    # one more than k, as a query finds itself
-    found = dealt.mapInArrow(lambda b: _scan(b, shift, k + 1), FOUND)
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    ranked = found.filter(~F.col("own")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    context = vectors.sparkSession.sparkContext
+    rows = integers(vectors, scale)
+    largest = rows.agg(F.max(F.greatest(F.abs(F.array_max("exact")), F.abs(F.array_min("exact"))))).first()[0] or 0
+    shift = max(0, int(largest).bit_length() + 1 - CELL_BITS)
+    file = approximation_file(rows, is_query, k + 1, shift)
+    facts = file.filter("queried").agg(F.count("*").alias("entries"), F.max("dim").alias("dim")).first()
+    wave = max(1, min(wave, WAVE_BYTES // (8 * max(1, facts["dim"] or 1))))
+    waves = max(1, math.ceil(facts["entries"] / wave))
+    asks = rows.filter(is_query).select("row", F.col("vec_id").alias("query_id"), F.md5(F.array_join(F.transform("exact", lambda x: x.cast("string")), ",")).alias("asked"))
+    out = None
+    for number in range(waves):
+        # entries are dealt by their hash, so a wave has about ``wave`` of them
+        chosen = file.filter("queried").filter(F.pmod(F.xxhash64("entry"), F.lit(waves)) == number).select("entry", "exact").collect()
+        sent = context.broadcast([(n, r["exact"]) for n, r in enumerate(chosen)])
+        cells = file.select("entry", "dim", "cells", F.get("members", F.lit(0)).alias("first_id"))
+        bounded = stored(cells.mapInArrow(lambda b: _bounds(b, sent, shift, k + 1), BOUNDED))
+        queries = vectors.sparkSession.createDataFrame([(n, r["entry"], r["exact"]) for n, r in enumerate(chosen)], "query int, asked string, vector array<long>")
+        read = read_in_order(file, bounded, queries.select("query", "vector"), k + 1)
+        best = _ranked(read, k + 1, [F.desc("score"), "first_id"]).select("query", "entry", "score")
+        found = best.join(file.select("entry", "members"), "entry").join(F.broadcast(queries.select("query", "asked")), "query").select("asked", "score", F.explode("members").alias("m"))
+        lists = found.groupBy("asked").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "m.no_id", "m.vec_id", "m.row"))), 1, k + 1).alias("best"))
+        # k + 1 results for each query vector of the wave; the rows that ask for them stay where they are
+        own = asks.join(F.broadcast(lists), "asked").select("query_id", F.slice(F.filter("best", lambda x: x["row"] != F.col("row")), 1, k).alias("best"))
+        ranked = own.select("query_id", F.posexplode("best").alias("n", "x")).select("query_id", (F.col("n") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out

@@ -31,7 +31,7 @@ def test_against_all_scores(spark):
     rows = [(i, [float.fromhex(x.hex()) for x in v]) for i, v in rows]
     exact = [(i, [struct_float(x) for x in v]) for i, v in rows]
     assert run(spark, exact) == brute(exact)
-    assert run(spark, exact, query_block=3) == brute(exact)
+    assert run(spark, exact, wave=3) == brute(exact)
 
 
 def struct_float(x):
@@ -49,3 +49,24 @@ def test_large_components_and_empty_tables(spark):
     rows = [(k * 25, [1000.0 * ((k * 37) % 11 - 5), 0.25 * k]) for k in range(40)]
     assert run(spark, rows) == brute(rows)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_few_exact_vectors_are_read(spark, monkeypatch):
+    """Components far wider than a cell: bounds decide, and most exact vectors stay unread."""
+    counts, real = [], topk.read_in_order
+    monkeypatch.setattr(topk, "read_in_order", lambda *a: counts.append(real(*a)) or counts[-1])
+    draw = random.Random(2)
+    centres = [[draw.gauss(0, 30) for _ in range(24)] for _ in range(40)]
+    rows = [(k, [struct_float(x + draw.gauss(0, 3)) for x in centres[k % 40]]) for k in range(4000)]
+    assert run(spark, rows) == brute(rows)
+    n_queries = 80
+    read = sum(df.count() for df in counts)
+    assert 5 * n_queries <= read < n_queries * len(rows) / 20
+
+
+def test_one_very_common_vector(spark):
+    """Copies are one entry, so bounds between copies are never listed."""
+    rows = [(k, [9.0, -4.0, 2.5] if k % 3 else [k / 64, 1.0, -k / 128]) for k in range(900)]
+    assert run(spark, rows) == brute(rows)
+    file = topk.approximation_file(topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") % 50 == 0, 6, 3)
+    assert file.count() == 301 and max(len(r["members"]) for r in file.collect()) == 6
