@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsloom.llm import bpe, chat, jaccard_join, packing, page_text, quality, secrets, simhash, topk, url_rules
-from newsloom.llm.support import table
+from newsloom.llm.support import stored, table
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.with_edits(table(spark, sf_dir, "documents"))
+    return simhash.with_neighbours(stored(simhash.with_edits(table(spark, sf_dir, "documents"))))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,45 +1,56 @@
 """Operator 6: document fingerprints by SimHash.
 
 Terms are the five-word shingles of a text and, with less weight, its words; a term counts with the
-square root of its frequency. Each term's hash votes with its weight on every bit of the fingerprint,
-for by a one and against by a zero, and the sign of the sum is the bit.
-
-``neighbours`` finds all pairs of different fingerprints within a Hamming radius: the bits are cut into
-radius + 2 blocks; two fingerprints that differ in at most radius bits agree in two blocks at least, so
-for each pair of blocks there is a table keyed by them (the fingerprint permuted to put those first).
-Equal fingerprints are one row of the tables, whatever the number of their documents.
+square root of its frequency in the whole text, in whole hundredths. Each term's hash votes with its weight on
+every bit of the fingerprint, for by a one and against by a zero, and the sign of the sum is the bit. Sums are
+of whole numbers, so they don't depend on the order or on how a long text is taken in parts.
+
+``neighbours`` finds all different fingerprints within a Hamming radius: the bits are cut into radius +
+``agree`` blocks; two fingerprints that differ in at most radius bits agree in ``agree`` blocks at least, so for each
+choice of so many blocks there is a table keyed by them (the fingerprint permuted to put those first). ``agree`` is the
+least with which a key has few fingerprints by chance; it changes work, not results.
+Equal fingerprints are one row of the tables, whatever the number of their documents. A key with many
+fingerprints is cut into chunks, and each pair of chunks is a tile of bounded size, in which all distances are
+counted at once; pairs are summed up for each fingerprint and never listed.
 
 ``with_edits`` deals documents into ranges of doc_id and streams each range with one document held; the
 last document of a range meets the first of the next in a small join of the ranges' edges.
 
-Defined results: null text counts as empty; a text without words has the fingerprint of zeros; equal
-texts have equal fingerprints; a text of fewer than five words is one shingle; repeated rows have a row each;
-the document after the last is the first, so that a single document is its own next one; documents are
-ordered by doc_id (null first), then text; an empty table gives no rows; other columns are ignored.
+Defined results: null text counts as empty; a text without words has the fingerprint of zeros, and a sum of exactly
+zero gives a zero bit; equal texts have equal fingerprints; a text of fewer than five words is one shingle; repeated rows
+have a row each; the document after the last is the first, so that a single document is its own next one;
+documents are ordered by doc_id (null first), then text; an empty table gives no rows; other columns are ignored.
+``n_near`` counts all other rows, copies included, whose fingerprint is within the radius; ``near_id`` is the smallest
+doc_id among those and the document's own copies (null ids count, but are no smallest).
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.support import stored
 
 BITS = 128
 SHINGLE = 5
-WORD_WEIGHT = 0.35
+SHINGLE_WEIGHT, WORD_WEIGHT = 100, 35
 CACHED_WORDS = 300_000
-RADIUS = 7
+RADIUS = 5
+BY_CHANCE = 64
+CHUNK = 1024
+PART = 1 << 14
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 EDGE = "kind string, part int, text string"
+NO_ID = 2**63 - 1
 
 
 class Hasher:
@@ -79,14 +90,20 @@ def shingle_hashes(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return _mixed(out, 0)
 
 
-def _votes(words: np.ndarray, shingles: np.ndarray, bits: int) -> np.ndarray:
-    values, first, counts = np.unique(np.concatenate([shingles, words]), return_index=True, return_counts=True)
-    weights = np.sqrt(counts) * np.where(first < len(shingles), 1.0, WORD_WEIGHT)
-    voters = np.empty((len(values), bits // 64), dtype=np.uint64)
+def _counted(values: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different terms and their weights."""
+    terms, counts = np.unique(values, return_counts=True)
+    return terms, np.rint(np.sqrt(counts) * weight)
+
+
+def _votes(terms: np.ndarray, weights: np.ndarray, bits: int) -> np.ndarray:
+    voters = np.empty((len(terms), bits // 64), dtype=np.uint64)
     for k in range(bits // 64):
-        voters[:, k] = _mixed(values, 101 + k)
+        voters[:, k] = _mixed(terms, 101 + k)
     ones = np.unpackbits(voters.view(np.uint8), axis=1, bitorder="little")
-    return 2 * (weights.astype(np.float32) @ ones.astype(np.float32)) - weights.sum()
+    # whole sums are exact below 2**24 in single precision, and far beyond in double
+    kind = np.float32 if weights.sum() < 1 << 24 else np.float64
+    return 2 * (weights.astype(kind) @ ones.astype(kind)).astype(np.float64) - weights.sum()
 
 
 def fingerprint(text: str, bits: int = BITS) -> bytes:
@@ -94,9 +111,9 @@ def fingerprint(text: str, bits: int = BITS) -> bytes:
     if not words:
         return bytes(bits // 8)
     hashes = hasher()(words)
-    shingles, part = shingle_hashes(hashes), 1 << 15
-    # very long texts vote in parts, in which a term counts with the square root of its frequency there
-    total = sum(_votes(hashes[low : low + part], shingles[low : low + part], bits) for low in range(0, len(hashes), part))
+    both = zip(_counted(shingle_hashes(hashes), SHINGLE_WEIGHT), _counted(hashes, WORD_WEIGHT))
+    terms, weights = (np.concatenate(x) for x in both)
+    total = sum(_votes(terms[low : low + PART], weights[low : low + PART], bits) for low in range(0, len(terms), PART))
     return np.packbits(total > 0, bitorder="little").tobytes()
 
 
@@ -123,26 +140,121 @@ def fingerprints(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return rows.mapInArrow(lambda b: _fingerprints(b, bits), "doc_id long, fingerprint string")
 
 
-def neighbours(marked: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
-    """(fingerprint, other, distance): all pairs of different fingerprints at most ``radius`` bits
-    apart, the smaller first. Membership is in ``marked`` (doc_id, fingerprint) itself. A pair is kept
-    only in the table of the first two blocks that are equal, so it comes once."""
-    digits = bits // 4
-    cuts = [round(k * digits / (radius + 2)) for k in range(radius + 3)]
-    spans = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
-    if any(n == 0 for _, n in spans):
-        raise ValueError("the radius must be smaller than a quarter of the bits")
-    part = lambda c, k: F.substring(c, spans[k][0] + 1, spans[k][1])
-    tables = list(itertools.combinations(range(len(spans)), 2))
-    distinct = marked.select("fingerprint").filter(F.col("fingerprint").isNotNull()).distinct()
-    keys = F.array(*[F.struct(F.lit(10**4 * i + j).alias("table"), F.concat(part("fingerprint", i), part("fingerprint", j)).alias("block")) for i, j in tables])
-    keyed = distinct.select("fingerprint", F.explode(keys).alias("k")).select("fingerprint", "k.table", "k.block")
-    equal = F.filter(F.array(*[F.when(part("l.fingerprint", k) == part("r.fingerprint", k), F.lit(k)) for k in range(len(spans))]), lambda k: k.isNotNull())
-    first = F.get(equal, F.lit(0)) * 10**4 + F.get(equal, F.lit(1))
-    word = lambda c, k: F.conv(F.substring(c, 8 * k + 1, 8), 16, 10).cast("long")
-    distance = sum((F.bit_count(word("l.fingerprint", k).bitwiseXOR(word("r.fingerprint", k))) for k in range(bits // 32)), F.lit(0))
-    on = [F.col("l.table") == F.col("r.table"), F.col("l.block") == F.col("r.block"), F.col("l.fingerprint") < F.col("r.fingerprint"), first == F.col("l.table"), distance <= radius]
-    return keyed.alias("l").join(keyed.alias("r"), on).select(F.col("l.fingerprint").alias("fingerprint"), F.col("r.fingerprint").alias("other"), distance.cast("int").alias("distance"))
+def block_choices(count: int, radius: int = RADIUS, bits: int = BITS) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """(first bit and width of each block, the choices of blocks that make the tables' keys)."""
+    agree = 1
+    while count >> (agree * bits // (radius + agree)) > BY_CHANCE and radius + agree + 1 <= bits:
+        agree += 1
+    cuts = [k * bits // (radius + agree) for k in range(radius + agree + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])], list(itertools.combinations(range(radius + agree), agree))
+
+
+def _block_key(halves: list[Column], spans: list[tuple[int, int]]) -> Column:
+    """A 64-bit key of some blocks of a fingerprint; distances are verified, so equal keys of different blocks do no harm."""
+    pieces = []
+    for first, width in spans:
+        while width:
+            half, at = divmod(first, 64)
+            size = min(width, 64 - at, 32)
+            pieces.append(F.shiftrightunsigned(halves[half], at).bitwiseAND((1 << size) - 1))
+            first, width = first + size, width - size
+    return F.xxhash64(*pieces)
+
+
+def _tile(marks: np.ndarray, rows: np.ndarray, ids: np.ndarray, sides: np.ndarray, table: int, spans, tables, radius: int) -> list[tuple]:
+    """(mark as two halves, rows near, smallest id near) of the fingerprints of one tile that have neighbours.
+    A pair counts only in the first table whose blocks agree."""
+    words = marks.view(np.uint64).reshape(len(marks), -1)
+    left, right = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if sides.any() else (np.arange(len(marks)),) * 2
+    x = words[left][:, None, :] ^ words[right][None, :, :]
+    near = np.bitwise_count(x).sum(axis=2, dtype=np.int32) <= radius
+    if left is right:
+        np.fill_diagonal(near, False)
+    a, b = np.nonzero(near)
+    if not len(a):
+        return []
+    differ = np.unpackbits(np.ascontiguousarray(x[a, b]).view(np.uint8), axis=1, bitorder="little")
+    equal = np.stack([~differ[:, first : first + width].any(axis=1) for first, width in spans], axis=1)
+    firsts = np.stack([equal[:, list(t)].all(axis=1) for t in tables], axis=1).argmax(axis=1)
+    a, b = left[a[firsts == table]], right[b[firsts == table]]
+    if left is not right:
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    count, least = np.zeros(len(marks), np.int64), np.full(len(marks), NO_ID)
+    np.add.at(count, a, rows[b])
+    np.minimum.at(least, a, ids[b])
+    some = np.flatnonzero(count)
+    halves = words[some].view(np.int64)
+    return list(zip(*halves.T.tolist(), count[some].tolist(), least[some].tolist()))
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], spans, tables, radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile; a tile has fingerprints of one or two chunks of one key."""
+    halves = len(half_names(spans))
+    key, waiting, out = None, [], []
+
+    def close():
+        if len(waiting) > 1:
+            columns = list(zip(*waiting))
+            marks = np.array(columns[:halves], dtype=np.int64).T.copy()
+            out.extend(_tile(marks, *(np.array(c) for c in columns[halves:]), key[0], spans, tables, radius))
+
+    def made():
+        columns = list(zip(*out)) or [[]] * (halves + 2)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*half_names(spans), "rows", "least"])
+
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for tile, *row in zip(zip(*columns[:2]), *columns[2:]):
+            if tile != key:
+                close()
+                key, waiting = tile, []
+                if len(out) > 10_000:
+                    yield made()
+            waiting.append(row)
+    close()
+    yield made()
+
+
+def half_names(spans) -> list[str]:
+    """Columns of a fingerprint's 64-bit halves."""
+    return [f"mark{k}" for k in range(sum(width for _, width in spans) // 64)]
+
+
+def neighbours(marked: DataFrame, radius: int = RADIUS, bits: int = BITS, choices=None) -> DataFrame:
+    """(fingerprint, n_near, near_id) of the different fingerprints of ``marked`` (doc_id, fingerprint) that have others
+    at most ``radius`` bits apart: the rows of those, and their smallest doc_id. ``choices`` are blocks and tables."""
+    known = marked.filter(F.col("fingerprint").isNotNull())
+    distinct = stored(known.groupBy("fingerprint").agg(F.count("*").alias("rows"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("least")))
+    spans, tables = choices or block_choices(distinct.count(), radius, bits)
+    names = half_names(spans)
+    # hexadecimal digits are of little-endian bytes
+    half = lambda k: F.conv(F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0)), lambda i: F.substring("fingerprint", 16 * k + 2 * i + 1, F.lit(2))), ""), 16, -10).cast("long")
+    halves = distinct.select(*[half(k).alias(n) for k, n in enumerate(names)], "rows", "least")
+    keys = F.array(*[F.struct(F.lit(k).alias("table"), _block_key([F.col(n) for n in names], [spans[i] for i in t]).alias("block")) for k, t in enumerate(tables)])
+    keyed = halves.select(*names, "rows", "least", F.explode(keys).alias("k")).select("k.*", *names, "rows", "least")
+    # counted before the shuffle, so that a key of many fingerprints is few rows
+    large = keyed.groupBy("table", "block").agg(F.count("*").alias("size")).filter("size > 1")
+    met = keyed.join(large, ["table", "block"]).withColumn("cuts", F.ceil(F.col("size") / CHUNK))
+    met = met.withColumn("chunk", F.pmod(F.xxhash64(*names), F.col("cuts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    tiled = met.withColumn("other", other).select("table", F.xxhash64("table", "block", low, high).alias("tile"), *names, "rows", "least", (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+    dealt = tiled.repartition("tile").sortWithinPartitions("table", "tile")
+    made = dealt.mapInArrow(lambda b: _tiles(b, spans, tables, radius), ", ".join(f"{n} long" for n in [*names, "rows", "least"]))
+    found = made.groupBy(*names).agg(F.sum("rows").alias("n_near"), F.min("least").alias("near_id"))
+    back = lambda n: F.lower(F.lpad(F.hex(n), 16, "0"))
+    little = lambda n: F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0)), lambda i: F.substring(back(n), 2 * i + 1, F.lit(2))), "")
+    return found.select(F.concat(*[little(n) for n in names]).alias("fingerprint"), "n_near", F.when(F.col("near_id") != NO_ID, F.col("near_id")).alias("near_id"))
+
+
+def with_neighbours(made: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
+    """The rows of ``with_edits`` with n_near and near_id."""
+    copies = made.groupBy("fingerprint").agg(F.count("*").alias("own"), F.min("doc_id").alias("own_id"))
+    near = copies.join(neighbours(made.select("doc_id", "fingerprint"), radius, bits), "fingerprint", "left")
+    facts = near.select(F.col("fingerprint").alias("of"), (F.col("own") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_near"), F.least("own_id", "near_id").alias("near_id")).filter("n_near > 0")
+    both = made.join(facts, F.col("fingerprint") == F.col("of"), "left").drop("of")
+    return both.withColumns({"n_near": F.coalesce("n_near", F.lit(0)).cast("long"), "near_id": F.coalesce("near_id", "doc_id")})
 
 
 def _row(own: tuple, following: str, mark: bytes, bits: int) -> tuple:
