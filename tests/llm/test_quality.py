@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def brute_model(texts):
 
     def p(gram, level):
         if level == ORDER:
-            return 1 / 64
+            return 1 / quality.SYMBOLS
         counts, context = levels[level], gram[level:-1]
         here = {g: n for g, n in counts.items() if g[:-1] == context}
         total = sum(here.values())
@@ -42,43 +43,75 @@ def brute_model(texts):
 
 def test_probabilities_and_perplexities(spark):
     draw = random.Random(2)
-    good = ["".join(draw.choice("abc de,") for _ in range(40)) for _ in range(5)]
-    other = ["abc dex", "ZZ##", "", None, "é a"]
+    good = ["".join(draw.choice("abc de,") for _ in range(40)) for _ in range(9)] + ["да и нет, да", "世界 世界"]
+    other = ["abc dex", "ZZ##", "", None, "é a", "нет и да", "界世 x", "😀" * 9]
     rows = [(k, t, "en", 0) for k, t in enumerate(good + other)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, block int")
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(5)] + [(0, None, None), (None, 1, 0), (6, 0, 0), (0, 1, 1)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: (r["chars"], r["log_ppl"]) for r in quality.scores(docs, labels).collect()}
-    p = brute_model(good)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, block int").repartition(3)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(good))] + [(0, None, None), (None, 1, 0), (12, 0, 0), (0, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.scores(docs, labels).collect()}
+    assert not any(got[k]["held"] for k in range(len(good), len(rows)))
+    p = brute_model([t for k, t in enumerate(good) if not got[k]["held"]])
     for k, t, *_ in rows:
-        s = symbols(t or "")
+        s, r = symbols(t or ""), got[k]
         want = -sum(math.log(p(tuple(s[i : i + ORDER]))) for i in range(len(t))) / len(t) if t else None
-        assert got[k][0] == len(t or "")
-        assert (got[k][1] is None) if want is None else abs(got[k][1] - want) < 1e-5
-
-
-def test_probabilities_sum_to_one():
-    draw = np.random.default_rng(1)
-    counts = draw.integers(0, 5, (8, 8)).astype(float)
-    below = np.full(8, 1 / 8)
-    assert np.allclose(quality._smoothed(counts, [0.4, 0.8, 1.1], below).sum(axis=-1), 1)
+        assert r["chars"] == len(t or "")
+        assert (r["log_ppl"] is None) if want is None else abs(r["log_ppl"] - want) < 3e-3
+
+
+def test_one_text_in_eight_is_held_out_with_its_copies(spark):
+    texts = [f"text {k // 2}" for k in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(800)], "doc_id long, quality int, toxic int")
+    held = [r["doc_id"] for r in quality.scores(docs, labels).filter("held").collect()]
+    assert 60 < len(held) < 140 and {k ^ 1 for k in held} == set(held)
+
+
+def test_packed_arrays():
+    draw = np.random.default_rng(5)
+    for codes in (np.zeros(0, np.int64), np.unique(draw.integers(0, 1 << 60, 5000)), np.array([7])):
+        assert (quality.unpack_grams(quality.pack_grams(codes)) == codes).all()
+        order, ends = quality._by_shard(codes, 16)
+        assert sorted(order.tolist()) == list(range(len(codes))) and ends[-1] == len(codes)
+    codes, counts = quality.merged(np.array([5, 3, 5, 9]), np.array([1, 2, 3, 4]))
+    assert codes.tolist() == [3, 5, 9] and counts.tolist() == [2, 4, 4]
+
+
+def test_limit_is_the_far_quantile_of_held_out_texts(spark):
+    draw = random.Random(8)
+    rows = [(k, x, k % 3 > 0, 1000 + k, (1.3 if x == "en" else 2.0) + draw.gauss(0, 0.05)) for k in range(600) for x in ("en", "de", None)] + [(9, "fr", True, 50, 1.0), (8, "en", True, 0, None)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, held boolean, chars long, log_ppl double")
+    got = {(r["every"], r["lang"]): (r["median"], r["high"]) for r in quality.limits(scored).collect()}
+    assert set(got) == {(False, "en"), (False, "de"), (False, None), (True, None)}
+    for every, lang in got:
+        of = [(n, p) for _, x, held, n, p in rows if held and p is not None and (every or x == lang)]
+        median = sorted(p for _, p in of)[(len(of) + 1) // 2 - 1]
+        judged = sorted((p * n + median * quality.PRIOR_CHARS) / (n + quality.PRIOR_CHARS) for n, p in of)
+        mid, high = judged[(len(of) + 1) // 2 - 1], judged[math.ceil(0.75 * len(of)) - 1]
+        want = mid + NormalDist().inv_cdf(1 - quality.TAIL) / NormalDist().inv_cdf(0.75) * (high - mid)
+        assert abs(got[every, lang][0] - median) < 1e-9 and abs(got[every, lang][1] - want) < 1e-9
 
 
 def corpus(spark):
     draw = random.Random(3)
-    words = ["river", "stone", "market", "window", "garden", "letter", "winter", "music"]
-    clean = [(k, " ".join(draw.choices(words, k=40)) + ".", "en" if k % 2 else "de") for k in range(120)]
-    junk = [(200 + k, "".join(draw.choice("#$%&*@XQZ") for _ in range(200)), "en") for k in range(5)]
-    odd = [(300, None, "en"), (301, "", None), (302, "river stone", None), (303, "x" * 30, "fr"), (None, "river stone market.", "en"), (1, clean[1][1], "en")]
+    latin = ["river", "stone", "market", "window", "garden", "letter", "winter", "music"]
+    other = ["река", "камень", "рынок", "окно", "сад", "письмо", "зима", "музыка"]
+    clean = [(k, " ".join(draw.choices(latin if k % 2 else other, k=40)) + ".", "en" if k % 2 else "ru") for k in range(480)]
+    junk = [(1000 + k, "".join(draw.choice("#$%&*@XQZ") for _ in range(600)), "en") for k in range(5)]
+    junk += [(1010 + k, "".join(draw.sample("".join(other), 30)) * 20, "ru") for k in range(5)]
+    odd = [(1300, None, "en"), (1301, "", None), (1302, "river stone", None), (1303, "river", "fr"), (None, clean[3][1], "en"), (1, clean[1][1], "en")]
     docs = spark.createDataFrame([(i, t, x, "s", 1, "c") for i, t, x in clean + junk + odd], "doc_id long, text string, lang string, source string, n_chars long, keep string")
-    return docs, spark.createDataFrame([(k, 1, 0) for k in range(0, 120, 3)], "doc_id long, quality int, toxic int")
+    return docs, spark.createDataFrame([(k, 1, 0) for k in range(480)], "doc_id long, quality int, toxic int")
 
 
 def test_junk_goes_and_clean_stays(spark):
+    """By language: each has its script, so that the others' classes of characters are tested too."""
     docs, labels = corpus(spark)
     kept = quality.keep(docs, labels)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert not {200, 201, 202, 203, 204} & set(ids) and set(range(120)) | {300, 301, 302, 303} <= set(ids) and ids.count(1) == 2
+    assert not set(range(1000, 1020)) & set(ids) and set(range(480)) | {None, 1300, 1301, 1302, 1303} <= set(ids) and ids.count(1) == 2
+    judged = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    assert judged[1303]["limit"] == judged[1302]["limit"] != judged[1]["limit"]  # of all languages
 
 
 def test_without_labels_or_rows(spark):
