@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 SHINGLE = 5
 RECALL = 0.9999
 MOST_HASHES = 160
-CHUNK_TEXTS = 256
+CHUNK_TEXTS = 1024
 CHUNK_CHARS = 2_000_000
 MATRIX_COLUMNS = 4096
 
@@ -95,11 +95,11 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
             for text in part.column(2).to_pylist():
                 words = text.lower().split()
                 hashes = hasher()(words)
-                keys.append(int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True))
+                keys.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 chars.append(len(text))
                 buckets.append(band_hashes(np.unique(shingle_hashes(hashes, SHINGLE)), bands, rows).view(np.int64) if words else [])
-            columns = [part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(chars, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "chars", "buckets"])
+            columns = [part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(chars, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "words", "chars", "buckets"])
 
 
 def _sizes(sets: list[np.ndarray]) -> np.ndarray:
@@ -200,18 +200,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def signed(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(doc_id, text_hash, key, chars, buckets) of every row, in the shared folder: the key is a hash
-    of the text's words, the buckets are its band hashes (none without words). No shuffle."""
+    """(doc_id, text_hash, words, chars, buckets) of every row, in the shared folder: a 128-bit hash
+    of the text's words, and its band hashes (none without words). No shuffle."""
     bands, rows = banding(similarity, recall)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    made = plain.mapInArrow(lambda b: _signed(b, bands, rows), "doc_id long, text_hash long, key long, chars long, buckets array<long>")
+    made = plain.mapInArrow(lambda b: _signed(b, bands, rows), "doc_id long, text_hash long, words binary, chars long, buckets array<long>")
     return stored(made)
 
 
 def _large_buckets(texts: DataFrame) -> DataFrame:
     """(key, bucket, members): a row for each bucket of two texts or more that a text is in."""
-    keyed = texts.select("key", F.explode("buckets").alias("bucket")).repartition("bucket")
+    keyed = texts.select("key", F.explode("buckets").alias("bucket"))
+    # counted before the shuffle, so that a bucket of many texts is few rows
     large = keyed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     return stored(keyed.join(large, "bucket").select("key", "bucket", "members"))
 
@@ -238,8 +239,9 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECAL
     rows = signed(docs, similarity, recall)
     # copy_id and text_hash are of one row, which stands for the class; rows without an id come last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    texts = rows.groupBy("key").agg(first, F.count("*").alias("n_copies"), F.max("chars").alias("chars"), F.first("buckets").alias("buckets"))
-    texts = stored(texts.select("key", F.col("first.doc_id").alias("copy_id"), "n_copies", F.col("first.text_hash").alias("text_hash"), "chars", "buckets"))
+    texts = rows.groupBy("words").agg(first, F.count("*").alias("n_copies"), F.max("chars").alias("chars"), F.first("buckets").alias("buckets"))
+    # a class has a number of its own, which stays as it is written
+    texts = stored(texts.select("words", F.monotonically_increasing_id().alias("key"), F.col("first.doc_id").alias("copy_id"), "n_copies", F.col("first.text_hash").alias("text_hash"), "chars", "buckets"))
     met = _large_buckets(texts)
     chunk_of = _chunks(met, texts)
     spans = met.select("key", "bucket").join(chunk_of, "key").groupBy("bucket", "chunk").agg(F.count("*").alias("n"))
@@ -264,9 +266,9 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECAL
     heads = groups.select("root").distinct().join(texts.select(F.col("key").alias("root"), F.col("copy_id").alias("root_id")), "root")
     smallest = grouped.groupBy("root").agg(F.min("copy_id").alias("other_id")).join(heads, "root").select(F.col("root").alias("r"), F.least("other_id", "root_id").alias("class_id"))
     placed = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).join(smallest, F.col("root") == F.col("r")).select("node", "class_id")
-    facts = texts.select("key", "copy_id", "n_copies").join(placed, F.col("key") == F.col("node"), "left").join(counts, F.col("key") == F.col("k"), "left")
-    facts = facts.select("key", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return rows.select("doc_id", "text_hash", "key").join(facts, "key").select("doc_id", "text_hash", "copy_id", "class_id", "n_links", "n_copies")
+    facts = texts.select("words", "key", "copy_id", "n_copies").join(placed, F.col("key") == F.col("node"), "left").join(counts, F.col("key") == F.col("k"), "left")
+    facts = facts.select("words", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return rows.select("doc_id", "text_hash", "words").join(facts, "words").select("doc_id", "text_hash", "copy_id", "class_id", "n_links", "n_copies")
 
 
 def first_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
