@@ -271,22 +271,26 @@ def low_orders(counts: DataFrame) -> tuple[dict[int, list[float]], np.ndarray]:
     return cuts, smoothed(pairs, single).astype(np.float32).ravel()
 
 
-def _block_grams(docs: pa.Table) -> np.ndarray:
-    """Different n-grams of a block, ascending."""
-    found, waiting = [], 0
+def _block_grams(docs: pa.Table) -> tuple[np.ndarray, list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """(different n-grams of a block, ascending; for each of its rows, of each part of its texts: the part's different
+    n-grams, which of them ends at each character, and the texts' lengths)."""
+    rows, found, waiting = [], [np.zeros(0, np.int64)], 0
     for row in docs.to_pylist():
+        rows.append([])
         for part in _parts(_texts(row)):
-            found.append(np.unique(grams(part)[0]))
-            waiting += len(found[-1])
+            codes, lengths = grams(part)
+            own, place = np.unique(codes, return_inverse=True)
+            rows[-1].append((own, place.astype(np.int32), lengths))
+            found.append(own)
+            waiting += len(own)
             if waiting > HELD_GRAMS:
-                found = [np.unique(np.concatenate(found))]
-                waiting = 0
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                found, waiting = [np.unique(np.concatenate(found))], 0
+    return np.unique(np.concatenate(found)), rows
 
 
 def _asked(docs: pa.Table, shards: int) -> pa.Table:
     """A block's requests to the shards."""
-    codes, rows = _block_grams(docs), []
+    codes, rows = _block_grams(docs)[0], []
     order, ends = _by_shard(codes, shards)
     block = docs["block"][0].as_py() if docs.num_rows else 0
     for shard, (low, high) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
@@ -313,7 +317,7 @@ def _answered(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
 
 def _scores(docs: pa.Table, answers: pa.Table, shards: int) -> pa.Table:
     """Log-probability of every text of one block, from the shards' answers."""
-    codes = _block_grams(docs)
+    codes, rows = _block_grams(docs)
     order, ends = _by_shard(codes, shards)
     logs = np.zeros(len(codes), dtype=np.float32)
     for row in answers.to_pylist():
@@ -322,11 +326,10 @@ def _scores(docs: pa.Table, answers: pa.Table, shards: int) -> pa.Table:
         own = np.ascontiguousarray(planes.T).view(np.float16).ravel()
         logs[order[high - len(own) : high]] = own
     out = [[], [], [], [], [], []]
-    for row in docs.to_pylist():
+    for row, parts in zip(docs.select(["doc_ids", "hashes", "langs", "good"]).to_pylist(), rows):
         totals, sizes = [], []
-        for part in _parts(_texts(row)):
-            own, lengths = grams(part)
-            running = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(codes, own)] if len(own) else own, dtype=np.float64)])
+        for own, place, lengths in parts:
+            running = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(codes, own)][place], dtype=np.float64)])
             at = np.cumsum(lengths)
             totals += (running[at] - running[at - lengths]).tolist()
             sizes += lengths.tolist()
