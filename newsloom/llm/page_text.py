@@ -5,11 +5,14 @@ A page is cut into leaf blocks: runs of text between block-level tags, each with
 order, hashed vectors of its tag path and of its words, and says whether the block belongs to the article.
 The network is trained here, on pages built from layouts with known labels, filled with words of
 a bounded sample of the given pages (``SAMPLE_PAGES``); its weights are a few thousand numbers that
-go to the tasks with the function. Every page is then labelled where it is read.
-
-Defined results: null or empty html has an empty text; scripts, styles, comments and markup never count
-as text; character references are decoded, white space inside a block becomes one space, blocks are
-joined in page order by one space; unclosed tags end with their parents; repeated rows have a row each;
+go to the tasks with the function. In part of them names of classes and ids mean nothing, so that tags, links, lengths
+and places must tell. Every page is then labelled where it is read; a long page is read in stretches of
+``STRETCH`` blocks, forwards and backwards, with the network's state carried on.
+
+Defined results: null or empty html has an empty text; scripts, styles, templates, frames, drawings, comments and markup never
+count as text; character references are decoded, white space inside a block becomes one space, blocks are
+joined in page order by one space; unclosed tags end with their parents; tags may be nested to any depth, at a fixed
+cost each; text without tags is one block; a block whose score is exactly 0 is left out; repeated rows have a row each;
 other columns are ignored; an empty table gives no rows.
 """
 
@@ -19,8 +22,10 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 64
-PATH_SIZE, LEAF_SIZE, WORD_SIZE, FACTS = 192, 48, 24, 5
+PATH_SIZE, LEAF_SIZE, WORD_SIZE, FACTS = 320, 64, 24, 5
 INPUT = PATH_SIZE + LEAF_SIZE + WORD_SIZE + FACTS
 HIDDEN = 16
-TRAIN_PAGES, EPOCHS, BATCH, RATE = 480, 10, 32, 0.01
-PAGES_AT_ONCE = 128
+TRAIN_PAGES, EPOCHS, BATCH, RATE = 900, 8, 32, 0.01
+PAGES_AT_ONCE, STRETCH = 128, 8192
+SAMPLE_WORDS = 1 << 15
 LABEL = ""  # stands before main blocks in training pages only
 
 # HTML's void elements, elements whose content is no text, and inline elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template noscript iframe object svg math canvas audio video".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style template iframe svg".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mrow mi mn mo msup msub mfrac msqrt mtext".split())
 #: An opening tag closes an open one of these within the nearest block.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -60,46 +66,68 @@ def _slot(kind: str, token: str, size: int) -> int:
     return zlib.crc32(f"{kind}:{token}".encode()) % size
 
 
+class Node(NamedTuple):
+    """An open tag: its name, the slots of its path so far as bits, and the nearest two block tags with their names."""
+
+    name: str
+    bits: int
+    blocks: tuple[tuple[str, tuple[str, ...]], ...]
+
+
+ROOT = Node("", 0, ())
+
+
+def opened(parent: Node, name: str, parts: tuple[str, ...]) -> Node:
+    bits = parent.bits if name in ("html", "body") else parent.bits | 1 << _slot("tag", name, PATH_SIZE)
+    for part in parts:
+        bits |= 1 << _slot("name", part, PATH_SIZE)
+    return Node(name, bits, parent.blocks if name in INLINE else ((name, parts), *parent.blocks[:1]))
+
+
 @lru_cache(20_000)
-def _path_vector(path: tuple[tuple[str, tuple[str, ...]], ...]) -> np.ndarray:
+def _path_vector(bits: int, blocks: tuple[tuple[str, tuple[str, ...]], ...]) -> np.ndarray:
     vector = np.zeros(PATH_SIZE + LEAF_SIZE, dtype=np.float32)
-    for name, parts in path:
-        if name not in ("html", "body"):
-            vector[_slot("tag", name, PATH_SIZE)] = 1
-        for part in parts:
-            vector[_slot("name", part, PATH_SIZE)] = 1
-    blocks = [x for x in path if x[0] not in INLINE] or [("", ())]
-    for depth, (name, parts) in enumerate(blocks[:-3:-1]):
+    raw = np.frombuffer(bits.to_bytes(PATH_SIZE // 8, "little"), dtype=np.uint8)
+    vector[:PATH_SIZE] = np.unpackbits(raw, bitorder="little")
+    for depth, (name, parts) in enumerate(blocks or (("", ()),)):
         for token in (name, *parts):
             vector[PATH_SIZE + _slot(f"leaf{depth}", token, LEAF_SIZE)] = 1
     return vector
 
 
-def leaves(page: str) -> list[tuple[tuple, str, int]]:
-    """(path, text, characters inside links) of the page's blocks, in order."""
-    out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def leaves(page: str) -> list[tuple[Node, str, int]]:
+    """(innermost open tag, text, characters inside links) of the page's blocks, in order."""
+    out: list[tuple[Node, str, int]] = []
+    stack: list[Node] = [ROOT]
+    blocks: list[int] = []  # where block tags are in the stack
+    open_names: Counter[str] = Counter()
     text: list[str] = []
-    linked, links, at, size = 0, 0, 0, len(page)
-    path: tuple | None = None
+    linked, at, size = 0, 0, len(page)
+    place: Node | None = None
 
     def flush() -> None:
-        nonlocal linked, path
+        nonlocal linked, place
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append((path or (), whole, min(linked, len(whole))))
+                out.append((place or ROOT, whole, min(linked, len(whole))))
             text.clear()
-        linked, path = 0, None
+        linked, place = 0, None
 
     def add(piece: str) -> None:
-        nonlocal linked, path
-        if path is None and not piece.isspace():
-            path = tuple(stack)
+        nonlocal linked, place
+        if place is None and not piece.isspace():
+            place = stack[-1]
         text.append(piece)
-        if links:
+        if open_names["a"]:
             linked += len(piece)
 
+    def shut(k: int) -> None:
+        open_names.subtract(x.name for x in stack[k:])
+        del stack[k:]
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
+
     while at < size:
         found = TOKEN.search(page, at)
         if not found:
@@ -118,11 +146,11 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
         if name not in INLINE:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    links -= sum(x[0] == "a" for x in stack[k:]) if links else 0
-                    del stack[k:]
-                    break
+            if open_names[name] > 0:
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                shut(k)
             continue
         if name in RAW:
             if not rest.endswith("/"):
@@ -131,17 +159,13 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
             continue
         if name in VOID:
             continue
+        # only the nearest block can end by an opening tag
+        if name not in INLINE and blocks and (stack[blocks[-1]].name == "p" or stack[blocks[-1]].name in CLOSES.get(name, ())):
+            shut(blocks[-1])
         if name not in INLINE:
-            shut = CLOSES.get(name, set()) | {"p"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
-                    links -= sum(x[0] == "a" for x in stack[k:]) if links else 0
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        stack.append((name, _names(rest) if rest else ()))
-        links += name == "a"
+            blocks.append(len(stack))
+        stack.append(opened(stack[-1], name, _names(rest) if rest else ()))
+        open_names[name] += 1
     flush()
     return out
 
@@ -159,10 +183,10 @@ class _WordSlots(dict):
 WORD_SLOTS = _WordSlots()
 
 
-def features(blocks: list[tuple[tuple, str, int]]) -> np.ndarray:
+def features(blocks: list[tuple[Node, str, int]]) -> np.ndarray:
     made, slot = np.zeros((len(blocks), INPUT), dtype=np.float32), WORD_SLOTS.__getitem__
-    for row, (path, text, linked) in zip(made, blocks):
-        row[: PATH_SIZE + LEAF_SIZE] = _path_vector(path)
+    for row, (node, text, linked) in zip(made, blocks):
+        row[: PATH_SIZE + LEAF_SIZE] = _path_vector(node.bits, node.blocks)
         words = text.split()
         counts = np.bincount(np.fromiter(map(slot, words), np.int64, len(words)), minlength=WORD_SIZE)
         low = PATH_SIZE + LEAF_SIZE
@@ -182,11 +206,12 @@ class Network:
             self.w |= {f"x{d}": make(INPUT, 4 * HIDDEN), f"h{d}": make(HIDDEN, 4 * HIDDEN), f"b{d}": np.zeros(4 * HIDDEN, np.float32)}
             self.w[f"b{d}"][HIDDEN : 2 * HIDDEN] = 1
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, kept: list | None) -> np.ndarray:
-        """Hidden states of one direction; x is (time, pages, inputs). A padded step changes nothing."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, kept: list | None = None, state: list | None = None) -> np.ndarray:
+        """Hidden states of one direction; x is (time, pages, inputs). A padded step changes nothing. ``state`` has
+        what an earlier stretch ended with, and then what this one ends with."""
         steps, pages = x.shape[:2]
         inputs = x @ self.w[f"x{d}"] + self.w[f"b{d}"]
-        h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+        h, c = state if state else (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
         out = np.zeros((steps, pages, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = inputs[t] + h @ self.w[f"h{d}"]
@@ -200,8 +225,20 @@ class Network:
                 kept.append((t, h, c, i, f, o, g, tanh_c, m))
             h, c = m * o * tanh_c + (1 - m) * h, m * new_c + (1 - m) * c
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
+    def long_scores(self, blocks: list) -> np.ndarray:
+        """Scores of one page's blocks, with the features of one stretch at a time."""
+        states, lows = {d: np.zeros((len(blocks), HIDDEN), np.float32) for d in "fb"}, range(0, len(blocks), STRETCH)
+        for d, order in (("f", lows), ("b", reversed(lows))):
+            state: list = []
+            for low in order:
+                x = features(blocks[low : low + STRETCH])[:, None, :]
+                states[d][low : low + STRETCH] = self._run(x, np.ones(x.shape[:2], np.float32), d, None, state)[:, 0]
+        return (np.concatenate([states["f"], states["b"]], axis=1) @ self.w["out"])[:, 0] + self.w["bias"]
+
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         states = np.concatenate([self._run(x, mask, d, None) for d in "fb"], axis=2)
         return (states @ self.w["out"])[:, :, 0] + self.w["bias"]
@@ -241,16 +278,20 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 # Layouts of training pages. Containers of an article, and parts that are none.
-MAIN = ["<article>", "<main>", '<div class="content">', '<div id="main-content">', '<div class="post">', '<div class="entry-content">', '<section class="story">', '<div class="article-body">', '<div id="article">', '<main><article>', '<div class="container"><article>', '<div id="content"><div class="text">', ""]
+MAIN = ["<article>", "<main>", '<div class="content">', '<div id="main-content">', '<div class="post">', '<div class="entry-content">', '<section class="story">', '<div class="article-body">', '<div id="article">', '<main><article>', '<div class="container"><article>', '<div id="content"><div class="text">', '<div class="prose">', '<div class="story-body">', '<div class="page">', '<div class="wrapper"><div class="body-copy">', "<div>", "<section>", ""]
 SMALL_TALK = "home login search subscribe newsletter cookies accept privacy terms contact about share follow advert sponsored related more menu close sign up next previous".split()
 ASIDES = {
-    "list": ["<nav>", '<div class="menu">', '<div id="navigation">', '<ul class="nav">', '<div class="breadcrumbs">', '<div class="related">', '<div class="share social">', '<div class="tags">', '<aside class="links">', '<div class="toc">', '<div class="widget">'],
-    "text": ["<header>", "<footer>", "<aside>", '<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="advertisement">', '<div class="banner">', '<div class="sponsor">', '<div class="promo">', '<div class="sidebar">', '<div id="sidebar">', '<div class="cookie-notice">', '<div class="notice">', '<div class="cookie consent">', '<div class="alert">', '<div class="popup modal">', '<div class="newsletter">', '<form class="signup">', "<form>", '<div class="footer">', '<div class="header">', '<div id="header">', '<div class="copyright">', '<div role="navigation">', '<div role="complementary">', '<div role="banner">', '<div role="contentinfo">', '<div class="subscribe">', '<div class="teaser">', '<div class="paywall">', '<div class="author bio">', "<dialog>", '<div class="disclaimer">'],
-    "talk": ['<section class="comments">', '<div id="comments">', '<div class="comment">', '<ol class="comment-list">', '<div class="reader-comments">', '<div class="discussion">', '<div class="responses">', '<section id="comments">', '<div class="reviews">', '<div class="disqus thread">'],
+    "list": ["<nav>", '<div class="menu">', '<div id="navigation">', '<ul class="nav">', '<div class="breadcrumbs">', '<div class="related">', '<div class="share social">', '<div class="tags">', '<aside class="links">', '<div class="toc">', '<div class="widget">', '<div class="masthead">', '<div class="topbar">', '<div class="recirc">', '<div class="most-read">', '<ul class="pagination">', "<ul>", "<div>"],
+    "text": ["<header>", "<footer>", "<aside>", '<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="advertisement">', '<div class="banner">', '<div class="sponsor">', '<div class="promo">', '<div class="sidebar">', '<div id="sidebar">', '<div class="cookie-notice">', '<div class="notice">', '<div class="cookie consent">', '<div class="alert">', '<div class="popup modal">', '<div class="newsletter">', '<form class="signup">', "<form>", '<div class="footer">', '<div class="header">', '<div id="header">', '<div class="copyright">', '<div role="navigation">', '<div role="complementary">', '<div role="banner">', '<div role="contentinfo">', '<div class="subscribe">', '<div class="teaser">', '<div class="paywall">', '<div class="author bio">', "<dialog>", '<div class="disclaimer">', '<div class="masthead">', '<div class="legal">', '<div class="colophon">', '<div class="gdpr">', '<div class="recirc">'],
+    "talk": ['<section class="comments">', '<div id="comments">', '<div class="comment">', '<ol class="comment-list">', '<div class="reader-comments">', '<div class="discussion">', '<div class="responses">', '<section id="comments">', '<div class="reviews">', '<div class="disqus thread">', '<div class="replies">', '<ul class="reply-list">', '<div id="respond">'],
 }
 #: Where layouts put parts inside an article.
-INSIDE = {"list": ['<div class="related">', '<div class="share social">', '<div class="tags">', '<nav class="toc">'], "text": ["<aside>", '<div class="ad">', '<div class="advert">', '<div class="promo">', '<div class="newsletter">', "<form>", '<div class="notice">', "<footer>", '<div class="sponsor">'], "talk": ASIDES["talk"]}
+INSIDE = {"list": ['<div class="related">', '<div class="share social">', '<div class="tags">', '<nav class="toc">', '<div class="recirc">'], "text": ["<aside>", '<div class="ad">', '<div class="advert">', '<div class="promo">', '<div class="newsletter">', "<form>", '<div class="notice">', "<footer>", '<div class="sponsor">'], "talk": ASIDES["talk"]}
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 NOISE = ["row", "col", "box", "wrap", "inner", "block", "clearfix", "x1", "x2", "grid", "main", "page", "site", "item"]
+NAMED = re.compile(r' (?:class|id)="[^"]*"')
+#: Tags that say without a name what they hold; a part of another tag and without a name is made of links or is short.
+TELLING = ("<nav", "<header", "<footer", "<aside", "<form", "<dialog")
 
 
 def _close(opened: str) -> str:
@@ -264,13 +305,24 @@ def training_page(draw: random.Random, words: list[str]) -> str:
         out = " ".join(draw.choices(words, k=draw.randint(low, high)))
         return out[:1].upper() + out[1:] + draw.choice([".", ".", ".", "", "!"])
 
+    nameless = draw.random() < 0.3  # names of this page mean nothing
+
+    def unnamed(markup: str) -> str:
+        return NAMED.sub(lambda _: draw.choice(["", f' class="{"".join(draw.choices(LETTERS, k=draw.randint(2, 9)))}"']), markup) if nameless else markup
+
     def part(kinds: dict[str, list[str]], kind: str) -> str:
         opened = draw.choice(kinds[kind])
+        bare = "class" not in opened and "id=" not in opened and "role" not in opened
+        if kind != "list" and (nameless or bare) and not opened.startswith(TELLING):
+            kind = "short"
         if draw.random() < 0.15:
             opened = f'<div class="{draw.choice(NOISE)}">' + opened
         if kind == "list":
             items = [f'<a href="/{k}">{draw.choice(words if draw.random() < 0.6 else SMALL_TALK)}</a>' for k in range(draw.randint(2, 9))]
             body = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if draw.random() < 0.7 and not opened.startswith("<ul") else "".join(f"<li>{x}</li>" if opened.startswith("<ul") else f"{x} " for x in items)
+        elif kind == "short":
+            bits = [" ".join(draw.choices(SMALL_TALK, k=draw.randint(1, 4))) if draw.random() < 0.7 else f'<a href="/">{sentence(1, 3)}</a>' for _ in range(draw.randint(1, 3))]
+            body = "".join(draw.choice(["<p>{}</p>", "<div>{}</div>", "<span>{}</span> "]).format(b) for b in bits)
         elif kind == "text":
             bits = [sentence(2, 25) if draw.random() < 0.6 else " ".join(draw.choices(SMALL_TALK, k=draw.randint(1, 5))) for _ in range(draw.randint(1, 3))]
             body = bits[0] if draw.random() < 0.4 else "".join(draw.choice(["<p>{}</p>", "<div>{}</div>", "<h3>{}</h3>", "<li>{}</li>"]).format(b) for b in bits)
@@ -279,8 +331,11 @@ def training_page(draw: random.Random, words: list[str]) -> str:
         else:
             body = f"<h3>{draw.choice(['Comments', 'Discussion', sentence(1, 3)])}</h3>" if draw.random() < 0.6 else ""
             body += "".join(draw.choice(['<div class="comment"><p>{}</p></div>', "<p>{}</p>", "<li><p>{}</p></li>", "<li>{}</li>", "<div><b>{}</b></div>"]).format(sentence(3, 60)) for _ in range(draw.randint(1, 6)))
-        return opened + body + _close(opened)
+        return unnamed(opened) + body + _close(opened)
 
+    if draw.random() < 0.04:  # nothing but text, with or without line breaks
+        body = LABEL + draw.choice([" ", "<br>", "<br><br>"]).join(sentence(5, 60) for _ in range(draw.randint(1, 6)))
+        return draw.choice(["{}", "<html><body>{}</body></html>", "<pre>{}</pre>", "<body><div>{}</div>"]).format(body)
     opened = draw.choice(MAIN)
     if opened and draw.random() < 0.15:
         opened = f'<div class="{draw.choice(NOISE)}">' + opened
@@ -304,11 +359,11 @@ def training_page(draw: random.Random, words: list[str]) -> str:
     if opened:
         for _ in range(draw.choice([0, 0, 0, 1, 2])):
             blocks.insert(draw.randint(1, len(blocks)), part(INSIDE, draw.choice(["list", "text", "text"])))
-        if draw.random() < 0.2:
+        if draw.random() < 0.2 and not nameless:
             blocks.append(part(INSIDE, "talk"))
     before = [part(ASIDES, draw.choice(["list", "list", "text"])) for _ in range(draw.randint(0, 4))]
     after = [part(ASIDES, draw.choice(["list", "text", "text", "talk"])) for _ in range(draw.randint(0, 4))]
-    main = opened + "".join(blocks) + _close(opened)
+    main = unnamed(opened) + "".join(blocks) + _close(opened)
     return f"<html><head><title>{sentence(1, 9)}</title></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
 
 
@@ -346,7 +401,10 @@ def main_texts(net: Network, pages: list[str]) -> list[str]:
     """The main text of each page."""
     cut = [leaves(p) for p in pages]
     out = [""] * len(pages)
-    order = sorted((k for k in range(len(pages)) if cut[k]), key=lambda k: len(cut[k]))
+    for k, blocks in enumerate(cut):
+        if len(blocks) > STRETCH:
+            out[k] = " ".join(text for (_, text, _), s in zip(blocks, net.long_scores(blocks)) if s > 0)
+    order = sorted((k for k in range(len(pages)) if 0 < len(cut[k]) <= STRETCH), key=lambda k: len(cut[k]))
     low = 0
     while low < len(order):
         high = low + 1  # pages of like length, and no more cells than a few large pages have
@@ -363,17 +421,27 @@ def main_texts(net: Network, pages: list[str]) -> list[str]:
 
 def _extract(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            part = batch.slice(low, 512)
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(main_texts(net, part.column(2).to_pylist()), pa.string())], names=["page_id", "url", "text"])
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for page in batch.column(0).to_pylist():
+            words = sorted({w for _, text, _ in leaves(page or "") for w in text.split()})
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+
+
 def sample_words(pages: DataFrame, most: int = SAMPLE_PAGES) -> tuple[str, ...]:
-    """Words of at most ``most`` pages, those with the smallest ids."""
+    """Words of the pages with the ``most`` smallest ids, SAMPLE_WORDS of them at most, by their hashes. The pages are read in
+    tasks; the words alone come to the driver."""
     ids = [r[0] for r in pages.select("page_id").filter("page_id is not null").distinct().orderBy("page_id").limit(most).collect()]
-    rows = pages.filter(F.col("page_id").isin(ids)).select("html").limit(2 * most).collect() if ids else []
-    words = {w for r in rows for _, text, _ in leaves(r["html"] or "") for w in text.split()}
-    return tuple(sorted(words)[: 1 << 15]) or tuple(SMALL_TALK)
+    if not ids:
+        return tuple(SMALL_TALK)
+    words = pages.filter(F.col("page_id").isin(ids)).select(F.col("html").cast("string")).mapInArrow(_words, "word string").distinct()
+    rows = words.filter(F.length("word") <= 100).orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).collect()
+    return tuple(sorted(r["word"] for r in rows)) or tuple(SMALL_TALK)
 
 
 def extract(pages: DataFrame, net: Network | None = None) -> DataFrame:

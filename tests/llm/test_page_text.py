@@ -1,4 +1,5 @@
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -17,10 +18,71 @@ def test_blocks_paths_and_white_space():
     page = '<body><div class="SideBar x2">a<b>b</b> c<br>d &amp; e&nbsp;f</div><script>var a="</p>"</script><!-- no --><p>one<p>two<ul><li><a href=x>link</a> t<li>u</ul>'
     blocks = page_text.leaves(page)
     assert [t for _, t, _ in blocks] == ["ab c d & e f", "one", "two", "link t", "u"]
-    assert blocks[0][0] == (("body", ()), ("div", ("side", "bar", "x", "2")))
+    assert blocks[0][0].blocks == (("div", ("side", "bar", "x", "2")), ("body", ())) and blocks[3][0].blocks[0][0] == "li"
+    assert blocks[0][0].bits == sum(1 << s for s in {page_text._slot("tag", "div", page_text.PATH_SIZE)} | {page_text._slot("name", n, page_text.PATH_SIZE) for n in ("side", "bar", "x", "2")})
     assert blocks[3][2] == 4
 
 
+class Plain(HTMLParser):
+    """Blocks by the standard library's parser, for markup without implied ends."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.quiet = [], "", 0
+
+    def end_block(self):
+        self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+    def handle_starttag(self, tag, attributes):
+        if tag == "br":
+            self.text += " "
+        elif tag not in page_text.INLINE:
+            self.end_block()
+        self.quiet += tag in page_text.RAW
+
+    def handle_endtag(self, tag):
+        if tag not in page_text.INLINE:
+            self.end_block()
+        self.quiet -= tag in page_text.RAW
+
+    def handle_data(self, data):
+        self.text += "" if self.quiet else data
+
+
+def test_blocks_are_cut_as_by_a_plain_parser():
+    draw = random.Random(3)
+    for _ in range(300):
+        def inside(depth):
+            kinds = ["text"] * 3 + (["div", "section", "b", "a", "li", "h2", "i"] if depth else [])
+            out = ""
+            for _ in range(draw.randint(1, 4)):
+                kind = draw.choice(kinds)
+                out += draw.choice(["river ", " stone", "a &lt; b", "caf&eacute;\n", "<br>", "<!-- <p> -->", "<script>if (a < b) {}</script>", "<style>p{}</style>", "5 &gt; 3"]) if kind == "text" else f'<{kind} class="x>y">{inside(depth - 1)}</{kind}>'
+            return out
+        page = f"<html><body>{inside(4)}</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        plain.end_block()
+        assert [t for _, t, _ in page_text.leaves(page)] == [b for b in plain.blocks if b]
+
+
+def test_deep_and_long_pages_take_bounded_work(net):
+    deep = "<div>a" * 100_000 + "</span>" * 100_000 + "<b>" * 50_000 + "<p>x" * 50_000
+    blocks = page_text.leaves(deep)
+    assert len(blocks) == 150_000 and len(blocks[-1][0].blocks) == 2
+    few = page_text.leaves("<article>" + "<p>Evening light on the river road.</p>" * 500 + "</article>")
+    whole = net.scores(page_text.features(few)[:, None, :], np.ones((500, 1), np.float32))[:, 0]
+    old, page_text.STRETCH = page_text.STRETCH, 64
+    try:
+        assert np.allclose(net.long_scores(few), whole, atol=1e-4)
+    finally:
+        page_text.STRETCH = old
+    many = "<article>" + "<p>Evening light on the river road, and a story of the village.</p>" * 30_000 + "</article>"
+    assert page_text.main_texts(net, [many])[0].count("Evening") > 29_000
+
+
 def test_gradients_agree_with_differences():
     net = page_text.Network(1)
     draw = np.random.default_rng(0)
@@ -64,3 +126,32 @@ def test_odd_rows(spark, net):
     got = page_text.extract(pages, net).collect()
     assert len(got) == 5 and {r["page_id"]: len(r["text"]) for r in got} == {1: 0, 2: 0, None: len("Evening light on the river."), 4: 60_000 * 5 - 1}
     assert page_text.extract(pages.limit(0)).count() == 0
+
+
+ARTICLE = ["The river road", "Winter music came down from the mountain village, and the harbour was silver in the evening light.", "A letter from the market told the story of a bridge that no morning had seen before, with stone and paper in the garden."]
+MENU = '<ul><li><a href="/1">home</a></li><li><a href="/2">news</a></li><li><a href="/3">sport</a></li><li><a href="/4">login</a></li></ul>'
+BODY = f"<h1>{ARTICLE[0]}</h1><p>{ARTICLE[1]}</p><p>{ARTICLE[2]}</p>"
+#: Hand-made pages: the article is always the same, the rest must go.
+PAGES = {
+    "masthead and prose": f'<body><div class="masthead">{MENU}</div><div class="prose">{BODY}</div><div class="legal"><p>All rights reserved. Terms and privacy.</p></div></body>',
+    "page and legal": f'<body><div class="page">{BODY}</div><div class="legal"><p>Terms of use, privacy and cookies.</p></div></body>',
+    "recirculation": f'<body><main>{BODY}<div class="recirc"><h3>More</h3>{MENU}</div></main></body>',
+    "replies": f'<body><article>{BODY}</article><div class="replies"><h3>Replies</h3><p>great story, thanks</p><p>no bridge in my village</p></div></body>',
+    "tags alone": f"<body><header><a href=/>Daily</a></header><nav>{MENU}</nav><main>{BODY}</main><aside><p>subscribe to our newsletter</p></aside><footer><p>&copy; Daily</p></footer></body>",
+    "unknown names": f'<body><div class="qzx">{MENU}</div><div class="vvkt">{BODY}</div><div class="pwq"><a href="/">about</a> <a href="/c">contact</a></div></body>',
+    "names in ids": f'<body><div id="navigation">{MENU}</div><div id="content">{BODY}</div><div id="comments"><p>first!</p><p>what a story</p></div></body>',
+    "advert inside": f'<body><article><h1>{ARTICLE[0]}</h1><p>{ARTICLE[1]}</p><div class="advert">Buy silver now</div><p>{ARTICLE[2]}</p></article></body>',
+    "form": f'<body><article>{BODY}</article><form action="/s"><label>Email</label><input><button>Sign up</button></form></body>',
+    "cookie notice": f'<body><div class="cookie-notice"><p>We use cookies.</p><button>Accept</button></div><div class="content">{BODY}</div></body>',
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_hand_made_pages(net, name):
+    assert page_text.main_texts(net, [PAGES[name]]) == [" ".join(ARTICLE)]
+
+
+def test_text_without_tags_and_formulas(net):
+    assert page_text.main_texts(net, [ARTICLE[1]]) == [ARTICLE[1]]
+    page = f"<article><h1>{ARTICLE[0]}</h1><p>{ARTICLE[1]} Energy is <math><mi>E</mi></math> here.</p><noscript><p>{ARTICLE[2]}</p></noscript></article>"
+    assert page_text.main_texts(net, [page]) == [f"{ARTICLE[0]} {ARTICLE[1]} Energy is E here. {ARTICLE[2]}"]
