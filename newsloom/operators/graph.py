@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one is made only where none is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names: ``spark.checkpoint.dir``, or the checkpoint folder set on its context. A
+    temporary folder is made only on one machine; elsewhere executors could not read it."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder or tempfile.mkdtemp(prefix="spark-newsloom-")
 
 

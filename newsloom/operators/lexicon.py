@@ -31,18 +31,20 @@ def phrases(lexicon: DataFrame, phrase: str = "phrase") -> DataFrame:
 
 def hits(texts: DataFrame, lexicon: DataFrame, id_column: str, text_column: str, phrase: str = "phrase") -> DataFrame:
     """Rows of ``lexicon`` that occur in each folded text, with the text's id. A row occurs once for a text.
+    Word runs carry the id alone; the texts of those that met a phrase are joined again to confirm it.
     The longest phrase's length is the one number that goes to the driver."""
     table = phrases(lexicon, phrase)
     longest = table.agg(F.max("n_words")).first()[0] or 0
-    words = texts.select(id_column, text_column, plain_words(F.col(text_column)).alias("words"))
+    words = texts.select(id_column, plain_words(F.col(text_column)).alias("words"))
 
     def run(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
 
     runs = [run(n) for n in range(1, longest + 1)]
     grams = F.array_distinct(F.flatten(F.array(*[F.when(F.size("words") >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]))) if runs else F.array().cast("array<string>")
-    met = words.select(id_column, text_column, F.explode(grams).alias("key")).join(table, "key")
-    return met.filter(F.regexp_like(text_column, F.col("pattern"))).drop("key", "n_words", "pattern", text_column)
+    met = words.select(id_column, F.explode(grams).alias("key")).join(table, "key")
+    confirmed = met.join(texts.select(id_column, text_column), id_column).filter(F.regexp_like(text_column, F.col("pattern")))
+    return confirmed.drop("key", "n_words", "pattern", text_column)
 
 
 def keyword_categories(texts: DataFrame, keywords: DataFrame) -> DataFrame:

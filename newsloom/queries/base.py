@@ -24,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in ("documents", "pages") else df
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles: the first line is the title."""
+def articles(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Documents as articles: the first line is the title, and the summary is as long as normalisation leaves it.
+    ``more`` are columns to keep as they are."""
     docs = table(spark, sf_dir, "documents")
     number = F.substring("source", 4, 9).cast("int")
     return docs.select(
@@ -33,14 +34,14 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.trim(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120)).alias("title"), F.substring("text", 1, 1200).alias("summary"),
         F.concat("source", F.lit(".example.com")).alias("source_domain"), F.concat(F.lit("https://"), "source", F.lit(".example.com/a/"), (F.col("doc_id") % 700).cast("string")).alias("url"),
         F.timestamp_add("MINUTE", (37 * F.col("doc_id")).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("published"),
-        F.get(F.array(*[F.lit(t) for t in TYPES]), number).alias("source_type"), (number < 2).alias("is_official"), F.get(F.array(*[F.lit(t) for t in TICKERS]), (F.col("doc_id") % 11).cast("int")).alias("ticker"),
+        F.get(F.array(*[F.lit(t) for t in TYPES]), number).alias("source_type"), (number < 2).alias("is_official"), F.get(F.array(*[F.lit(t) for t in TICKERS]), (F.col("doc_id") % 11).cast("int")).alias("ticker"), *more,
     )
 
 
 _TYPES_SQL = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 #: The same as a common table expression ``a``.
 ARTICLES = f"""a AS (
-    SELECT lpad(doc_id::VARCHAR, 12, '0') AS article_id, doc_id, trim(substr(split_part(text, chr(10), 1), 1, 120)) AS title, substr(text, 1, 1200) AS summary,
+    SELECT lpad(doc_id::VARCHAR, 12, '0') AS article_id, doc_id, trim(substr(split_part(text, chr(10), 1), 1, 120)) AS title, substr(text, 1, 1200) AS summary, text AS body,
            source || '.example.com' AS source_domain, 'https://' || source || '.example.com/a/' || (doc_id % 700) AS url, TIMESTAMP '2024-01-01' + to_minutes(37 * doc_id) AS published,
            ({_TYPES_SQL})[substr(source, 4)::INTEGER + 1] AS source_type, substr(source, 4)::INTEGER < 2 AS is_official, 'T' || lpad((doc_id % 11)::VARCHAR, 2, '0') AS ticker
     FROM documents)"""
@@ -73,12 +74,12 @@ def has_sql(folded: str, phrases: list[str]) -> str:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with folded title and text."""
-    rows = articles(spark, sf_dir)
-    return rows.withColumns({"head_f": text.fold(F.col("title")), "text_f": text.fold(F.concat_ws(" ", "title", "summary"))})
+    """Articles with folded title and whole text."""
+    rows = articles(spark, sf_dir, "text")
+    return rows.withColumns({"head_f": text.fold(F.col("title")), "text_f": text.fold(F.concat_ws(" ", "title", "text"))}).drop("text")
 
 
-TEXTS = f"""{ARTICLES}, t AS (SELECT *, {fold_sql('title')} AS head_f, {fold_sql("title || ' ' || summary")} AS text_f FROM a)"""
+TEXTS = f"""{ARTICLES}, t AS (SELECT *, {fold_sql('title')} AS head_f, {fold_sql("title || ' ' || body")} AS text_f FROM a)"""
 
 
 def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

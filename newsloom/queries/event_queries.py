@@ -82,10 +82,10 @@ def confidence(spark, sf_dir):
     return assessed(spark, sf_dir).select("event_id", value.alias("confidence"))
 
 
-_HORIZON = {k: h for h, line in impact.HORIZON_OF.items() for k in line.split()}
+_HORIZON = impact.HORIZON_OF
 
 
-@query(f"""WITH {_ASSESSED}, h AS (SELECT event_id, relationship, CASE kind {' '.join(f"WHEN '{k}' THEN '{_HORIZON[k]}'" for k in KINDS if k in _HORIZON)} ELSE 'UNKNOWN' END AS h, CASE kind {' '.join(f"WHEN '{k}' THEN '{impact.IMPACTS[k]}'" for k in KINDS if k in impact.IMPACTS)} ELSE '' END AS impacts FROM r)
+@query(f"""WITH {_ASSESSED}, h AS (SELECT event_id, relationship, CASE kind {' '.join(f"WHEN '{k}' THEN '{_HORIZON[k]}'" for k in KINDS if k in _HORIZON)} ELSE 'UNKNOWN' END AS h, CASE kind {' '.join(f"WHEN '{k}' THEN '{' '.join(impact.IMPACTS[k])}'" for k in KINDS if k in impact.IMPACTS)} ELSE '' END AS impacts FROM r)
     SELECT event_id, CASE WHEN h = 'IMMEDIATE' AND relationship IN ('MACRO', 'SECTOR') THEN 'SHORT_TERM' ELSE h END AS horizon, impacts FROM h""")
 def time_horizon(spark, sf_dir):
     rows = assessed(spark, sf_dir)

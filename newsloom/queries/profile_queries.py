@@ -80,7 +80,7 @@ def watch_next(spark, sf_dir):
 
 
 _OPENING = "CASE relationship " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in impact.OPENINGS.items()) + " END"
-_TOUCHED = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{', '.join(x.lower().replace('_', ' ') for x in v.split()[:3])}'" for k, v in impact.IMPACTS.items()) + " END"
+_TOUCHED = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{', '.join(x.lower().replace('_', ' ') for x in v[:3])}'" for k, v in impact.IMPACTS.items()) + " END"
 
 
 @query(f"WITH {_ASSESSED}, i AS (SELECT *, {_TOUCHED} AS touched FROM r) SELECT event_id, {_OPENING} || '.' || coalesce(' The parts of the business most likely touched are ' || touched || '.', '') || ' Classified as ' || lower(replace(kind, '_', ' ')) || '.' AS why FROM i")
