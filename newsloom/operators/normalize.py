@@ -97,3 +97,11 @@ def profile_terms(lists: DataFrame) -> DataFrame:
         F.min_by("term", "pos").alias("term"), F.min("pos").alias("pos"), F.max("role").alias("role"),
         flag("export_markets").alias("is_export_market"), flag("international_topics").alias("is_international"), flag("associates").alias("is_associate"),
     ).drop("low")
+
+
+def isolate(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows that pass all checks, the others with ``reason``: the names of the checks that fail), so that a row that cannot
+    be used is named and ends no job. A check that is null fails (RL10)."""
+    failed = F.concat_ws("; ", *[F.when(~F.coalesce(passes, F.lit(False)), F.lit(name)) for name, passes in checks.items()])
+    marked = rows.withColumn("reason", failed)
+    return marked.filter("reason = ''").drop("reason"), marked.filter("reason <> ''")

@@ -156,3 +156,14 @@ def slices(since: Column, until: Column, days: int) -> Column:
     """Contiguous stretches of days [since, until), the last one short (BF1)."""
     starts = F.sequence(since, F.date_sub(until, 1), F.make_dt_interval(days=F.lit(days)))
     return F.transform(starts, lambda s: F.struct(s.alias("since"), F.least(F.date_add(s, days), until).alias("until")))
+
+
+def merge_slices(pairs: DataFrame) -> DataFrame:
+    """Rows of events of many slices (``slice_no``): an event found in several has the rows of the last one (BF2)."""
+    last = pairs.groupBy("event_id").agg(F.max("slice_no").alias("slice_no"))
+    return pairs.join(last, ["event_id", "slice_no"], "left_semi")
+
+
+def slice_totals(slices: DataFrame) -> DataFrame:
+    """Articles scanned and unique ones, over all slices (BF2)."""
+    return slices.agg(F.coalesce(F.sum("articles_scanned"), F.lit(0)).alias("articles_scanned"), F.coalesce(F.sum("unique_articles"), F.lit(0)).alias("unique_articles"))

@@ -192,6 +192,30 @@ def entity_best_alias(spark, sf_dir):
     return match.entities(rows, _aliases(spark), names)
 
 
+#: Two more names of each company: words that are other companies' aliases.
+_MORE_NAMES = [(t, NAMES[(k + step) % len(NAMES)], strength, pos) for k, t in enumerate(TICKERS) for step, strength, pos in ((4, "brand", 0), (7, "subsidiary", 2), (2, "subsidiary", 1))]
+_NAMED = " UNION ALL ".join(f"SELECT article_id, '{t}' AS ticker, '{w}' AS alias, '{strength}' AS strength, {pos} AS pos, {has_sql('head_f', [w])} AS in_headline FROM t WHERE {has_sql('text_f', [w])}" for t, w, strength, pos in _MORE_NAMES)
+
+
+@query(f"""WITH {_ALIASES}, have AS (SELECT article_id, ticker, alias, CASE WHEN is_primary THEN 'primary' ELSE 'secondary' END AS strength, in_headline FROM h WHERE reason IS NULL),
+    n AS ({_NAMED}), f AS (SELECT * FROM n ANTI JOIN have USING (article_id, ticker) QUALIFY row_number() OVER (PARTITION BY article_id, ticker ORDER BY strength <> 'subsidiary', pos, alias) = 1)
+    SELECT * FROM have UNION ALL SELECT article_id, ticker, alias, strength, in_headline FROM f""")
+def entity_fallback(spark, sf_dir):
+    """Subsidiaries and brands where no alias is found (EM4)."""
+    rows = texts(spark, sf_dir).withColumns({"collector": F.lit("rss"), "tickers_hint": F.array().cast("array<string>"), "is_official": F.lit(False)})
+    names = rows_of(spark, [(*r, []) for r in _MORE_NAMES], "ticker string, name string, strength string, pos int, excludes array<string>")
+    return match.entities(rows, _aliases(spark), names)
+
+
+@query(f"""WITH {ARTICLES}, c AS (SELECT article_id, concat_ws('; ', CASE WHEN NOT (title <> '') THEN 'no title' END, CASE WHEN NOT (length(summary) >= 40) THEN 'too short' END, CASE WHEN NOT contains(summary, chr(10)) THEN 'one line' END) AS reason FROM a)
+    SELECT article_id, reason FROM c""")
+def isolated_rows(spark, sf_dir):
+    """Rows that can be used, and the others with what is wrong with them (RL10)."""
+    checks = {"no title": F.col("title") != "", "too short": F.length("summary") >= 40, "one line": F.col("summary").contains("\n")}
+    good, bad = normalize.isolate(articles(spark, sf_dir), checks)
+    return good.select("article_id", F.lit("").alias("reason")).unionByName(bad.select("article_id", "reason"))
+
+
 @query(f"WITH {_ALIASES} SELECT article_id, ticker, alias, reason FROM h WHERE reason IS NOT NULL")
 def entity_rejections(spark, sf_dir):
     return match.rejections(match.alias_hits(texts(spark, sf_dir), _aliases(spark)))

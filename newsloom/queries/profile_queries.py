@@ -152,3 +152,17 @@ def stream_alerts(spark, sf_dir):
 def stream_undated(spark, sf_dir):
     dated, undated = streams.split_undated(table(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_id") % 10 != 0, F.col("ts"))))
     return dated.select("event_id", F.lit(False).alias("undated")).unionByName(undated.select("event_id", F.lit(True).alias("undated")))
+
+
+@query(f"WITH {PAIRS}, l AS (SELECT *, row_id % 5 AS slice_no FROM p) SELECT event_id, ticker, row_id, slice_no FROM l QUALIFY slice_no = max(slice_no) OVER (PARTITION BY event_id)")
+def backfill_merge(spark, sf_dir):
+    """Events of many slices, each as the last slice found it (BF2)."""
+    rows = pairs(spark, sf_dir).withColumn("slice_no", F.col("row_id") % 5)
+    return planning.merge_slices(rows).select("event_id", "ticker", "row_id", "slice_no")
+
+
+@query("SELECT sum(event_id % 100)::BIGINT AS articles_scanned, sum(event_id % 60)::BIGINT AS unique_articles FROM events")
+def backfill_totals(spark, sf_dir):
+    """What all slices scanned (BF2)."""
+    rows = table(spark, sf_dir, "events").select((F.col("event_id") % 100).alias("articles_scanned"), (F.col("event_id") % 60).alias("unique_articles"))
+    return planning.slice_totals(rows)
