@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +55,3 @@ def block_count(df: DataFrame, block_bytes: int = 16 << 20) -> int:
     makes large ones. Planning only; no job runs."""
     size = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df.rdd.getNumPartitions() * max(1, math.ceil(size / block_bytes))
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
