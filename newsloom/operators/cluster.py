@@ -1,18 +1,21 @@
 """From linked articles to events (CL1-CL9).
 
-Candidate pairs come from joins on ticker, day bucket and a shared title word; the greedy single-link order
-runs inside connected components of the pairs that pass, which gives the same clusters as running it over
-everything, since an article only ever joins one it passes with."""
+Candidate pairs come from joins on ticker, day bucket and a shared title word. Articles that are alike in all that
+pairs are judged by are one entry there, so that copies of a story are never paired with each other. The greedy
+single-link order runs inside connected components of the pairs that pass, which gives the same clusters as
+running it over everything, since an article only ever joins one it passes with."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators.dedup import sequence_ratio, similarity_of
-from newsloom.operators.graph import components
+from newsloom.operators.dedup import ratio_bound, sequence_ratio, similarity_of
+from newsloom.operators.graph import components, written
 from newsloom.operators.normalize import quality_of
 
 THRESHOLD, WINDOW_DAYS, PROCEEDING_DAYS = 0.62, 3, 30
@@ -50,11 +53,16 @@ def _candidates(rows: DataFrame, days: int, by_word: bool) -> DataFrame:
 
 def scored_pairs(rows: DataFrame, ratio=sequence_ratio, threshold: float = THRESHOLD, days: int = WINDOW_DAYS, proceeding_days: int = PROCEEDING_DAYS) -> DataFrame:
     """(a, b, score, passes) of pairs through the gate (CL1). Pairs without a shared title word cannot reach
-    the threshold unless both are notices about one company, which have a path of their own."""
+    the threshold unless both are notices about one company, which have a path of their own. Pairs whose words,
+    title lengths and bonus already rule the threshold out are not returned."""
     most_without_words = 0.3 + MOST_BONUS
     pairs = _candidates(rows, days, by_word=threshold > most_without_words + 0.0001)
     notices = rows.filter("legal_notice and size(direct) > 0")
     pairs = pairs.unionByName(_candidates(notices, proceeding_days, by_word=False)).distinct()
+    return _scored(pairs, rows, ratio, threshold, days, proceeding_days)
+
+
+def _scored(pairs: DataFrame, rows: DataFrame, ratio, threshold: float, days: int, proceeding_days: int) -> DataFrame:
     side = lambda n: rows.select(*[F.col(c).alias(f"{c}_{n}") for c in PAIR_COLUMNS])
     both = pairs.join(side("a"), F.col("a") == F.col("article_id_a")).join(side("b"), F.col("b") == F.col("article_id_b"))
     shared_direct = F.arrays_overlap("direct_a", "direct_b")
@@ -67,51 +75,76 @@ def scored_pairs(rows: DataFrame, ratio=sequence_ratio, threshold: float = THRES
     same_kind = F.size(F.filter(F.array_intersect("categories_a", "categories_b"), lambda c: c != "OTHER")) > 0
     gain = lambda when, points: F.when(when, points).otherwise(0.0)
     bonus = gain(same_kind, CATEGORY_BONUS) + gain(F.col("day_a") == F.col("day_b"), DAY_BONUS) + gain(F.col("is_official_a") | F.col("is_official_b"), OFFICIAL_BONUS) + gain((F.size("direct_a") > 0) & shared_direct, DIRECT_BONUS)
-    gated = both.filter(gate)
+    parts = {"jaccard": text.jaccard(F.col("words_a"), F.col("words_b")), "containment": text.containment(F.col("words_a"), F.col("words_b")), "bonus": F.least(bonus, F.lit(MOST_BONUS)), "proceeding": proceeding}
+    able = similarity_of(F.col("jaccard"), F.col("containment"), ratio_bound(F.col("title_f_a"), F.col("title_f_b"))) + F.col("bonus") + 0.0002 >= threshold
+    judged = both.filter(gate).withColumns(parts).filter(F.col("proceeding") | able)
     # the later article in cluster order is compared with the earlier one
-    likeness = similarity_of(text.jaccard(F.col("words_a"), F.col("words_b")), text.containment(F.col("words_a"), F.col("words_b")), ratio(F.col("title_f_b"), F.col("title_f_a")))
-    score = likeness + F.least(bonus, F.lit(MOST_BONUS))
-    score = F.when(proceeding, F.greatest(score, F.lit(threshold))).otherwise(score)
-    return gated.select("a", "b", F.round(score, 4).alias("score")).withColumn("passes", F.col("score") >= threshold)
-
-
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one component: each article in order joins the cluster whose first fitting member
-    scores best so far, or begins its own."""
-    scores: dict[tuple, float] = {}
-    order: dict[str, tuple] = {}
-    for a, b, s, oa, ob in zip(rows.a, rows.b, rows.score, rows.order_a, rows.order_b):
-        scores[a, b] = scores[b, a] = s
-        order[a], order[b] = oa, ob
-    clusters: list[list[str]] = []
-    for item in sorted(order, key=lambda k: (order[k], k)):
-        best, best_score = None, 0.0
-        for cluster in clusters:
-            score = next((s for m in cluster if (s := scores.get((item, m), 0.0)) > best_score), None)
-            if score is not None:
-                best, best_score = cluster, score
-        if best is None:
-            clusters.append([item])
-        else:
-            best.append(item)
-    return pd.DataFrame([(m, c[0], k) for c in clusters for k, m in enumerate(c)], columns=["article_id", "cluster_id", "position"])
-
-
-def order_key(df: DataFrame) -> Column:
-    """A sortable string: official, trusted, older, title (CL2)."""
+    score = similarity_of(F.col("jaccard"), F.col("containment"), ratio(F.col("title_f_b"), F.col("title_f_a"))) + F.col("bonus")
+    score = F.when(F.col("proceeding"), F.greatest(score, F.lit(threshold))).otherwise(score)
+    return judged.select("a", "b", F.round(score, 4).alias("score")).withColumn("passes", F.col("score") >= threshold)
+
+
+def entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, where): articles alike in every column that pairs are judged by are one entry, under their smallest
+    id, with ``n`` articles; ``where`` has (article_id, entry) of all."""
+    alike = [c for c in PAIR_COLUMNS if c != "article_id"]
+    keyed = rows.withColumn("_kind", F.sha2(F.to_json(F.struct(*alike)), 256))
+    made = keyed.groupBy("_kind").agg(F.min_by(F.struct(*[F.col(c) for c in PAIR_COLUMNS]), "article_id").alias("r"), F.count("*").alias("n"))
+    where = keyed.select("article_id", "_kind").join(made.select("_kind", F.col("r.article_id").alias("entry")), "_kind").select("article_id", "entry")
+    return made.select("r.*", "n"), where
+
+
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Clusters of whole components that come one after another, their articles in cluster order: each article joins
+    the cluster whose first fitting member scores best so far, or begins its own. Kept in memory are, for
+    one component, the size and first article of each cluster and the clusters that each entry is in."""
+    component = None
+    firsts: list[str] = []
+    sizes: list[int] = []
+    places: dict[str, dict[int, int]] = {}
+    for rows in batches:
+        out = []
+        for comp, entry, article, around in zip(rows.component, rows.entry, rows.article_id, rows.around):
+            if comp != component:
+                component, firsts, sizes, places = comp, [], [], {}
+            fitting = sorted((c, place, near["score"]) for near in around for c, place in places.get(near["entry"], {}).items())
+            best, best_score, done = None, 0.0, None
+            for c, _, score in fitting:
+                if c != done and score > best_score:
+                    best, best_score, done = c, score, c
+            if best is None:
+                best = len(firsts)
+                firsts.append(article)
+                sizes.append(0)
+            places.setdefault(entry, {}).setdefault(best, sizes[best])
+            out.append((article, firsts[best], sizes[best]))
+            sizes[best] += 1
+        yield pd.DataFrame(out, columns=["article_id", "cluster_id", "position"])
+
+
+def _order(df: DataFrame) -> list[Column]:
+    """Official, trusted, older, title (CL2)."""
     rank = quality_of(F.col("source_type"), RANKS)
-    seconds = F.coalesce(F.unix_seconds("published"), F.lit(0))
-    return F.concat_ws("|", F.when(F.col("is_official"), "0").otherwise("1"), F.lpad((10 - rank).cast("string"), 2, "0"), F.lpad(seconds.cast("string"), 12, "0"), F.col("title"))
+    return [(~F.col("is_official")).alias("_o1"), (-rank).alias("_o2"), F.coalesce(F.unix_seconds("published"), F.lit(0)).alias("_o3"), F.col("title").alias("_o4")]
+
 
+def cluster(rows: DataFrame, ratio=sequence_ratio, threshold: float = THRESHOLD, days: int = WINDOW_DAYS, proceeding_days: int = PROCEEDING_DAYS) -> DataFrame:
+    """(article_id, cluster_id, position) of every row; a cluster is named by its first article (CL2).
 
-def cluster(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(article_id, cluster_id, position) of every row; a cluster is named by its first article (CL2)."""
-    passing = pairs.filter("passes").select("a", "b", "score")
+    A component's articles stream through one task in order, each with the entries that it passes with; what the
+    task keeps grows with the component's entries, not with its articles or pairs."""
+    table, where = (written(df) for df in entries(rows))
+    single = {"ratio": ratio, "threshold": threshold, "days": days, "proceeding_days": proceeding_days}
+    own = _scored(table.filter("n > 1").select(F.col("article_id").alias("a"), F.col("article_id").alias("b")), table, **single)
+    passing = written(scored_pairs(table, **single).unionByName(own).filter("passes").select("a", "b", "score"))
     groups = components(passing.select("a", "b"))
-    keys = rows.select("article_id", order_key(rows).alias("order"))
-    side = lambda n: keys.select(F.col("article_id").alias(n), F.col("order").alias(f"order_{n}"))
-    dealt = passing.join(side("a"), "a").join(side("b"), "b").join(groups, F.col("a") == F.col("node"))
-    made = dealt.select("component", "a", "b", "score", "order_a", "order_b").groupBy("component").applyInPandas(_greedy, "article_id string, cluster_id string, position long")
+    both = passing.unionByName(passing.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    around = both.groupBy(F.col("a").alias("entry")).agg(F.collect_list(F.struct(F.col("b").alias("entry"), "score")).alias("around"))
+    around = around.join(groups.withColumnRenamed("node", "entry"), "entry", "left").withColumn("component", F.coalesce("component", "entry"))
+    keys = ["_o1", "_o2", "_o3", "_o4"]
+    dealt = rows.select("article_id", *_order(rows)).join(where, "article_id").join(around, "entry")
+    dealt = dealt.repartition("component").sortWithinPartitions("component", *keys, "article_id").select("component", "entry", "article_id", "around")
+    made = written(dealt.mapInPandas(_greedy, "article_id string, cluster_id string, position long"))
     alone = rows.select("article_id").join(made, "article_id", "left_anti").select("article_id", F.col("article_id").alias("cluster_id"), F.lit(0).cast("long").alias("position"))
     return made.unionByName(alone)
 

@@ -84,6 +84,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """The most that the sequence ratio of two texts can be, by their lengths."""
+    return F.coalesce(2.0 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(1.0))
+
+
 def similarity_of(jaccard: Column, contained: Column, ratio: Column) -> Column:
     """Title similarity of its three parts (TX8)."""
     return F.round(F.greatest(0.5 * jaccard + 0.3 * ratio + 0.2 * contained, 0.8 * contained), 4)

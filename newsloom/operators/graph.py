@@ -1,4 +1,4 @@
-"""Connected components by hooking labels, for clusters and near-duplicates."""
+"""Connected components by stars, for clusters and near-duplicates."""
 
 from __future__ import annotations
 
@@ -27,16 +27,27 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of edges (a, b): the component's smallest node. Each round every node takes the
-    smallest label around it, and then its label's label, so rounds grow with the logarithm of the diameter."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = written(both)
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    """(node, component) of edges (a, b): the component's smallest node, for every node of an edge between two.
+
+    A round hangs each node's larger neighbours under the smallest node around it, then each node's smaller
+    neighbours likewise (large star and small star), until nothing changes; rounds grow with the square of the
+    logarithm of the number of nodes at most. Each round is written; a count and a sum of hashes reach the driver."""
+    pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before = _print_of(pairs)
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        heads = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = written(hooked.join(heads, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "old"))
-        if not new.filter("label <> old").limit(1).count():
-            return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        under = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(under, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        pairs = written(hung.select("e.u", "e.v").filter("u <> v").distinct())
+        after = _print_of(pairs)
+        if after == before:
+            roots = pairs.select(F.col("v").alias("node")).distinct()
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+        before = after
+
+
+def _print_of(pairs: DataFrame):
+    """Number of pairs and a sum of their hashes; equal for equal sets."""
+    return pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -21,7 +21,7 @@ def assess(facts: DataFrame, links: DataFrame) -> DataFrame:
     missing = {f: F.lit(False) for f in [*FLAGS, "legal_notice", "official_language"] if f not in facts.columns}
     facts = facts.withColumns(missing).withColumn("source_name", F.coalesce("source_name", "source_domain") if "source_name" in facts.columns else F.col("source_domain"))
     rows = graph.written(cluster.prepared(facts, links))
-    members = graph.written(rows.join(cluster.cluster(rows, cluster.scored_pairs(rows)), "article_id"))
+    members = graph.written(rows.join(cluster.cluster(rows), "article_id"))
     events = cluster.with_ids(cluster.events(members))
     flags = cluster.suppressive_flags(members, FLAGS)
     first = members.groupBy("cluster_id").agg(F.min_by("head_f", "position").alias("head_f"), F.min_by("text_f", "position").alias("text_f"), F.bool_or("official_language").alias("official_language"))

@@ -340,7 +340,7 @@ def cluster_components(spark, sf_dir):
 
 def members(spark, sf_dir):
     rows = plain(spark, sf_dir)
-    return rows.join(cluster.cluster(rows, cluster.scored_pairs(rows)), "article_id")
+    return rows.join(cluster.cluster(rows), "article_id")
 
 
 @query()

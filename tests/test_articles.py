@@ -115,7 +115,7 @@ def test_one_story_is_one_event(spark):
     seen = []
     for parts in (1, 7):
         rows = prepared(spark, STORY).repartition(parts)
-        got = cluster.cluster(rows, cluster.scored_pairs(rows))
+        got = cluster.cluster(rows)
         seen.append(sorted((r["cluster_id"], r["article_id"]) for r in got.collect()))
     assert seen[0] == seen[1]
     groups = {}
