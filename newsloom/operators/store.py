@@ -7,34 +7,65 @@ source_domain, is_official), ``event_history`` (event_id, change, detail)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import text
-from newsloom.operators.dedup import sequence_ratio, similarity_of
+from newsloom.operators.dedup import ratio_bound, sequence_ratio, similarity_of
 
 WINDOW_DAYS, SIMILARITY, CATEGORY_BONUS = 21, 0.55, 0.10
 #: Reserved, never filled (PR1).
 PRICE_REACTION = T.StructType([T.StructField(n, T.DoubleType()) for n in ("price_at_event", "return_1d", "return_3d", "return_5d", "return_10d", "return_20d", "return_60d", "volume_change", "gap_percentage")] + [T.StructField("provider", T.StringType())])
 
 
+def least_shared(likeness: float) -> float:
+    """The least containment of two titles that can reach a likeness, whatever their sequence ratio (at most 1) and
+    Jaccard (at most the containment) are: 0.5 j + 0.3 + 0.2 c or 0.8 c."""
+    return max(0.0, min((likeness - 0.3 - 0.0002) / 0.7, (likeness - 0.0002) / 0.8))
+
+
+def _title_candidates(left: DataFrame, right: DataFrame, shared: float) -> DataFrame:
+    """(incoming_id, event_id) of one ticker and near days whose titles can share that part of the shorter one's words. Words
+    are met rarest first: if the shorter title of n words shares k of them, it shares one of its first n - k + 1."""
+    often = right.select("ticker", F.explode("words").alias("word")).groupBy("ticker", "word").agg(F.count("*").alias("often"))
+    window = Window.partitionBy("id", "ticker", "bucket").orderBy(F.coalesce("often", F.lit(0)), "word")
+
+    def ranked(df: DataFrame, key: str) -> DataFrame:
+        rows = df.select(F.col(key).alias("id"), "ticker", "bucket", F.size("words").alias("n"), F.explode("words").alias("word")).join(often, ["ticker", "word"], "left")
+        first = F.col("n") - F.greatest(F.ceil(F.col("n") * shared), F.lit(1)) + 1
+        return rows.withColumn("early", F.row_number().over(window) <= first).select(F.col("id").alias(key), "ticker", "bucket", "word", F.col("n").alias(f"n_{key}"), F.col("early").alias(f"early_{key}"))
+
+    met = ranked(left, "incoming_id").join(ranked(right, "event_id"), ["ticker", "bucket", "word"])
+    return met.filter(F.when(F.col("n_incoming_id") <= F.col("n_event_id"), F.col("early_incoming_id")).otherwise(F.col("early_event_id"))).select("incoming_id", "event_id").distinct()
+
+
 def find_existing(incoming: DataFrame, stored: DataFrame, days: int = WINDOW_DAYS, similarity: float = SIMILARITY, ratio=sequence_ratio) -> DataFrame:
     """(incoming_id, event_id, score): the stored event that each incoming one continues (ES1). They share a
-    ticker and lie within the window; an equal cluster key wins, else the most similar title. Days are
-    dealt into stretches, so that each event meets those of two stretches only."""
+    ticker and lie within the window; an equal cluster key wins, else the most similar title. Equal keys meet in an
+    equi-join; titles meet by their rarer words in stretches of days, an incoming event in its own and the two beside it."""
     stretch = F.floor(F.datediff("event_date", F.lit("1970-01-01").cast("date")) / (days + 1))
-    left = incoming.withColumn("bucket", stretch).select(F.col("event_id").alias("incoming_id"), F.explode("tickers").alias("ticker"), "bucket")
-    left = left.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    right = stored.withColumn("bucket", stretch).select("event_id", F.explode("tickers").alias("ticker"), "bucket")
-    pairs = left.join(right, ["ticker", "bucket"]).filter("incoming_id <> event_id").select("incoming_id", "event_id").distinct()
-    words = lambda: F.array_distinct(text.canonical_tokens(text.fold(F.col("title"))))
-    side = lambda df, key, n: df.select(F.col("event_id").alias(key), F.col("event_date").alias(f"day_{n}"), F.col("cluster_key").alias(f"key_{n}"), F.col("event_types").alias(f"types_{n}"), text.fold(F.col("title")).alias(f"title_{n}"), words().alias(f"words_{n}"))
+    words = F.array_distinct(text.canonical_tokens(text.fold(F.col("title"))))
+    left = incoming.select(F.col("event_id").alias("incoming_id"), F.explode("tickers").alias("ticker"), stretch.alias("own"), "cluster_key", words.alias("words"))
+    right = stored.select("event_id", F.explode("tickers").alias("ticker"), stretch.alias("bucket"), "cluster_key", words.alias("words"))
+    around = left.withColumn("bucket", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
+    pairs = around.filter("cluster_key <> ''").join(right, ["ticker", "bucket", "cluster_key"]).select("incoming_id", "event_id")
+    likeness = similarity - CATEGORY_BONUS
+    if likeness <= 0.3:
+        pairs = pairs.unionByName(around.join(right, ["ticker", "bucket"]).select("incoming_id", "event_id"))
+    elif likeness <= 1:
+        pairs = pairs.unionByName(_title_candidates(around, right, least_shared(likeness)))
+    pairs = pairs.filter("incoming_id <> event_id").distinct()
+    side = lambda df, key, n: df.select(F.col("event_id").alias(key), F.col("event_date").alias(f"day_{n}"), F.col("cluster_key").alias(f"key_{n}"), F.col("event_types").alias(f"types_{n}"), text.fold(F.col("title")).alias(f"title_{n}"), words.alias(f"words_{n}"))
     both = pairs.join(side(incoming, "incoming_id", "i"), "incoming_id").join(side(stored, "event_id", "s"), "event_id").filter(F.abs(F.datediff("day_i", "day_s")) <= days)
-    same = F.coalesce((F.col("key_i") == F.col("key_s")) & (F.col("key_s") != ""), F.lit(False))
-    score = similarity_of(text.jaccard(F.col("words_i"), F.col("words_s")), text.containment(F.col("words_i"), F.col("words_s")), ratio("title_i", "title_s"))
-    score = F.round(score + F.when(F.arrays_overlap("types_i", "types_s"), CATEGORY_BONUS).otherwise(0.0), 4)
-    both = both.withColumns({"same": same, "score": score}).filter(F.col("same") | (F.col("score") >= similarity))
+    parts = {
+        "same": F.coalesce((F.col("key_i") == F.col("key_s")) & (F.col("key_s") != ""), F.lit(False)), "jaccard": text.jaccard(F.col("words_i"), F.col("words_s")),
+        "containment": text.containment(F.col("words_i"), F.col("words_s")), "bonus": F.when(F.arrays_overlap("types_i", "types_s"), CATEGORY_BONUS).otherwise(0.0),
+    }
+    able = similarity_of(F.col("jaccard"), F.col("containment"), ratio_bound(F.col("title_i"), F.col("title_s"))) + F.col("bonus") + 0.0002 >= similarity
+    both = both.withColumns(parts).filter(F.col("same") | able)
+    score = F.round(similarity_of(F.col("jaccard"), F.col("containment"), ratio("title_i", "title_s")) + F.col("bonus"), 4)
+    both = both.withColumn("score", score).filter(F.col("same") | (F.col("score") >= similarity))
     order = F.struct((~F.col("same")).alias("a"), (-F.col("score")).alias("b"), F.col("event_id"))
     return both.groupBy("incoming_id").agg(F.min_by(F.struct("event_id", "score"), order).alias("m")).select("incoming_id", "m.event_id", "m.score")
 
@@ -138,5 +169,10 @@ def save_day(df: DataFrame, path: str, day_column: str = "run_date") -> None:
 
 
 def index(events: DataFrame) -> DataFrame:
-    """The light projection of the store (SK3, ES9)."""
-    return events.select("event_id", "event_date", "tickers", "event_types", "cluster_key", "title", "max_impact")
+    """The light projection of the store, in order of the ids (SK3)."""
+    return events.select("event_id", "event_date", "tickers", "event_types", "cluster_key", "title", "max_impact").orderBy("event_id")
+
+
+def rebuild_index(files: DataFrame) -> DataFrame:
+    """The same projection of event files as ``landing.event_files`` reads them (ES9): companies are the keys of a map."""
+    return index(files.withColumns({"tickers": F.array_sort(F.map_keys("stocks")), "max_impact": F.array_max(F.transform(F.map_values("stocks"), lambda s: s["impact_score"]))}))

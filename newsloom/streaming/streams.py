@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsloom.operators import store
+from newsloom.operators import graph, store
 
 
 def timed(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -44,20 +44,38 @@ def alert_stream(pairs: DataFrame, least: int, sink: Callable[[DataFrame, int],
     return alerts(pairs, least).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+STORE_KEYS = {"event": ["event_id"], "event_stock": ["event_id", "ticker"]}
+
+
+def current(spark: SparkSession, path: str, name: str, batch: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """A table of the store at ``path`` as it is after a batch (after all, if none is given): of each key the row written
+    last. ``only`` has event ids; rows of others aren't gathered."""
+    rows = spark.read.parquet(f"{path}/{name}")
+    rows = rows if batch is None else rows.filter(F.col("batch") <= batch)
+    rows = rows if only is None else rows.join(only.select("event_id").distinct(), "event_id", "left_semi")
+    columns = [F.col(c) for c in rows.columns if c != "batch"]
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in STORE_KEYS[name]]).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
+
+
 def absorb(incoming: DataFrame, path: str, checkpoint: str, days: int = store.WINDOW_DAYS) -> StreamingQuery:
-    """Late evidence into the company table of an event store (ST4): each batch is matched with the stored
-    events of the window and merged; the store's next version is a new folder, named in a small table, so a
-    batch that is run again after a failure writes the same version."""
+    """Late evidence into the tables of an event store (ST4): each batch is matched with the stored events of the
+    window and merged. Only rows that are new or touched are written, as the folder ``batch=n`` of each table (the first
+    store is batch 0), so a batch that is run again after a failure writes the same folder; ``current`` reads the
+    store. The first and last day of a batch go to the driver, so that the scan for candidates is pruned by day."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        events, stocks = (spark.read.parquet(f"{path}/{name}/version={number}") for name in ("event", "event_stock"))
-        found = store.find_existing(batch.select("event_id", "title", "cluster_key", "event_date", "event_types", "tickers"), events, days)
+        batch = graph.written(batch)
+        first, last = batch.agg(F.date_sub(F.min("event_date"), days), F.date_add(F.max("event_date"), days)).first()
+        near = spark.read.parquet(f"{path}/event").filter(F.col("batch") <= number).filter(F.col("event_date").between(F.lit(first), F.lit(last)))
+        events = current(spark, path, "event", number, near)
+        found = graph.written(store.find_existing(batch.select("event_id", "title", "cluster_key", "event_date", "event_types", "tickers"), events, days))
+        touched = found.select("event_id").distinct()
         rows = batch.select("event_id", F.explode("stocks").alias("s")).select("event_id", "s.*")
-        merged = store.merge_stocks(rows, stocks, found)
-        own = rows.join(found.select(F.col("incoming_id").alias("event_id")), "event_id", "left_anti")
-        merged.drop("log").unionByName(own.select(*[c for c in merged.columns if c != "log"])).write.mode("overwrite").parquet(f"{path}/event_stock/version={number + 1}")
-        store.merge_events(batch.select(*events.columns), events, found).write.mode("overwrite").parquet(f"{path}/event/version={number + 1}")
+        merged = store.merge_stocks(rows, current(spark, path, "event_stock", number, touched), found).drop("log")
+        own = rows.join(found.select(F.col("incoming_id").alias("event_id")), "event_id", "left_anti").select(*merged.columns)
+        merged.unionByName(own).write.mode("overwrite").parquet(f"{path}/event_stock/batch={number + 1}")
+        store.merge_events(batch.select(*events.columns), events.join(touched, "event_id", "left_semi"), found).write.mode("overwrite").parquet(f"{path}/event/batch={number + 1}")
 
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,4 +1,6 @@
 import datetime as dt
+import difflib
+import random
 
 from pyspark.sql import functions as F
 
@@ -127,6 +129,48 @@ def test_one_story_is_one_event(spark):
     assert events["a0"]["article_count"] == 3 and events["a0"]["title"] == STORY[0]["title"] and events["a0"]["event_id"].startswith("EVENT-T-2026-")
 
 
+def test_clusters_are_those_of_a_pass_over_all_pairs(spark):
+    """Every pair by brute force, with the sequence ratio, notices with deadlines and equal articles."""
+    draw = random.Random(5)
+    pool = [" ".join(draw.choice("solar order plant steel coal export duty merger audit grid".split()) for _ in range(draw.randint(2, 6))) for _ in range(14)]
+    notices = ["shareholder alert class action deadline october 5 2026", "investor alert lead plaintiff deadline october 5 2026", "class action deadline november 9 2026"]
+    rows = [{"title": draw.choice(pool + notices), "type": draw.choice(["wire", "blog", "regulator"]), "published": DAY + dt.timedelta(days=draw.randint(0, 6)), "official": draw.random() < 0.2} for _ in range(70)]
+    facts = texts(spark, rows).withColumns({"categories": F.array(F.when(F.length("title") % 2 == 0, "ORDER_WIN").otherwise("OTHER")), "legal_notice": F.regexp_like("text_f", F.lit("alert|class action"))})
+    links = facts.select("article_id", F.explode(F.when(F.substring("article_id", 2, 9).cast("int") % 3 == 0, F.array(F.lit("T"), F.lit("U"))).otherwise(F.array(F.lit("T")))).alias("ticker"), F.when(F.col("legal_notice") | (F.length("title") % 3 == 0), "DIRECT").otherwise("SECTOR").alias("relationship"))
+    ready = cluster.prepared(facts, links)
+    a = {r["article_id"]: r for r in ready.collect()}
+
+    def passes(x, y):
+        """Score of a passing pair, else 0; the smaller id is the second text of the ratio."""
+        x, y = sorted((a[x], a[y]), key=lambda r: r["article_id"])
+        shared, days = set(x["direct"]) & set(y["direct"]), abs((x["day"] - y["day"]).days)
+        notice = x["legal_notice"] and y["legal_notice"] and shared
+        if not set(x["tickers"]) & set(y["tickers"]) or (notice and x["deadlines"] and y["deadlines"] and not set(x["deadlines"]) & set(y["deadlines"])):
+            return 0
+        if days > (30 if notice else 3) or (x["direct"] and y["direct"] and not shared):
+            return 0
+        u, v = set(x["words"]), set(y["words"])
+        contained = len(u & v) / min(len(u), len(v)) if u and v else 0
+        jaccard = len(u & v) / len(u | v) if u and v else 0
+        likeness = round(max(0.5 * jaccard + 0.3 * difflib.SequenceMatcher(None, y["title_f"], x["title_f"]).ratio() + 0.2 * contained, 0.8 * contained), 4)
+        kinds = (set(x["categories"]) & set(y["categories"])) - {"OTHER"}
+        score = likeness + min(0.3, 0.12 * bool(kinds) + 0.08 * (days == 0) + 0.08 * (x["is_official"] or y["is_official"]) + 0.06 * bool(shared))
+        score = round(max(score, 0.62) if notice else score, 4)
+        return score if score >= 0.62 else 0
+
+    clusters = []
+    for i in sorted(a, key=lambda k: (not a[k]["is_official"], -cluster.RANKS[a[k]["source_type"]], a[k]["published"], a[k]["title"], k)):
+        best, most = None, 0
+        for c in clusters:
+            score = next((s for m in c if (s := passes(i, m)) > most), None)
+            if score is not None:
+                best, most = c, score
+        clusters.append([i]) if best is None else best.append(i)
+    got = {(r["article_id"], r["cluster_id"], r["position"]) for r in cluster.cluster(ready).collect()}
+    assert got == {(m, c[0], k) for c in clusters for k, m in enumerate(c)}
+    assert 3 < len(clusters) < 60 and cluster.cluster(ready.limit(0)).count() == 0
+
+
 def scored(spark, **changes):
     kind = "array<struct<minus:double,exposure_type:string,term:string,relationship:string,role:string,in_headline:boolean,is_export_market:boolean,is_international:boolean>>"
     row = {"relationship": "DIRECT", "rank": 5, "categories": ["ORDER_WIN"], "source_types": ["exchange_filing"], "n_sources": 3, "head_f": "acme wins record order of 900 crore", "text_f": "", "evidence_weight": 6.0, "international": False, "is_international": False, "is_update": False, "in_headline": True, "official_language": False, "is_lender": False}

@@ -1,7 +1,10 @@
 import datetime as dt
+import difflib
+import random
 
 from pyspark.sql import functions as F
 
+from newsloom.functions import text
 from newsloom.operators import planning, report, signals, store
 
 EVENT = "event_id string, title string, cluster_key string, event_date date, event_types array<string>, tickers array<string>, is_international boolean, has_official boolean, primary_source string, max_impact int, scope string, year int"
@@ -19,6 +22,32 @@ def test_find_existing(spark):
     assert got == {("11", "1"), ("12", "2")}
 
 
+def test_find_existing_meets_every_similar_title(spark):
+    draw = random.Random(7)
+    words = ["solar", "order", "plant", "steel", "coal", "export", "duty", "merger"]
+    title = lambda: " ".join(draw.choice(words) for _ in range(draw.randint(1, 6)))
+    made = [event(k, title(), draw.choice(["", "k1", "k2"]), D + dt.timedelta(days=draw.randint(0, 70)), [draw.choice(["TENDER", "FRAUD"])], draw.sample(["T", "U", "V"], draw.randint(1, 2))) for k in range(90)]
+    stored, incoming = made[:70], made[70:]
+    canonical = {r["t"]: set(r["w"]) for r in spark.createDataFrame([(m[1],) for m in made], "t string").select("t", text.canonical_tokens(text.fold(F.col("t"))).alias("w")).collect()}
+    want = {}
+    for i in incoming:
+        best = None
+        for s in stored:
+            if not set(i[5]) & set(s[5]) or abs((i[3] - s[3]).days) > 21:
+                continue
+            same = i[2] == s[2] != ""
+            a, b = canonical[i[1]], canonical[s[1]]
+            contained = len(a & b) / min(len(a), len(b))
+            likeness = round(max(0.5 * len(a & b) / len(a | b) + 0.3 * difflib.SequenceMatcher(None, i[1], s[1]).ratio() + 0.2 * contained, 0.8 * contained), 4)
+            score = round(likeness + (0.1 if i[4] == s[4] else 0), 4)
+            if (same or score >= 0.55) and (best is None or (not same, -score, s[0]) < best):
+                best = (not same, -score, s[0])
+        if best:
+            want[i[0]] = best[2]
+    got = {r["incoming_id"]: r["event_id"] for r in store.find_existing(spark.createDataFrame(incoming, EVENT), spark.createDataFrame(stored, EVENT)).collect()}
+    assert got == want and len(want) > 5
+
+
 def test_merge(spark):
     stored = spark.createDataFrame([event(1, "Rumour", score=5), event(2, "Same", score=4)], EVENT)
     incoming = spark.createDataFrame([event(11, "Confirmed", day=D - dt.timedelta(days=2), kinds=["TENDER"], tickers=["U"], official=True, score=9), event(12, "New", score=3)], EVENT)

@@ -17,16 +17,23 @@ def row(i, title, day=D, score=5):
 
 def test_late_evidence_is_absorbed(spark, tmp_path):
     path = str(tmp_path / "store")
-    spark.createDataFrame([row(1, "Acme wins solar order")], EVENT).write.parquet(f"{path}/event/version=0")
-    spark.createDataFrame([("EVENT-T-2026-0001", "T", "DIRECT", 5, "POSITIVE", 0.5)], STOCK).write.parquet(f"{path}/event_stock/version=0")
+    spark.createDataFrame([row(1, "Acme wins solar order")], EVENT).write.parquet(f"{path}/event/batch=0")
+    spark.createDataFrame([("EVENT-T-2026-0001", "T", "DIRECT", 5, "POSITIVE", 0.5)], STOCK).write.parquet(f"{path}/event_stock/batch=0")
     incoming = spark.createDataFrame([row(11, "Acme bags solar order", D + dt.timedelta(days=9), 8), row(12, "Other thing")], EVENT)
     incoming = incoming.withColumn("stocks", F.array(F.struct(F.lit("T").alias("ticker"), F.lit("DIRECT").alias("relationship"), F.col("max_impact").alias("impact_score"), F.lit("POSITIVE").alias("direction"), F.lit(0.7).alias("confidence"))))
     incoming.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(incoming.schema).parquet(str(tmp_path / "in"))
     streams.absorb(stream, path, str(tmp_path / "state")).awaitTermination()
-    events = {r["event_id"][-4:]: r["max_impact"] for r in spark.read.parquet(f"{path}/event/version=1").collect()}
-    stocks = {r["event_id"][-4:]: r["impact_score"] for r in spark.read.parquet(f"{path}/event_stock/version=1").collect()}
+    events = {r["event_id"][-4:]: r["max_impact"] for r in streams.current(spark, path, "event").collect()}
+    stocks = {r["event_id"][-4:]: r["impact_score"] for r in streams.current(spark, path, "event_stock").collect()}
     assert events == {"0001": 8, "0012": 5} and stocks == {"0001": 8, "0012": 5}
+    # an event that nothing touches is not written again
+    later = spark.createDataFrame([row(13, "Acme wins solar order", D, 9)], EVENT).withColumn("stocks", F.array(F.struct(F.lit("U").alias("ticker"), F.lit("DIRECT").alias("relationship"), F.lit(9).alias("impact_score"), F.lit("POSITIVE").alias("direction"), F.lit(0.7).alias("confidence"))))
+    later.write.mode("append").parquet(str(tmp_path / "in"))
+    streams.absorb(stream, path, str(tmp_path / "state")).awaitTermination()
+    assert {r["event_id"][-4:] for r in spark.read.parquet(f"{path}/event/batch=2").collect()} == {"0001"}
+    assert {(r["event_id"][-4:], r["ticker"]) for r in streams.current(spark, path, "event_stock").collect()} == {("0001", "T"), ("0001", "U"), ("0012", "T")}
+    assert {r["event_id"][-4:]: r["max_impact"] for r in streams.current(spark, path, "event").collect()} == {"0001": 9, "0012": 5}
 
 
 def test_stream_keeps_the_first_of_each_key(spark, tmp_path):
