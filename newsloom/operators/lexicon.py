@@ -15,6 +15,8 @@ from newsloom.functions import text
 
 MAX_CATEGORIES = 4
 OTHER = "OTHER"
+#: Characters of phrases, keys and patterns (with 100 for other columns) up to which a lexicon is sent to all tasks.
+MOST_BROADCAST = 8 << 20
 
 
 def plain_words(folded: Column) -> Column:
@@ -32,16 +34,23 @@ def phrases(lexicon: DataFrame, phrase: str = "phrase") -> DataFrame:
 def hits(texts: DataFrame, lexicon: DataFrame, id_column: str, text_column: str, phrase: str = "phrase") -> DataFrame:
     """Rows of ``lexicon`` that occur in each folded text, with the text's id. A row occurs once for a text.
     Word runs carry the id alone; the texts of those that met a phrase are joined again to confirm it.
-    The longest phrase's length is the one number that goes to the driver."""
+    The longest phrase's length and the lexicon's size go to the driver. A lexicon within ``MOST_BROADCAST`` is sent to all
+    tasks, and only runs that begin with a phrase's first word are made; a larger one meets all runs by key."""
     table = phrases(lexicon, phrase)
-    longest = table.agg(F.max("n_words")).first()[0] or 0
+    longest, size = table.agg(F.max("n_words"), F.sum(F.length("key") + F.length("pattern") + 100)).first()
+    longest, small = longest or 0, (size or 0) <= MOST_BROADCAST
     words = texts.select(id_column, plain_words(F.col(text_column)).alias("words"))
+    starts = F.sequence(F.lit(1), F.size("words"))
+    if small:
+        heads = [r[0] for r in table.select(F.split_part("key", F.lit(" "), F.lit(1))).distinct().collect()]
+        starts = F.filter(starts, lambda i: F.get("words", i - 1).isin(heads))
+        table = F.broadcast(table)
 
-    def run(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
+    def runs(i: Column) -> Column:
+        return F.array(*[F.when(i + (n - 1) <= F.size("words"), F.array_join(F.slice("words", i, F.lit(n)), " ")) for n in range(1, longest + 1)])
 
-    runs = [run(n) for n in range(1, longest + 1)]
-    grams = F.array_distinct(F.flatten(F.array(*[F.when(F.size("words") >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]))) if runs else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    grams = F.when(F.size("words") > 0, F.array_compact(F.array_distinct(F.flatten(F.transform(starts, runs))))).otherwise(none) if longest else none
     met = words.select(id_column, F.explode(grams).alias("key")).join(table, "key")
     confirmed = met.join(texts.select(id_column, text_column), id_column).filter(F.regexp_like(text_column, F.col("pattern")))
     return confirmed.drop("key", "n_words", "pattern", text_column)

@@ -260,8 +260,8 @@ def exposure_summary(spark, sf_dir):
 
 
 def linked(spark, sf_dir):
-    """Texts with categories and flags, and their links."""
-    rows = texts(spark, sf_dir).withColumns({"collector": F.lit("rss"), "tickers_hint": F.array().cast("array<string>")})
+    """Texts with categories and flags, and their links. Folded texts are written, as four lexicons go over them."""
+    rows = graph.written(texts(spark, sf_dir)).withColumns({"collector": F.lit("rss"), "tickers_hint": F.array().cast("array<string>")})
     found = lexicon.classify(rows, lexicon.rule_classifier(_keywords(spark), _rules(spark)))
     facts = lexicon.flags(rows, MARKERS).join(found, "article_id").withColumn("query_kind", F.lit(None).cast("string"))
     names = rows_of(spark, [], "ticker string, name string, strength string, pos int, excludes array<string>")
