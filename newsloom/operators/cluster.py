@@ -149,10 +149,13 @@ def cluster(rows: DataFrame, ratio=sequence_ratio, threshold: float = THRESHOLD,
     return made.unionByName(alone)
 
 
+def _lead_order() -> Column:
+    return F.struct((~F.col("is_official")).alias("a"), (-quality_of(F.col("source_type"), RANKS)).alias("b"), (-F.length("title")).alias("c"), F.col("position"), F.col("article_id"))
+
+
 def leads(members: DataFrame) -> DataFrame:
     """The lead of each cluster: official, trusted, longest title, first (CL3)."""
-    order = F.struct((~F.col("is_official")).alias("a"), (-quality_of(F.col("source_type"), RANKS)).alias("b"), (-F.length("title")).alias("c"), F.col("position"), F.col("article_id"))
-    return members.groupBy("cluster_id").agg(F.min_by(F.struct("article_id", "title", "summary", "source_name"), order).alias("lead"))
+    return members.groupBy("cluster_id").agg(F.min_by(F.struct("article_id", "title", "summary", "source_name"), _lead_order()).alias("lead"))
 
 
 def events(members: DataFrame) -> DataFrame:
@@ -185,10 +188,15 @@ def with_ids(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return numbered.withColumn("event_id", F.format_string("EVENT-%s-%d-%04d", "scope", "year", "n")).withColumnRenamed("n", "sequence")
 
 
-def suppressive_flags(members: DataFrame, names: list[str]) -> DataFrame:
-    """(cluster_id, flags): a flag holds if the lead has it or a third of the articles do (CL8)."""
-    first = lambda n: F.min_by(n, "position")
-    return members.groupBy("cluster_id").agg(*[(F.coalesce(first(n), F.lit(False)) | (F.sum(F.col(n).cast("int")) * 3 >= F.count("*"))).alias(n) for n in names])
+def suppressive_flags(members: DataFrame, names: list[str], earlier: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, flags): a flag holds if the lead has it or a third of the headlines do (CL8). ``earlier`` has cluster_id
+    and the flags of headlines that a story carried in earlier runs; they vote with the others and never lead."""
+    votes = members.select("cluster_id", _lead_order().alias("_lead"), *names)
+    if earlier is not None:
+        known = earlier.join(members.select("cluster_id").distinct(), "cluster_id", "left_semi")
+        votes = votes.unionByName(known.select("cluster_id", *names), allowMissingColumns=True)
+    lead = lambda n: F.min_by(n, "_lead")
+    return votes.groupBy("cluster_id").agg(*[(F.coalesce(lead(n), F.lit(False)) | (F.sum(F.coalesce(n, F.lit(False)).cast("int")) * 3 >= F.count("*"))).alias(n) for n in names])
 
 
 def strongest_links(members: DataFrame, links: DataFrame) -> DataFrame:

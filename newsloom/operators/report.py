@@ -124,6 +124,13 @@ def collapse_diagnostics(outcomes: DataFrame, most: int = 3) -> DataFrame:
     return outcomes.groupBy("source").agg(F.bool_or("ok").alias("ok"), F.sum("attempted").alias("attempted"), F.sum("succeeded").alias("succeeded"), F.sum("articles").alias("articles"), F.array_join(errors, "; ").alias("errors"))
 
 
+def consumer(signals: DataFrame) -> DataFrame:
+    """What consumers said of each company on a day, against the day before, and whether it is worth a look (RP11)."""
+    from newsloom.operators.signals import with_previous
+
+    return with_previous(signals).select("day", "ticker", "mentions", "positive", "negative", "neutral", "net", "leaning", "mention_change", "net_change", "notable")
+
+
 def run_stats(pairs: DataFrame) -> DataFrame:
     """Events by what they reach (RP13)."""
     top = pairs.groupBy("event_id").agg(F.max("impact_score").alias("m"))

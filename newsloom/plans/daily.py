@@ -6,29 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import cluster, dedup, direction, graph, impact, normalize, report, store
+from newsloom.operators import cluster, dedup, direction, graph, impact, lexicon, normalize, report, store
 
 FLAGS = ["speculative", "opinion", "routine_release", "market_chatter", "listing_page", "recruitment", "research_report"]
 
 
-def assess(facts: DataFrame, links: DataFrame) -> DataFrame:
+def earlier_flags(events: DataFrame, stored: DataFrame, sources: DataFrame, markers: dict[str, list[str]]) -> DataFrame:
+    """(cluster_id, flags) of each headline that the stored event which a new one continues has had (CL8). ``sources`` has
+    event_id and title of the store's sources."""
+    found = store.find_existing(events, stored).join(events.select(F.col("event_id").alias("incoming_id"), "cluster_id"), "incoming_id").select("event_id", "cluster_id")
+    heads = sources.join(found, "event_id").filter("title <> ''").select("cluster_id", text.fold(F.col("title")).alias("head_f")).withColumn("text_f", F.col("head_f"))
+    flagged = lexicon.flags(heads, {n: markers.get(n, []) for n in FLAGS if markers.get(n)})
+    return flagged.select("cluster_id", *[F.col(n) if markers.get(n) else F.lit(False).alias(n) for n in FLAGS])
+
+
+def assess(facts: DataFrame, links: DataFrame, stored: DataFrame | None = None, sources: DataFrame | None = None, markers: dict[str, list[str]] | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """Events with a row for each company: relationship, impact, direction, confidence, horizon and reasons.
 
     ``facts`` are articles with title, summary, url, published, source_type, source_domain, is_official, head_f, text_f,
     categories and flags; ``links`` what ``relationship.links`` returns. Links are written before clustering,
-    which goes over them more than once."""
+    which goes over them more than once. With ``stored`` events, their ``sources`` and the flags' ``markers``, headlines of
+    earlier runs vote on a story's flags; ``profiles`` (ticker, industry) say who lends. No event is an update here:
+    a story that goes on is merged into the stored one (``upsert``) and is not scored a second time."""
     links = graph.written(links)
     missing = {f: F.lit(False) for f in [*FLAGS, "legal_notice", "official_language"] if f not in facts.columns}
     facts = facts.withColumns(missing).withColumn("source_name", F.coalesce("source_name", "source_domain") if "source_name" in facts.columns else F.col("source_domain"))
     rows = graph.written(cluster.prepared(facts, links))
     members = graph.written(rows.join(cluster.cluster(rows), "article_id"))
     events = cluster.with_ids(cluster.events(members))
-    flags = cluster.suppressive_flags(members, FLAGS)
+    before = earlier_flags(events, stored, sources, markers or {}) if stored is not None and sources is not None else None
+    flags = cluster.suppressive_flags(members, FLAGS, before)
     first = members.groupBy("cluster_id").agg(F.min_by("head_f", "position").alias("head_f"), F.min_by("text_f", "position").alias("text_f"), F.bool_or("official_language").alias("official_language"))
     strongest = cluster.strongest_links(members, links).select("cluster_id", "ticker", "relationship", "rank", "evidence_weight", "international", "in_headline", "exposures", F.col("reasons").alias("link_reasons"))
     kinds = events.select("event_id", "cluster_id", "title", "event_date", F.col("event_types").alias("categories"), F.array_distinct(F.transform("sources", lambda s: s["source_type"])).alias("source_types"), F.col("source_count").cast("int").alias("n_sources"), "has_official")
     both = strongest.join(kinds, "cluster_id").join(flags, "cluster_id").join(first, "cluster_id")
-    both = both.withColumns({"is_international": F.col("international"), "is_update": F.lit(False), "is_lender": F.lit(False)})
+    lenders = profiles.select("ticker", F.regexp_like(F.lower("industry"), F.lit("bank|financial")).alias("is_lender")) if profiles is not None else None
+    both = both.join(lenders, "ticker", "left") if lenders is not None else both.withColumn("is_lender", F.lit(False))
+    both = both.withColumns({"is_international": F.col("international"), "is_update": F.lit(False), "is_lender": F.coalesce("is_lender", F.lit(False))})
     scored = direction.with_direction(impact.scored(both))
     major = text.has_magnitude(F.concat_ws(" ", "head_f", "text_f"))
     value = impact.confidence(F.col("source_types"), F.col("n_sources"), F.col("rank"), major, F.col("speculative"), F.col("opinion"))
@@ -52,5 +66,7 @@ def upsert(incoming: DataFrame, stocks: DataFrame, events: DataFrame, event_stoc
     return store.merge_events(incoming, events, found), merged.unionByName(own)
 
 
-def report_tables(pairs: DataFrame, profiles: DataFrame) -> dict[str, DataFrame]:
-    return {"header": report.header(pairs), "attention": report.attention(pairs), "dashboard": report.dashboard(pairs, profiles), "international": report.international(pairs), "cross_stock": report.cross_stock(pairs), "run_stats": report.run_stats(pairs)}
+def report_tables(pairs: DataFrame, profiles: DataFrame, signals: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All report tables; ``signals`` are the consumer signals of all days, if there are any."""
+    tables = {"consumer": report.consumer(signals)} if signals is not None else {}
+    return tables | {"header": report.header(pairs), "attention": report.attention(pairs), "dashboard": report.dashboard(pairs, profiles), "international": report.international(pairs), "cross_stock": report.cross_stock(pairs), "run_stats": report.run_stats(pairs)}

@@ -362,11 +362,19 @@ def event_ids(spark, sf_dir):
     return cluster.with_ids(rows, before).select("cluster_id", "event_id")
 
 
-@query(f"""WITH {TEXTS}, m AS (SELECT doc_id // 5 AS c, doc_id % 5 AS position, {has_sql('head_f', MARKERS['speculative'])} AS f FROM t)
-    SELECT c::VARCHAR AS cluster_id, bool_or(f AND position = 0) OR sum(f::INTEGER) * 3 >= count(*) AS speculative FROM m GROUP BY c""")
+_SUPPRESS = ["routine_release", "market_chatter", "listing_page", "recruitment", "research_report"]
+_TRUST = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cluster.RANKS.items()) + " ELSE 3 END"
+
+
+@query(f"""WITH {TEXTS}, f AS (SELECT doc_id, doc_id // 5 AS c, is_official, {_TRUST} AS trust, title, {", ".join(f"{has_sql('head_f', MARKERS[n])} AS {n}" for n in _SUPPRESS)} FROM t),
+    v AS (SELECT *, true AS today FROM f UNION ALL BY NAME SELECT * REPLACE (c + 1 AS c), false AS today FROM f WHERE doc_id % 5 = 4 AND c + 1 IN (SELECT c FROM f)),
+    l AS (SELECT c, arg_min(doc_id, (NOT is_official, -trust, -length(title), doc_id)) AS lead FROM v WHERE today GROUP BY c)
+    SELECT v.c::VARCHAR AS cluster_id, {", ".join(f"bool_or({n} AND today AND doc_id = lead) OR sum({n}::INTEGER) * 3 >= count(*) AS {n}" for n in _SUPPRESS)} FROM v JOIN l ON v.c = l.c GROUP BY v.c""")
 def cluster_flags(spark, sf_dir):
+    """Five documents make a story; the last of the one before is a headline that it carried earlier."""
     rows = lexicon.flags(texts(spark, sf_dir), MARKERS).withColumns({"cluster_id": F.floor(F.col("doc_id") / 5).cast("string"), "position": F.col("doc_id") % 5})
-    return cluster.suppressive_flags(rows, ["speculative"])
+    earlier = rows.filter("position = 4").withColumn("cluster_id", (F.floor(F.col("doc_id") / 5) + 1).cast("string"))
+    return cluster.suppressive_flags(rows, _SUPPRESS, earlier)
 
 
 @query(f"""WITH {_EXPOSED}, s AS (SELECT article_id, ticker, max({_RANK})::INTEGER AS rank FROM x GROUP BY ALL)

@@ -14,7 +14,10 @@ TICKERS = [f"T{i:02d}" for i in range(11)]
 # Words of the corpus that stand for keywords, names and terms.
 CATEGORY_WORDS = {"ORDER_WIN": ["attion", "thanea"], "EARNINGS": ["erou", "onin the"], "REGULATORY": ["thing", "anth"], "TARIFF": ["ersh", "erti"], "COMMODITY": ["anti", "onre"], "FRAUD": ["retion", "hein"], "TENDER": ["reing", "inan"], "TECHNOLOGY": ["onor", "anre"]}
 COOCCUR = [("MERGER", ["only", "onth"], ["ones", "here"]), ("CAPEX", ["thea", "anin"], ["rein", "reth"]), ("TARIFF", ["ered"], ["erat"])]
-MARKERS = {"speculative": ["onhe", "thwh"], "opinion": ["aned", "erer"], "listing_page": ["onti"], "official_language": ["onnd", "thsh"]}
+MARKERS = {
+    "speculative": ["onhe", "thwh"], "opinion": ["aned", "erer"], "listing_page": ["onti"], "official_language": ["onnd", "thsh"], "routine_release": ["thea"], "market_chatter": ["anin", "reth"],
+    "recruitment": ["erti"], "research_report": ["onor", "hein"], "legal_notice": ["onin", "the thing"],
+}
 NAMES = ["thanea", "anti", "erou the", "onth", "anre", "ersh", "reing of", "thwh", "onin", "erti", "hein"]
 TERMS = [("COMPETITOR", "Anon"), ("CUSTOMER", "Erer"), ("SUPPLIER", "onhe"), ("COMMODITY", "onre"), ("REGULATION", "thsh"), ("INDUSTRY", "ered"), ("INDUSTRY", "of the"), ("GEOGRAPHY", "thea"), ("GEOGRAPHY", "anin"), ("PRODUCT", "inan"), ("TECHNOLOGY", "retion"), ("MACRO", "onor")]
 

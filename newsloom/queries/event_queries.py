@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import direction, graph, impact, planning, report, signals, store
 from newsloom.queries.article_queries import _no_ratio, linked, members
-from newsloom.queries.base import CATEGORY_WORDS, PAIRS, RELATIONS, TICKERS, TYPES, pairs, rows_of, table, values_sql
+from newsloom.queries.base import CATEGORY_WORDS, PAIRS, RELATIONS, TICKERS, TYPES, canonical_sql, fold_sql, pairs, rows_of, table, values_sql
 from newsloom.streaming import streams
 
 QUERIES, ORACLES = {}, {}
@@ -152,6 +152,20 @@ def store_find_existing(spark, sf_dir):
     return found.select("incoming_id", "event_id")
 
 
+_TITLE_WORDS = f"list_distinct({canonical_sql(fold_sql('title'))})"
+
+
+@query(f"""WITH {_STORED}, w AS (SELECT s.*, 'orders of ' || lower(o_orderpriority) || ' for ' || (s.o_custkey % 40) AS title FROM s JOIN orders USING (o_orderkey)), r AS (SELECT *, {_TITLE_WORDS} AS words FROM w),
+    j AS (SELECT i.event_id AS incoming_id, o.event_id, i.cluster_key = o.cluster_key AS same, i.kind = o.kind AS alike, len(list_intersect(i.words, o.words)) AS n, len(i.words) AS a, len(o.words) AS b
+          FROM r i JOIN r o ON i.ticker = o.ticker AND abs(i.event_date - o.event_date) <= 21 WHERE i.o_orderkey % 50 = 0 AND o.o_orderkey % 50 <> 0),
+    c AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE round(greatest(0.5 * n / (a + b - n) + 0.2 * n / least(a, b), 0.8 * n / least(a, b)), 4) END + CASE WHEN alike THEN 0.1 ELSE 0 END AS score FROM j)
+    SELECT incoming_id, event_id FROM c WHERE same OR score >= 0.55 QUALIFY row_number() OVER (PARTITION BY incoming_id ORDER BY NOT same, -score, event_id) = 1""")
+def store_find_by_title(spark, sf_dir):
+    """The match by equal keys and by the words of titles, without the sequence ratio (ES1)."""
+    events = stored_events(spark, sf_dir)
+    return store.find_existing(events.filter("sequence % 50 = 0"), events.filter("sequence % 50 <> 0"), ratio=_no_ratio).select("incoming_id", "event_id")
+
+
 @query()
 def store_find_similar(spark, sf_dir):
     events = stored_events(spark, sf_dir)
@@ -174,6 +188,17 @@ def store_merge(spark, sf_dir):
     return merged.select("event_id", "ticker", "impact_score", "direction", F.coalesce(F.get("log", F.lit(0))["change"], F.lit("")).alias("change"))
 
 
+@query(f"""WITH {PAIRS}, k AS (SELECT event_id, ticker, max(impact_score) AS s, min(direction) AS d, substr(event_id, 2)::INTEGER AS i FROM p GROUP BY event_id, ticker),
+    l AS (SELECT 'E' || lpad((i - i % 3)::VARCHAR, 7, '0') AS event_id, ticker, list({{'s': s, 'd': d}} ORDER BY i) AS l FROM k GROUP BY ALL),
+    x AS (SELECT *, CASE WHEN len(l) > 1 AND (l[2].s > l[1].s OR l[2].d <> l[1].d) THEN l[2] ELSE l[1] END AS y FROM l), z AS (SELECT *, CASE WHEN len(l) > 2 AND (l[3].s > y.s OR l[3].d <> y.d) THEN l[3] ELSE y END AS z FROM x)
+    SELECT event_id, ticker, z.s AS impact_score, z.d AS direction FROM z""")
+def store_merge_many(spark, sf_dir):
+    """Two incoming events for each stored one, folded in order of their ids (ES4)."""
+    rows = _stocks(spark, sf_dir).withColumn("i", F.substring("event_id", 2, 9).cast("int"))
+    matches = rows.filter("i % 3 > 0").select(F.col("event_id").alias("incoming_id"), F.format_string("E%07d", F.col("i") - F.col("i") % 3).alias("event_id")).distinct()
+    return store.merge_stocks(rows.filter("i % 3 > 0").drop("i"), rows.filter("i % 3 = 0").drop("i"), matches).select("event_id", "ticker", "impact_score", "direction")
+
+
 @query("""WITH l AS (SELECT 'O' || l_orderkey AS event_id, l_partkey % 40 AS d, l_suppkey % 7 = 0 AS off, 'T' || lpad((l_partkey % 11)::VARCHAR, 2, '0') AS ticker, (l_quantity::INTEGER) % 16 AS score FROM lineitem),
     a AS (SELECT event_id, count(*) AS article_count, count(DISTINCT d) AS source_count, bool_or(off) AS has_official, max(score) AS max_impact, count(DISTINCT ticker) AS n_tickers FROM l GROUP BY event_id)
     SELECT event_id, article_count, source_count, has_official, max_impact, n_tickers, (SELECT min(ticker) FROM l WHERE l.event_id = a.event_id AND l.score = a.max_impact) AS top_ticker FROM a""")
@@ -219,6 +244,15 @@ def consumer_change(spark, sf_dir):
     return out.select(F.col("day").cast("string").alias("day"), "ticker", "mention_change", "net_change", "notable")
 
 
+@query(f"""WITH {_SIGNALS}, d AS (SELECT day, lag(day) OVER (ORDER BY day) AS before FROM (SELECT DISTINCT day FROM s)),
+    c AS (SELECT s.*, coalesce(w.mentions, 0) AS was, coalesce(w.net, 0) AS was_net FROM s JOIN d ON d.day = s.day LEFT JOIN s w ON w.day = d.before AND w.ticker = s.ticker)
+    SELECT day::VARCHAR AS day, ticker, mentions, positive, negative, neutral, net, CASE WHEN mentions < 3 THEN 'too few to read' WHEN net >= greatest(2, mentions // 5) THEN 'mostly positive' WHEN net <= -greatest(2, mentions // 5) THEN 'mostly negative' ELSE 'mixed' END AS leaning,
+           mentions - was AS mention_change, net - was_net AS net_change, mentions >= 3 AND ((was >= 3 AND mentions - was >= greatest(3, was)) OR net - was_net <= -3) AS notable FROM c""")
+def consumer_table(spark, sf_dir):
+    out = report.consumer(signals.aggregate(signals.mentions(posts(spark, sf_dir), _GOOD, _BAD)))
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
 @query("""WITH m AS (SELECT (DATE '2024-01-01' + (conv_id % 5)::INTEGER)::VARCHAR AS day, 'T' || lpad((conv_id % 11)::VARCHAR, 2, '0') AS ticker, 'term ' || (turn % 3) AS term FROM conversations WHERE role = 'user'), c AS (SELECT day, ticker, term, count(*) AS n FROM m GROUP BY ALL)
     SELECT day, ticker, string_agg(term || '=' || n, ',' ORDER BY term) AS terms FROM c GROUP BY ALL""")
 def consumer_terms(spark, sf_dir):
