@@ -68,3 +68,16 @@ def test_sequences_go_on(spark):
     before = spark.createDataFrame([("T", 2026, 41)], "scope string, year int, sequence int")
     assert sorted(r["event_id"] for r in cluster.with_ids(events, before).collect()) == ["EVENT-GLOBAL-2026-0001", "EVENT-T-2026-0042", "EVENT-T-2026-0043"]
     assert normalize.QUALITY["wire"] == 9
+
+
+def test_earlier_headlines_and_lenders(spark):
+    events = spark.createDataFrame([("c1", "EVENT-T-2026-0009", "Money market notes of the day", "", D, ["MACRO"], ["T"]), ("c2", "EVENT-U-2026-0001", "Quite another thing", "", D, ["MACRO"], ["U"])], "cluster_id string, event_id string, title string, cluster_key string, event_date date, event_types array<string>, tickers array<string>")
+    stored = spark.createDataFrame([row(1, "Money market notes of the day", D - dt.timedelta(days=3))], EVENT)
+    sources = spark.createDataFrame([("EVENT-T-2026-0001", "Auction result"), ("EVENT-T-2026-0001", "Notes"), ("EVENT-T-2026-0001", ""), ("EVENT-Z-2026-0001", "Auction result")], "event_id string, title string")
+    got = daily.earlier_flags(events, stored, sources, {"routine_release": ["auction result"]})
+    assert sorted((r["cluster_id"], r["routine_release"], r["opinion"]) for r in got.collect()) == [("c1", False, False), ("c1", True, False)]
+    lead = [("c1", f"a{k}", f"{k}" * 5, k, False, "wire", False) for k in range(3)]
+    members = spark.createDataFrame(lead, "cluster_id string, article_id string, title string, position int, is_official boolean, source_type string, routine_release boolean")
+    flags = lambda before: cluster.suppressive_flags(members, ["routine_release"], before).first()["routine_release"]
+    again = spark.createDataFrame([("c1", True), ("c1", True)], "cluster_id string, routine_release boolean")
+    assert not flags(None) and flags(again) and not flags(again.limit(1))
