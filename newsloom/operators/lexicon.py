@@ -31,29 +31,33 @@ def phrases(lexicon: DataFrame, phrase: str = "phrase") -> DataFrame:
     return lexicon.withColumns({"key": F.array_join(words, " "), "n_words": F.size(words), "pattern": text.phrase_pattern(F.col(phrase))}).filter("n_words > 0")
 
 
-def hits(texts: DataFrame, lexicon: DataFrame, id_column: str, text_column: str, phrase: str = "phrase") -> DataFrame:
-    """Rows of ``lexicon`` that occur in each folded text, with the text's id. A row occurs once for a text.
-    Word runs carry the id alone; the texts of those that met a phrase are joined again to confirm it.
+def hits(texts: DataFrame, lexicon: DataFrame, id_column: str, text_column: str, phrase: str = "phrase", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``lexicon`` that occur in each folded text, with the text's id and the columns of ``keep``. A row occurs once for a text.
     The longest phrase's length and the lexicon's size go to the driver. A lexicon within ``MOST_BROADCAST`` is sent to all
-    tasks, and only runs that begin with a phrase's first word are made; a larger one meets all runs by key."""
+    tasks: only runs that begin with a phrase's first word are made, and phrases are confirmed where the text was read, so nothing is
+    shuffled. A larger one meets all runs by key; runs carry the id alone, and the texts of those that met a phrase are joined again."""
     table = phrases(lexicon, phrase)
     longest, size = table.agg(F.max("n_words"), F.sum(F.length("key") + F.length("pattern") + 100)).first()
     longest, small = longest or 0, (size or 0) <= MOST_BROADCAST
-    words = texts.select(id_column, plain_words(F.col(text_column)).alias("words"))
+    kept = list(dict.fromkeys([id_column, text_column, *keep]))
+    words = texts.select(*(kept if small else [id_column]), plain_words(F.col(text_column)).alias("words"))
     starts = F.sequence(F.lit(1), F.size("words"))
     if small:
         heads = [r[0] for r in table.select(F.split_part("key", F.lit(" "), F.lit(1))).distinct().collect()]
         starts = F.filter(starts, lambda i: F.get("words", i - 1).isin(heads))
-        table = F.broadcast(table)
 
     def runs(i: Column) -> Column:
         return F.array(*[F.when(i + (n - 1) <= F.size("words"), F.array_join(F.slice("words", i, F.lit(n)), " ")) for n in range(1, longest + 1)])
 
     none = F.array().cast("array<string>")
     grams = F.when(F.size("words") > 0, F.array_compact(F.array_distinct(F.flatten(F.transform(starts, runs))))).otherwise(none) if longest else none
-    met = words.select(id_column, F.explode(grams).alias("key")).join(table, "key")
-    confirmed = met.join(texts.select(id_column, text_column), id_column).filter(F.regexp_like(text_column, F.col("pattern")))
-    return confirmed.drop("key", "n_words", "pattern", text_column)
+    cut = words.withColumn("grams", grams).drop("words")
+    # the outer form: from the plain one a filter is inferred that would make all runs once more, and their words for every run
+    met = cut.select("*", F.explode_outer("grams").alias("key")).drop("grams").join(F.broadcast(table) if small else table, "key")
+    if not small:
+        met = met.join(texts.select(*kept), id_column)
+    confirmed = met.filter(F.regexp_like(text_column, F.col("pattern")))
+    return confirmed.drop("key", "n_words", "pattern", *([] if text_column in keep else [text_column]))
 
 
 def keyword_categories(texts: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -73,6 +77,17 @@ def cooccurring_categories(texts: DataFrame, rules: DataFrame, have: DataFrame)
     return first.join(have, ["article_id", "category"], "left_anti")
 
 
+def found_categories(texts: DataFrame, keywords: DataFrame, rules: DataFrame) -> DataFrame:
+    """What ``keyword_categories`` and then ``cooccurring_categories`` find, in one pass over the texts."""
+    columns = ["category", "rule_ord", "side", "ord", "phrase"]
+    both = keywords.withColumns({"side": F.lit("keyword"), "ord": F.col("kw_ord")}).select(*columns).unionByName(rules.select(*columns))
+    least = lambda side: F.min(F.when(F.col("side") == side, F.struct("ord", "phrase")))
+    ruled = hits(texts, both, "article_id", "text_f").groupBy("article_id", "category", "rule_ord").agg(least("keyword").alias("keyword"), least("verb").alias("verb"), least("noun").alias("noun"))
+    pair = F.when(F.col("verb").isNotNull() & F.col("noun").isNotNull(), F.struct("rule_ord", F.concat_ws("+", "verb.phrase", "noun.phrase").alias("phrase")))
+    out = ruled.groupBy("article_id", "category").agg(F.min(F.when(F.col("keyword").isNotNull(), F.col("rule_ord"))).alias("first"), F.min("keyword").alias("keyword"), F.min(pair).alias("pair"))
+    return out.select("article_id", "category", F.coalesce("first", "pair.rule_ord").alias("rule_ord"), F.coalesce("keyword.phrase", "pair.phrase").alias("phrase")).filter("rule_ord is not null")
+
+
 def ranked_categories(texts: DataFrame, found: DataFrame, most: int = MAX_CATEGORIES) -> DataFrame:
     """(article_id, categories): those with evidence in the headline first, then by rule; OTHER where there
     is none (CF3). ``texts`` has article_id and head_f."""
@@ -103,9 +118,7 @@ def register_classifier(name: str, classifier: Classifier) -> None:
 
 def rule_classifier(keywords: DataFrame, rules: DataFrame | None = None, most: int = MAX_CATEGORIES) -> Classifier:
     def classify(texts: DataFrame) -> DataFrame:
-        found = keyword_categories(texts, keywords)
-        if rules is not None:
-            found = found.unionByName(cooccurring_categories(texts, rules, found))
+        found = keyword_categories(texts, keywords) if rules is None else found_categories(texts, keywords, rules)
         return ranked_categories(texts, found, most)
 
     return classify

@@ -47,7 +47,7 @@ def any_of(folded: Column, phrases: Column) -> Column:
 def alias_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Every alias that occurs in a text with ``reason``: null if it counts, else why not (EM2, EM5).
     ``aliases`` has ticker, alias, is_primary, requires, excludes (with the company's negative aliases)."""
-    found = lexicon.hits(texts, aliases, "article_id", "text_f", "alias").join(texts.select("article_id", "text_f", "head_f"), "article_id")
+    found = lexicon.hits(texts, aliases, "article_id", "text_f", "alias", keep=("text_f", "head_f"))
     seen = lambda t: F.regexp_like(t, text.phrase_pattern(F.col("alias")))
     inside = (F.size("excludes") > 0) & ~seen(masked(F.col("text_f"), F.col("excludes")))
     lacks = (F.size("requires") > 0) & ~any_of(F.col("text_f"), F.col("requires"))
@@ -74,7 +74,7 @@ def entities(texts: DataFrame, aliases: DataFrame, names: DataFrame) -> DataFram
     order = F.struct((~F.col("is_primary")).alias("a"), (~F.col("in_headline")).alias("b"), (-F.length("alias")).alias("c"), F.col("alias"))
     best = hits.groupBy("article_id", "ticker").agg(F.min_by(F.struct("alias", F.when(F.col("is_primary"), "primary").otherwise("secondary").alias("strength"), "in_headline"), order).alias("b")).select("article_id", "ticker", "b.*")
     found = known.unionByName(best.join(known, ["article_id", "ticker"], "left_anti"))
-    also = lexicon.hits(texts, names, "article_id", "text_f", "name").join(texts.select("article_id", "text_f", "head_f"), "article_id")
+    also = lexicon.hits(texts, names, "article_id", "text_f", "name", keep=("text_f", "head_f"))
     seen = lambda t: F.regexp_like(t, text.phrase_pattern(F.col("name")))
     also = also.filter((F.size("excludes") == 0) | seen(masked(F.col("text_f"), F.col("excludes"))))
     also = also.withColumn("in_headline", seen(F.col("head_f"))).groupBy("article_id", "ticker").agg(F.min_by(F.struct(F.col("name").alias("alias"), "strength", "in_headline"), F.struct((F.col("strength") != "subsidiary").alias("s"), "pos", "name")).alias("b")).select("article_id", "ticker", "b.*")
@@ -85,7 +85,7 @@ def exposures(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(article_id, ticker, exposure_type, term, relationship, weight, role, in_headline, flags): at most
     PER_TYPE terms of a type, longest first (EX1-EX3). ``terms`` has ticker, exposure_type, term, role,
     is_export_market, is_international, is_associate, excludes."""
-    found = lexicon.hits(texts, terms, "article_id", "text_f", "term").join(texts.select("article_id", "text_f", "head_f"), "article_id")
+    found = lexicon.hits(texts, terms, "article_id", "text_f", "term", keep=("text_f", "head_f"))
     seen = lambda t: F.regexp_like(t, text.phrase_pattern(F.col("term")))
     found = found.filter((F.size("excludes") == 0) | seen(masked(F.col("text_f"), F.col("excludes"))))
     found = found.withColumn("in_headline", seen(F.col("head_f"))).drop("text_f", "head_f")
