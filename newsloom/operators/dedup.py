@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import text
-from newsloom.operators.graph import components
+from newsloom.operators.graph import components, written
 from newsloom.operators.normalize import quality_of
 
 SIMILARITY, WINDOW_DAYS = 0.88, 5
@@ -60,12 +61,12 @@ def jaccard_bound(similarity: float) -> float:
 
 def near_pairs(articles: DataFrame, similarity: float = SIMILARITY, days: int = WINDOW_DAYS) -> DataFrame:
     """(a, b, jaccard, containment): articles of one publisher whose titles share so many words that they
-    may be that similar, and whose days are near or unknown. Words are joined rarest first: of two sets
+    may be that similar, and which were published at most so many days apart, to the second, or at unknown times. Words are joined rarest first: of two sets
     with Jaccard j, one of the first n - ceil(j n) + 1 words of each is shared."""
     bound = jaccard_bound(similarity)
     if bound <= 0:
         raise ValueError("at this similarity words cannot narrow the candidates")
-    rows = articles.select("article_id", F.lower("source_domain").alias("domain"), F.to_date("published").alias("day"), F.array_distinct(text.canonical_tokens(text.fold(F.col("title")))).alias("words")).filter(F.size("words") > 0)
+    rows = articles.select("article_id", F.lower("source_domain").alias("domain"), F.unix_micros("published").alias("day"), F.array_distinct(text.canonical_tokens(text.fold(F.col("title")))).alias("words")).filter(F.size("words") > 0)
     word = rows.select("article_id", "domain", F.explode("words").alias("word"))
     often = word.groupBy("domain", "word").agg(F.count("*").alias("n"))
     ranked = word.join(often, ["domain", "word"]).groupBy("article_id", "domain").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
@@ -74,7 +75,7 @@ def near_pairs(articles: DataFrame, similarity: float = SIMILARITY, days: int =
     met = keys.alias("x").join(keys.alias("y"), ["domain", "word"]).filter("x.article_id < y.article_id").select(F.col("x.article_id").alias("a"), F.col("y.article_id").alias("b")).distinct()
     side = lambda n: rows.select(F.col("article_id").alias(n), F.col("day").alias(f"day_{n}"), F.col("words").alias(f"words_{n}"))
     pairs = met.join(side("a"), "a").join(side("b"), "b")
-    near = F.col("day_a").isNull() | F.col("day_b").isNull() | (F.abs(F.datediff("day_a", "day_b")) <= days)
+    near = F.col("day_a").isNull() | F.col("day_b").isNull() | (F.abs(F.col("day_a") - F.col("day_b")) <= days * 86_400_000_000)
     j, c = text.jaccard(F.col("words_a"), F.col("words_b")), text.containment(F.col("words_a"), F.col("words_b"))
     return pairs.filter(near).select("a", "b", j.alias("jaccard"), c.alias("containment")).filter(F.col("jaccard") >= bound)
 
@@ -94,14 +95,46 @@ def similarity_of(jaccard: Column, contained: Column, ratio: Column) -> Column:
     return F.round(F.greatest(0.5 * jaccard + 0.3 * ratio + 0.2 * contained, 0.8 * contained), 4)
 
 
+def _losers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The articles of whole components, which come one after another in order, that don't survive: each meets the last kept
+    one it is alike to, and the better of the two holds the place. Kept in memory are one component's survivors."""
+    component, places, kept = None, {}, 0
+    for rows in batches:
+        out = []
+        for comp, article, merit, around in zip(rows.component, rows.article_id, rows.merit, rows.around):
+            if comp != component:
+                component, places, kept = comp, {}, 0
+            merit = (merit["official"], merit["quality"], merit["dated"], merit["length"])
+            met = max(((places[n][0], n) for n in around if n in places), default=None)
+            if met is None:
+                places[article] = (kept, merit)
+                kept += 1
+            elif merit > places[met[1]][1]:
+                places[article] = (met[0], merit)
+                del places[met[1]]
+                out.append(met[1])
+            else:
+                out.append(article)
+        yield pd.DataFrame({"article_id": out}, dtype="object")
+
+
 def near_duplicates(articles: DataFrame, similarity: float = SIMILARITY, days: int = WINDOW_DAYS) -> DataFrame:
-    """The best article of each group of near-duplicates of one publisher (DD4). Groups are connected
-    pairs; the sequence ratio is computed for pairs that words don't rule out."""
+    """The articles without near-duplicates of one publisher (DD4): official, trusted, undated and older ones come first, and
+    one that is alike to a survivor takes its place if it is better, else goes. In a chain A-B-C, B goes and A and C stay.
+    The order runs inside connected components, which changes nothing, as an article only ever meets one it is alike to;
+    the sequence ratio is computed for pairs that words don't rule out. Ids are taken to be unique."""
     pairs = near_pairs(articles, similarity, days)
     title = lambda n: articles.select(F.col("article_id").alias(n), text.fold(F.col("title")).alias(f"t_{n}"))
     scored = pairs.join(title("a"), "a").join(title("b"), "b").withColumn("s", similarity_of(F.col("jaccard"), F.col("containment"), sequence_ratio("t_a", "t_b")))
-    groups = components(scored.filter(F.col("s") >= similarity).select("a", "b")).withColumnRenamed("node", "article_id")
-    return collapse(articles.join(groups, "article_id", "left").withColumn("_g", F.coalesce("component", F.lit(""))).drop("component"), F.col("_g")).drop("_g")
+    alike = written(scored.filter(F.col("s") >= similarity).select("a", "b"))
+    groups = components(alike).withColumnRenamed("node", "article_id")
+    around = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("article_id")).agg(F.collect_list("b").alias("around"))
+    quality = quality_of(F.col("source_type"))
+    merit = F.struct(F.col("is_official").alias("official"), quality.alias("quality"), F.col("published").isNotNull().alias("dated"), F.length(F.coalesce("summary", F.lit(""))).alias("length"))
+    order = articles.select("article_id", merit.alias("merit"), (~F.col("is_official")).alias("o1"), (-quality).alias("o2"), F.coalesce(F.unix_micros("published"), F.lit(0)).alias("o3"))
+    dealt = order.join(groups, "article_id").join(around, "article_id").repartition("component").sortWithinPartitions("component", "o1", "o2", "o3", "article_id")
+    lost = dealt.select("component", "article_id", "merit", "around").mapInPandas(_losers, "article_id string")
+    return articles.join(written(lost), "article_id", "left_anti").select(*articles.columns)
 
 
 def deduplicate(articles: DataFrame) -> DataFrame:

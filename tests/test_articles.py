@@ -35,6 +35,15 @@ def test_near_duplicates_of_one_publisher(spark):
     assert ids(dedup.near_duplicates(articles(spark, rows))) == ["a1", "a2", "a3", "a4"]
 
 
+def test_a_chain_of_near_duplicates_keeps_its_ends(spark):
+    words = "harbour granite festival quarter mountain leather bicycle station journal painter village october".split()
+    chain = [" ".join(w) for w in (words, [*words[:11], "kingdom"], [*words[:10], "kingdom", "lantern"])]
+    assert ids(dedup.near_duplicates(articles(spark, [{"title": t} for t in chain]))) == ["a0", "a2"]
+    # a better copy takes the place of the one before, and the next is compared with it
+    longer = [{"title": t, "summary": "s" * n} for t, n in zip(chain, (1, 9, 3))]
+    assert ids(dedup.near_duplicates(articles(spark, longer))) == ["a1"]
+
+
 def test_normalise(spark):
     domains = spark.createDataFrame([("e.com", "newspaper"), ("filings.e.com", "exchange_filing")], "domain string, type string")
     rows = [{"title": "<b>Plant</b> opens - The Daily Wire", "url": "https://www.m.e.com/a/?utm_source=z", "type": "unknown"}, {"title": "Notice", "url": "https://x.filings.e.com/1", "type": "unknown"}, {"title": "", "url": "https://e.com/2"}]
