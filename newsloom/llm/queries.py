@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsloom.llm import bpe, chat, jaccard_join, packing, page_text, quality, secrets, simhash, topk, url_rules
+from newsloom.llm import bpe, chat, filter_audit, jaccard_join, lexical_search, packing, page_text, pii, quality, secrets, simhash, topk, url_rules
 from newsloom.llm.support import stored, table
 
 
@@ -64,6 +64,18 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "pipeline": corpus_pipeline.run,
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_topk": op7_exact_topk,
     "op9_chat_format": op9_chat_format,
     "op8_pack_sequences": op8_pack_sequences,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLES: dict[str, str] = {
@@ -127,4 +142,54 @@ ORACLES: dict[str, str] = {
                bool_and(CASE role WHEN 'system' THEN before = '' WHEN 'user' THEN before IN ('', 'system', 'assistant', 'tool')
                         WHEN 'assistant' THEN before IN ('user', 'tool') WHEN 'tool' THEN before = 'assistant' ELSE false END) AS valid
         FROM p GROUP BY conv_id""",
+    "op11_lexical_search": """
+        WITH d AS (
+            SELECT row_number() OVER () AS i, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws
+            FROM documents),
+        q AS (
+            SELECT row_number() OVER () AS j, item_id,
+                   list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS ws
+            FROM benchmark),
+        z AS (SELECT count(*) AS n, sum(len(ws)) AS l FROM d WHERE len(ws) > 0),
+        m AS (SELECT i, doc_id, 100 - 50 + ((50 * len(ws) * z.n) // z.l)::BIGINT AS m FROM d, z WHERE len(ws) > 0),
+        t AS (SELECT i, w, count(*) AS tf FROM (SELECT i, unnest(ws) AS w FROM d) GROUP BY i, w),
+        k AS (SELECT w, floor(1000 * ln((2 * z.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, z GROUP BY w, z.n),
+        s AS (
+            SELECT j, item_id, i, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+            FROM (SELECT j, item_id, unnest(ws) AS w FROM q) JOIN k USING (w) JOIN t USING (w) JOIN m USING (i) GROUP BY ALL),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50""",
+    "op12_filter_audit": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        f AS (
+            SELECT doc_id, part,
+                   (len(ws) < 100)::INTEGER + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INTEGER
+                   + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INTEGER + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+                   + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INTEGER AS fails
+            FROM d),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        c AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+        o(filter_order) AS (
+            SELECT '' UNION ALL SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE length(filter_order) < 5 AND NOT contains(filter_order, x)),
+        s AS (
+            SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+                   list_sum([1 << (ascii(filter_order[k]) - 65) for k in range(1, step)])::INTEGER AS earlier
+            FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+        x AS (
+            SELECT part, filter_order, step, own,
+                   sum(n) FILTER ((fails & (coalesce(earlier, 0) | own)) = 0) AS kept,
+                   sum(n) FILTER ((fails & coalesce(earlier, 0)) = 0 AND (fails & own) > 0) AS removed,
+                   sum(n) FILTER ((fails & coalesce(earlier, 0)) > 0 AND (fails & own) > 0) AS redundant,
+                   sum(n) FILTER (fails = own) AS unique_fails,
+                   sum(good) FILTER ((fails & coalesce(earlier, 0)) = 0 AND (fails & own) > 0) AS good_lost,
+                   sum(toxic) FILTER ((fails & coalesce(earlier, 0)) = 0 AND (fails & own) > 0) AS toxic_lost
+            FROM c, s GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+               coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+               coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+        FROM x""",
 }
