@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions import text
-from newsloom.operators import cluster, dedup, direction, graph, impact, lexicon, normalize, report, store
+from newsloom.functions import text, urls
+from newsloom.operators import cluster, dedup, direction, graph, impact, isolation, lexicon, normalize, report, store
 
 FLAGS = ["speculative", "opinion", "routine_release", "market_chatter", "listing_page", "recruitment", "research_report"]
 
 
+#: The fields of a landed payload.
+PAYLOAD = "summary string, source_name string, source_type string, is_official boolean"
+
+
+def address(url: str) -> str:
+    """A URL as it is, if it has a host and a port that can be read; raises otherwise."""
+    parts = urlsplit(url.strip())
+    if parts.port == 0 or not parts.hostname:
+        raise ValueError("no host")
+    return url
+
+
+def isolated(landed: DataFrame, most: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(articles, diagnostics (article_id, place, stage, reason)) of landed rows: article_id, title, url, ``published`` as
+    text and ``payload`` as JSON (RL10). Rows that raise in a date, in JSON, in a title or in a URL are named and left out;
+    what the other rows give does not depend on them. Further columns stay."""
+    steps = [
+        isolation.parsed("json", "_payload", F.col("payload"), PAYLOAD), isolation.dated("date", "published", F.col("published")),
+        isolation.encoded("title", "title", F.col("title")), isolation.tried("url", "url", address, "string", F.col("url")),
+    ]
+    good, failures = isolation.separate(isolation.examine(landed, steps), "article_id", most)
+    fields = {
+        "summary": F.coalesce("_payload.summary", F.lit("")), "source_name": F.col("_payload.source_name"),
+        "source_type": F.coalesce("_payload.source_type", F.lit("unknown")), "is_official": F.coalesce("_payload.is_official", F.lit(False)),
+    }
+    return good.withColumns(fields | {"source_domain": urls.domain_of(F.col("url"))}).drop("_payload", "payload"), failures
+
+
 def earlier_flags(events: DataFrame, stored: DataFrame, sources: DataFrame, markers: dict[str, list[str]]) -> DataFrame:
     """(cluster_id, flags) of each headline that the stored event which a new one continues has had (CL8). ``sources`` has
     event_id and title of the store's sources."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text
 from newsloom.operators import cluster, dedup, graph, lexicon, match, normalize, relationship
+from newsloom.plans import daily
 from newsloom.queries.base import ARTICLES, CATEGORY_WORDS, COOCCUR, MARKERS, NAMES, TERMS, TEXTS, TICKERS, TYPES, articles, canonical_sql, has_sql, rows_of, table, texts, values_sql, words_sql
 
 QUERIES, ORACLES = {}, {}
@@ -216,6 +217,38 @@ def isolated_rows(spark, sf_dir):
     return good.select("article_id", F.lit("").alias("reason")).unionByName(bad.select("article_id", "reason"))
 
 
+_LANDED = f"""WITH {ARTICLES}, r AS (
+        SELECT article_id, CASE WHEN doc_id % 10 = 3 THEN '2026-13-45 or so' WHEN doc_id % 10 = 4 THEN NULL ELSE strftime(published, '%d/%m/%Y %H:%M:%S') END AS raw_date, published,
+               CASE WHEN doc_id % 14 = 5 THEN 'https://[' || source_domain || '/a' WHEN doc_id % 14 = 6 THEN 'https://' || source_domain || ':port/a' ELSE url END AS raw_url,
+               CASE WHEN doc_id % 8 = 1 THEN '{{"summary": ' || title END AS bad_json, doc_id % 33 = 7 AS bad_title, source_type, is_official, summary, source_domain
+        FROM a),
+    f AS (
+        SELECT article_id, 'json' AS stage, 'not the expected JSON: ' || substr(bad_json, 1, 40) AS reason FROM r WHERE bad_json IS NOT NULL
+        UNION ALL SELECT article_id, 'date', 'no known form: ' || substr(raw_date, 1, 40) FROM r WHERE contains(raw_date, 'or so')
+        UNION ALL SELECT article_id, 'title', 'not UTF-8' FROM r WHERE bad_title
+        UNION ALL SELECT article_id, 'url', CASE WHEN contains(raw_url, '[') THEN 'ValueError: Invalid IPv6 URL' ELSE 'ValueError: Port could not be cast to integer value as ''port''' END
+                  FROM r WHERE contains(raw_url, '[') OR contains(raw_url, ':port'))"""
+
+
+@query(f"""{_LANDED} SELECT article_id, stage, reason, NULL::TIMESTAMP AS published, NULL AS source_domain, NULL AS source_type, NULL::INTEGER AS size FROM f
+    UNION ALL SELECT article_id, NULL, NULL, CASE WHEN raw_date IS NOT NULL THEN published END, source_domain, source_type, length(summary)::INTEGER
+              FROM r WHERE article_id NOT IN (SELECT article_id FROM f)""")
+def isolated_run(spark, sf_dir):
+    """Landed rows, some of which raise in dates, JSON, titles or URLs: what is read of the good ones, and a row for each failure (RL10)."""
+    rows = articles(spark, sf_dir)
+    part = lambda n: F.col("doc_id") % n
+    host = F.concat(F.when(part(14) == 5, "https://[").otherwise("https://"), "source_domain", F.when(part(14) == 6, ":port/a").otherwise("/a"))
+    landed = rows.select(
+        "article_id", F.when(part(33) == 7, F.unhex(F.lit("C328")).cast("string")).otherwise(F.col("title")).alias("title"),
+        F.when(part(14).isin(5, 6), host).otherwise(F.col("url")).alias("url"),
+        F.when(part(10) == 3, "2026-13-45 or so").when(part(10) != 4, F.date_format("published", "dd/MM/yyyy HH:mm:ss")).alias("published"),
+        F.when(part(8) == 1, F.concat(F.lit('{"summary": '), "title")).otherwise(F.to_json(F.struct("summary", "source_type", "is_official"))).alias("payload"),
+    )
+    good, failures = daily.isolated(landed)
+    read = good.select("article_id", "published", "source_domain", "source_type", F.length("summary").alias("size"))
+    return failures.select("article_id", "stage", "reason").unionByName(read, allowMissingColumns=True)
+
+
 @query(f"WITH {_ALIASES} SELECT article_id, ticker, alias, reason FROM h WHERE reason IS NOT NULL")
 def entity_rejections(spark, sf_dir):
     return match.rejections(match.alias_hits(texts(spark, sf_dir), _aliases(spark)))
@@ -260,8 +293,13 @@ def exposure_summary(spark, sf_dir):
 
 
 def linked(spark, sf_dir):
-    """Texts with categories and flags, and their links. Folded texts are written, as four lexicons go over them."""
-    rows = graph.written(texts(spark, sf_dir)).withColumns({"collector": F.lit("rss"), "tickers_hint": F.array().cast("array<string>")})
+    """Texts with categories and flags, and their links."""
+    return linked_of(spark, texts(spark, sf_dir))
+
+
+def linked_of(spark, folded):
+    """The same of any articles with folded texts, which are written, as four lexicons go over them."""
+    rows = graph.written(folded).withColumns({"collector": F.lit("rss"), "tickers_hint": F.array().cast("array<string>")})
     found = lexicon.classify(rows, lexicon.rule_classifier(_keywords(spark), _rules(spark)))
     facts = lexicon.flags(rows, MARKERS).join(found, "article_id").withColumn("query_kind", F.lit(None).cast("string"))
     names = rows_of(spark, [], "ticker string, name string, strength string, pos int, excludes array<string>")

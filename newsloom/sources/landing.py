@@ -28,10 +28,37 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, STRING) for n in names])
 
 
+def unreadable(spark: SparkSession, path: str, schema: T.StructType, form: str = "json", **options: str) -> DataFrame:
+    """(file, reason, fields) of a reader's records that its schema cannot be read from (RL10): the record's beginning and how many
+    fields were read none the less. Readers skip such records; this names them. ``options`` are the reader's own."""
+    with_text = T.StructType([*schema.fields, T.StructField("_corrupt_record", STRING)])
+    reader = spark.read.format(form).schema(with_text).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **options)
+    read = sum((F.col(f.name).isNotNull().cast("int") for f in schema.fields), F.lit(0))
+    rows = reader.load(path).select(F.input_file_name().alias("file"), F.substring(F.trim("_corrupt_record"), 1, 120).alias("reason"), read.alias("fields"))
+    return rows.filter(F.col("reason").isNotNull())
+
+
+FEED_ITEM = T.StructType([
+    *_strings("title", "link", "description", "pubDate", "published", "updated").fields, T.StructField("source", _strings("_VALUE", "_url")),
+])
+INDEX = T.StructType([T.StructField("articles", T.ArrayType(_strings("url", "title", "domain", "seendate", "language", "sourcecountry")))])
+ANNOUNCEMENT = ("symbol", "desc", "subject", "attchmntText", "smIndustry", "attchmntFile", "fileName", "an_dt", "exchdisstime")
+ANNOUNCEMENTS = T.StructType([*_strings(*ANNOUNCEMENT).fields, T.StructField("data", T.ArrayType(_strings(*ANNOUNCEMENT)))])
+TABLE = T.StructType([
+    T.StructField("Table", T.ArrayType(_strings("HEADLINE", "NEWSSUB", "SLONGNAME", "SCRIP_CD", "ATTACHMENTNAME", "MORE", "News_submission_dt", "DT_TM"))),
+])
+POST = T.StructType([
+    *_strings("title", "selftext", "permalink", "url", "subreddit", "removed_by_category").fields, T.StructField("score", LONG), T.StructField("num_comments", LONG),
+    T.StructField("over_18", T.BooleanType()), T.StructField("created_utc", T.DoubleType()),
+])
+LISTING = T.StructType([T.StructField("data", T.StructType([T.StructField("children", T.ArrayType(T.StructType([T.StructField("data", POST)])))]))])
+VIDEO = T.StructType([T.StructField("id", _strings("videoId")), T.StructField("snippet", _strings("title", "description", "channelTitle", "publishedAt"))])
+VIDEOS = T.StructType([T.StructField("items", T.ArrayType(VIDEO))])
+
+
 def rss(spark: SparkSession, path: str, collector: str = "rss", source_name: str = "", hints: list[str] = []) -> DataFrame:
     """Feed items (SC1): without title or link they go; a nested source names the publisher."""
-    schema = T.StructType([T.StructField(n, STRING) for n in ("title", "link", "description", "pubDate", "published", "updated")] + [T.StructField("source", T.StructType([T.StructField("_VALUE", STRING), T.StructField("_url", STRING)]))])
-    items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+    items = spark.read.format("xml").option("rowTag", "item").schema(FEED_ITEM).load(path)
     when = dates.parse_date(F.coalesce("published", "updated", "pubDate"))
     good = items.filter((F.trim(F.coalesce("title", F.lit(""))) != "") & (F.trim(F.coalesce("link", F.lit(""))) != ""))
     return article(good, title=F.col("title"), url=F.trim("link"), source_name=F.coalesce("source._VALUE", F.lit(source_name)), summary=F.coalesce("description", F.lit("")), published=when, collector=F.lit(collector), tickers_hint=F.array(*[F.lit(h) for h in hints]) if hints else F.array().cast("array<string>"))
@@ -54,18 +81,15 @@ def search_feed(items: DataFrame, searches: DataFrame, most: int) -> DataFrame:
 
 def document_index(spark: SparkSession, path: str) -> DataFrame:
     """An index's JSON (SC3)."""
-    schema = T.StructType([T.StructField("articles", T.ArrayType(_strings("url", "title", "domain", "seendate", "language", "sourcecountry")))])
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("articles").alias("a")).filter("a.title is not null and a.url is not null")
+    rows = spark.read.schema(INDEX).option("multiLine", True).json(path).select(F.explode("articles").alias("a")).filter("a.title is not null and a.url is not null")
     return article(rows, title=F.col("a.title"), url=F.col("a.url"), source_domain=F.col("a.domain"), source_name=F.col("a.domain"), published=dates.parse_date(F.col("a.seendate")), collector=F.lit("gdelt"))
 
 
 def exchange_announcements(spark: SparkSession, path: str, profiles: DataFrame) -> DataFrame:
     """One exchange's announcements, a list or under ``data``, for known symbols (SC4). ``profiles`` has ticker,
     company; files are named by symbol."""
-    fields = ("symbol", "desc", "subject", "attchmntText", "smIndustry", "attchmntFile", "fileName", "an_dt", "exchdisstime")
-    listed = T.StructType([*_strings(*fields).fields, T.StructField("data", T.ArrayType(_strings(*fields)))])
-    raw = spark.read.schema(listed).option("multiLine", True).json(path)
-    one = F.struct(*[F.col(f) for f in fields])
+    raw = spark.read.schema(ANNOUNCEMENTS).option("multiLine", True).json(path)
+    one = F.struct(*[F.col(f) for f in ANNOUNCEMENT])
     rows = raw.select(F.explode(F.when(F.col("data").isNotNull(), F.col("data")).otherwise(F.array(one))).alias("a")).select("a.*")
     known = rows.join(profiles.select(F.col("ticker").alias("symbol"), "company"), "symbol").withColumn("what", F.coalesce("desc", "subject")).filter("what is not null")
     return article(known, title=F.concat_ws(": ", "company", "what"), url=F.coalesce("attchmntFile", "fileName"), source_type=F.lit("exchange_filing"), summary=F.coalesce("attchmntText", F.lit("")), published=dates.parse_date(F.coalesce("an_dt", "exchdisstime")), collector=F.lit("nse"), tickers_hint=F.array("symbol"), is_official=F.lit(True))
@@ -74,8 +98,7 @@ def exchange_announcements(spark: SparkSession, path: str, profiles: DataFrame)
 def second_exchange(spark: SparkSession, path: str, codes: DataFrame, base_url: str) -> DataFrame:
     """The other exchange's payloads (SC5): one whose company's name doesn't fit its code goes whole.
     ``codes`` has code, ticker, company."""
-    fields = ("HEADLINE", "NEWSSUB", "SLONGNAME", "SCRIP_CD", "ATTACHMENTNAME", "MORE", "News_submission_dt", "DT_TM")
-    raw = spark.read.schema(T.StructType([T.StructField("Table", T.ArrayType(_strings(*fields)))])).option("multiLine", True).json(path)
+    raw = spark.read.schema(TABLE).option("multiLine", True).json(path)
     rows = raw.withColumn("file", F.input_file_name()).select("file", F.explode("Table").alias("a")).select("file", "a.*").join(codes, F.col("SCRIP_CD") == F.col("code"))
     words = lambda c: F.slice(F.filter(F.split(text.fold(c), r"[^a-z0-9]+"), lambda w: w != ""), 1, 2)
     fits = F.regexp_like(text.fold(F.col("SLONGNAME")), text.phrase_pattern(F.col("company"))) | (words(F.col("SLONGNAME")) == words(F.col("company")))
@@ -99,9 +122,7 @@ def wanted_feeds(registry: DataFrame, tickers: list[str]) -> DataFrame:
 
 def forum(spark: SparkSession, path: str, base_url: str, least_score: int = 0) -> DataFrame:
     """Forum listings (SC10): adult, removed and low posts go; a time that isn't after 1970 is unknown."""
-    post = T.StructType([*_strings("title", "selftext", "permalink", "url", "subreddit", "removed_by_category").fields, T.StructField("score", LONG), T.StructField("num_comments", LONG), T.StructField("over_18", T.BooleanType()), T.StructField("created_utc", T.DoubleType())])
-    schema = T.StructType([T.StructField("data", T.StructType([T.StructField("children", T.ArrayType(T.StructType([T.StructField("data", post)])))]))])
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("data.children").alias("c")).select("c.data.*")
+    rows = spark.read.schema(LISTING).option("multiLine", True).json(path).select(F.explode("data.children").alias("c")).select("c.data.*")
     good = rows.filter((F.coalesce("title", F.lit("")) != "") & ~F.coalesce("over_18", F.lit(False)) & F.col("removed_by_category").isNull() & (F.coalesce("score", F.lit(0)) >= least_score))
     when = F.when(F.col("created_utc") > 0, F.timestamp_seconds("created_utc"))
     return article(good, title=F.col("title"), url=F.coalesce(F.concat(F.lit(base_url), "permalink"), "url"), source_name=F.concat(F.lit("r/"), "subreddit"), source_type=F.lit("social"), summary=F.coalesce("selftext", F.lit("")), published=when, collector=F.lit("forum"), consumer=F.lit(True), score=F.col("score"), num_comments=F.col("num_comments"))
@@ -109,9 +130,7 @@ def forum(spark: SparkSession, path: str, base_url: str, least_score: int = 0) -
 
 def videos(spark: SparkSession, path: str, base_url: str) -> DataFrame:
     """Video searches (SC11)."""
-    snippet = _strings("title", "description", "channelTitle", "publishedAt")
-    schema = T.StructType([T.StructField("items", T.ArrayType(T.StructType([T.StructField("id", _strings("videoId")), T.StructField("snippet", snippet)])))])
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("items").alias("i")).filter("i.id.videoId is not null and i.snippet.title is not null")
+    rows = spark.read.schema(VIDEOS).option("multiLine", True).json(path).select(F.explode("items").alias("i")).filter("i.id.videoId is not null and i.snippet.title is not null")
     return article(rows, title=text.clean_text(F.col("i.snippet.title")), url=F.concat(F.lit(base_url), "i.id.videoId"), source_name=F.col("i.snippet.channelTitle"), source_type=F.lit("social"), summary=text.clean_text(F.col("i.snippet.description")), published=dates.parse_date(F.col("i.snippet.publishedAt")), collector=F.lit("video"), consumer=F.lit(True))
 
 
