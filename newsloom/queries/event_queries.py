@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import direction, graph, impact, planning, report, signals, store
 from newsloom.queries.article_queries import _no_ratio, linked, members
 from newsloom.queries.base import CATEGORY_WORDS, PAIRS, RELATIONS, TICKERS, TYPES, canonical_sql, fold_sql, pairs, rows_of, table, values_sql
-from newsloom.streaming import streams
+from newsloom.streaming import stories, streams
 
 QUERIES, ORACLES = {}, {}
 
@@ -444,6 +444,38 @@ def stream_sessions(spark, sf_dir):
     return out.select("event_type", "ticker", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+_STORIES = """WITH RECURSIVE e AS (
+        SELECT lpad(event_id::VARCHAR, 12, '0') AS id, event_type AS ticker, user_id % 200 AS k, ts, floor(value)::INTEGER AS score, CASE WHEN event_id % 3 = 0 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS direction
+        FROM events WHERE ts IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY ticker, k ORDER BY ts, id) AS n FROM e),
+    s AS (
+        SELECT ticker, k, n, id AS story, ts::DATE AS day, score AS now, direction AS way, id, ts, 'event added' AS change, ticker || ' (DIRECT)' AS detail FROM r WHERE n = 1
+        UNION ALL
+        SELECT ticker, k, n, CASE WHEN fresh THEN id ELSE story END, CASE WHEN fresh THEN ts::DATE ELSE day END, CASE WHEN fresh OR raised OR turned THEN score ELSE now END,
+               CASE WHEN fresh OR raised OR turned THEN direction ELSE way END, id, ts, CASE WHEN fresh THEN 'event added' WHEN raised THEN 'impact raised' WHEN turned THEN 'direction changed' END,
+               ticker || CASE WHEN fresh THEN ' (DIRECT)' WHEN raised THEN ' ' || now || ' -> ' || score ELSE ' ' || way || ' -> ' || direction END
+        FROM (SELECT r.*, s.story, s.day, s.now, s.way, r.ts::DATE - s.day > 21 AS fresh, r.score > s.now AS raised, r.direction <> s.way AS turned FROM s JOIN r ON r.ticker = s.ticker AND r.k = s.k AND r.n = s.n + 1))
+    SELECT ticker, story AS event_id, id AS incoming_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, change, detail, now AS impact_score, way AS direction FROM s WHERE change IS NOT NULL"""
+
+
+@query(_STORIES)
+def stream_story_changes(spark, sf_dir):
+    """Stories of users by event type as keyed state: what each row of the stream changes (ST4). A row far ahead of all others, in a stream
+    of its own, lets the watermark pass the last day."""
+    columns = {
+        "event_id": F.lpad(F.col("event_id").cast("string"), 12, "0"), "ticker": F.col("event_type"), "ts": F.col("ts").cast("timestamp"), "title": F.lit(""),
+        "cluster_key": (F.col("user_id") % 200).cast("string"), "event_types": F.array().cast("array<string>"), "has_official": F.lit(False), "relationship": F.lit("DIRECT"),
+        "impact_score": F.floor("value").cast("int"), "direction": F.when(F.col("event_id") % 3 == 0, "NEGATIVE").otherwise("POSITIVE"),
+    }
+    rows = _stream(spark, sf_dir).filter("ts is not null").select(*[c.alias(name) for name, c in columns.items()])
+    folder, name = graph.shared_folder(spark), _name("stories")
+    last = table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("last")).select(F.timestamp_add("DAY", F.lit(60), "last").alias("ts"))
+    last.select(*[F.col("ts") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns]).write.parquet(f"{folder}/{name}-last")
+    ahead = spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}-last")
+    out = stories.drained(stories.changes(rows.union(ahead)), folder, name)
+    return out.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
 def _stream(spark, sf_dir):
     """The events as a stream of files; the table's own schema, so nothing is inferred."""
     import os.path
