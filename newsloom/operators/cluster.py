@@ -2,20 +2,20 @@
 
 Candidate pairs come from joins on ticker, day bucket and a shared title word. Articles that are alike in all that
 pairs are judged by are one entry there, so that copies of a story are never paired with each other. The greedy
-single-link order runs inside connected components of the pairs that pass, which gives the same clusters as
-running it over everything, since an article only ever joins one it passes with."""
+single-link order runs inside stretches of days of the connected components of the pairs that pass, in rounds that hand
+decisions across; this gives the same clusters as running it over everything, since an article only ever joins one it passes with."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
 from newsloom.operators.dedup import ratio_bound, sequence_ratio, similarity_of
-from newsloom.operators.graph import components, written
+from newsloom.operators.graph import components, in_order, numbered, written
 from newsloom.operators.normalize import quality_of
 
 THRESHOLD, WINDOW_DAYS, PROCEEDING_DAYS = 0.62, 3, 30
@@ -94,32 +94,44 @@ def entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return made.select("r.*", "n"), where
 
 
-def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Clusters of whole components that come one after another, their articles in cluster order: each article joins
-    the cluster whose first fitting member scores best so far, or begins its own. Kept in memory are, for
-    one component, the size and first article of each cluster and the clusters that each entry is in."""
-    component = None
-    firsts: list[str] = []
-    sizes: list[int] = []
-    places: dict[str, dict[int, int]] = {}
-    for rows in batches:
+#: Entries and passing pairs of a cell; one day of a component is never cut.
+CELL = 200_000
+DECIDED = "article_id string, entry string, at long, c long, cluster_id string"
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decides what can be decided in whole cells, which come one after another: first their entries (``at`` is -1) with neighbours
+    and the clusters they are in, then their undecided articles in order. An article joins the cluster whose first fitting
+    member scores best so far, clusters in the order of their first articles, or begins its own; it can do so once
+    no entry that it passes with has an earlier article that is undecided. Others come out without a cluster."""
+    cell, around, far, places, waiting, names = None, {}, {}, {}, set(), {}
+    for batch in batches:
         out = []
-        for comp, entry, article, around in zip(rows.component, rows.entry, rows.article_id, rows.around):
-            if comp != component:
-                component, firsts, sizes, places = comp, [], [], {}
-            fitting = sorted((c, place, near["score"]) for near in around for c, place in places.get(near["entry"], {}).items())
+        for row in batch.to_pylist():
+            if (row["component"], row["cell"]) != cell:
+                cell, around, far, places, waiting, names = (row["component"], row["cell"]), {}, {}, {}, set(), {}
+            entry, at = row["entry"], row["at"]
+            if at < 0:
+                around[entry], far[entry] = row["around"], row["far"]
+                places[entry] = {p["c"]: p["at"] for p in row["places"]}
+                names |= {p["c"]: p["cluster_id"] for p in row["places"]}
+                names |= {p["c"]: p["cluster_id"] for n in row["far"] for p in n["places"]}
+                continue
+            if any(n["entry"] in waiting for n in around[entry]) or any(n["next"] is not None and n["next"] < at for n in far[entry]):
+                waiting.add(entry)
+                out.append((row["article_id"], entry, at, None, None))
+                continue
+            fitting = [(c, place, n["score"]) for n in around[entry] for c, place in places[n["entry"]].items()]
+            fitting += [(p["c"], p["at"], n["score"]) for n in far[entry] for p in n["places"]]
             best, best_score, done = None, 0.0, None
-            for c, _, score in fitting:
+            for c, _, score in sorted(fitting):
                 if c != done and score > best_score:
                     best, best_score, done = c, score, c
-            if best is None:
-                best = len(firsts)
-                firsts.append(article)
-                sizes.append(0)
-            places.setdefault(entry, {}).setdefault(best, sizes[best])
-            out.append((article, firsts[best], sizes[best]))
-            sizes[best] += 1
-        yield pd.DataFrame(out, columns=["article_id", "cluster_id", "position"])
+            best = at if best is None else best
+            places[entry].setdefault(best, at)
+            out.append((row["article_id"], entry, at, best, names.setdefault(best, row["article_id"])))
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=[x.split()[0] for x in DECIDED.split(", ")])
 
 
 def _order(df: DataFrame) -> list[Column]:
@@ -128,23 +140,72 @@ def _order(df: DataFrame) -> list[Column]:
     return [(~F.col("is_official")).alias("_o1"), (-rank).alias("_o2"), F.coalesce(F.unix_seconds("published"), F.lit(0)).alias("_o3"), F.col("title").alias("_o4")]
 
 
-def cluster(rows: DataFrame, ratio=sequence_ratio, threshold: float = THRESHOLD, days: int = WINDOW_DAYS, proceeding_days: int = PROCEEDING_DAYS) -> DataFrame:
-    """(article_id, cluster_id, position) of every row; a cluster is named by its first article (CL2).
-
-    A component's articles stream through one task in order, each with the entries that it passes with; what the
-    task keeps grows with the component's entries, not with its articles or pairs."""
+def _cells(entry_days: DataFrame, both: DataFrame, size: int) -> DataFrame:
+    """(entry, component, cell): each component cut, between days, where about ``size`` entries and pairs have come together."""
+    weight = both.groupBy("entry").agg((F.count("*") + 1).alias("weight"))
+    rows = entry_days.join(weight, "entry")
+    days = rows.groupBy("component", "day").agg(F.sum("weight").alias("weight"))
+    before = F.sum("weight").over(Window.partitionBy("component").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))  # a row a day
+    cut = days.select("component", "day", F.floor(F.coalesce(before, F.lit(0)) / size).alias("cell"))
+    return rows.join(cut, ["component", "day"]).select("entry", "component", "cell")
+
+
+def greedy(articles: DataFrame, entry_days: DataFrame, passing: DataFrame, size: int = CELL) -> DataFrame:
+    """(article_id, entry, at, c, cluster_id) of the one greedy order, run in rounds over cells (CL2). ``articles`` has article_id, entry
+    and ``at``, their place in the order; ``entry_days`` (entry, component, day); ``passing`` (a, b, score) pairs of entries, a = b
+    where an entry's own articles pass.
+
+    A cell is a stretch of days of one component. A round takes each cell that is not done through a task, which decides all it can; what
+    it needs of other cells (the neighbours across a border, with the clusters they are in and their first undecided article) is
+    joined to it. The first undecided article of a component can always be decided, so rounds end; as pairs lie within
+    days, they are as many as the borders that decisions cross one after another, not as the articles. Neighbours
+    are sent once for each entry. Each round is written; the number of undecided articles reaches the driver."""
+    turned = passing.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "score")
+    both = passing.unionByName(turned).select(F.col("a").alias("entry"), F.col("b").alias("other"), "score")
+    cells = written(_cells(entry_days, both, size))
+    sides = both.join(cells, "entry").join(cells.selectExpr("entry AS other", "cell AS other_cell"), "other")
+    near = written(sides.filter("cell = other_cell").groupBy("entry").agg(F.collect_list(F.struct(F.col("other").alias("entry"), "score")).alias("around")))
+    across = written(sides.filter("cell <> other_cell").select("entry", "other", "score"))
+    undecided = written(articles.join(cells, "entry").select("article_id", "entry", "at", "component", "cell"))
+    decided, spot = None, "array<struct<c:long,cluster_id:string,at:long>>"
+    empty = F.array().cast(spot)
+    while True:
+        left = undecided.select("component", "cell").distinct()
+        rows = cells.join(left, ["component", "cell"], "left_semi").join(near, "entry", "left")
+        first = undecided.groupBy(F.col("entry").alias("other")).agg(F.min("at").alias("next"))
+        held = across.join(rows.select("entry"), "entry", "left_semi").join(first, "other", "left")
+        if decided is None:
+            rows, held = rows.withColumn("places", empty), held.withColumn("places", empty)
+        else:
+            spots = decided.groupBy("entry", "c", "cluster_id").agg(F.min("at").alias("at")).groupBy("entry").agg(F.collect_list(F.struct("c", "cluster_id", "at")).alias("places"))
+            rows = rows.join(spots, "entry", "left")
+            held = held.join(spots.withColumnRenamed("entry", "other"), "other", "left")
+        far = held.groupBy("entry").agg(F.collect_list(F.struct("next", "score", F.coalesce("places", empty).alias("places"))).alias("far"))
+        rows = rows.join(far, "entry", "left").select(
+            "component", "cell", "entry", F.lit(-1).cast("long").alias("at"), F.lit("").alias("article_id"), F.coalesce("places", empty).alias("places"),
+            F.coalesce("around", F.array().cast("array<struct<entry:string,score:double>>")).alias("around"), F.coalesce("far", F.array().cast(f"array<struct<next:long,score:double,places:{spot}>>")).alias("far"),
+        )
+        dealt = rows.unionByName(undecided, allowMissingColumns=True).repartition("component", "cell").sortWithinPartitions("component", "cell", "at")
+        made = written(dealt.select(*rows.columns).mapInArrow(_decide, DECIDED))
+        done = made.filter("c is not null")
+        decided = done if decided is None else decided.unionByName(done)
+        if made.filter("c is null").isEmpty():
+            return decided
+        undecided = written(undecided.join(made.filter("c is null").select("article_id"), "article_id", "left_semi"))
+
+
+def cluster(rows: DataFrame, ratio=sequence_ratio, threshold: float = THRESHOLD, days: int = WINDOW_DAYS, proceeding_days: int = PROCEEDING_DAYS, size: int = CELL) -> DataFrame:
+    """(article_id, cluster_id, position) of every row; a cluster is named by its first article (CL2). Places in the order and
+    positions in clusters are numbered by range partitions, so that neither a component nor a cluster is one task's."""
     table, where = (written(df) for df in entries(rows))
     single = {"ratio": ratio, "threshold": threshold, "days": days, "proceeding_days": proceeding_days}
     own = _scored(table.filter("n > 1").select(F.col("article_id").alias("a"), F.col("article_id").alias("b")), table, **single)
     passing = written(scored_pairs(table, **single).unionByName(own).filter("passes").select("a", "b", "score"))
-    groups = components(passing.select("a", "b"))
-    both = passing.unionByName(passing.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    around = both.groupBy(F.col("a").alias("entry")).agg(F.collect_list(F.struct(F.col("b").alias("entry"), "score")).alias("around"))
-    around = around.join(groups.withColumnRenamed("node", "entry"), "entry", "left").withColumn("component", F.coalesce("component", "entry"))
-    keys = ["_o1", "_o2", "_o3", "_o4"]
-    dealt = rows.select("article_id", *_order(rows)).join(where, "article_id").join(around, "entry")
-    dealt = dealt.repartition("component").sortWithinPartitions("component", *keys, "article_id").select("component", "entry", "article_id", "around")
-    made = written(dealt.mapInPandas(_greedy, "article_id string, cluster_id string, position long"))
+    groups = components(passing.select("a", "b")).withColumnRenamed("node", "entry")
+    paired = passing.select(F.explode(F.array("a", "b")).alias("entry")).distinct()
+    entry_days = paired.join(groups, "entry", "left").join(table.select(F.col("article_id").alias("entry"), "day"), "entry").withColumn("component", F.coalesce("component", "entry"))
+    ordered = written(in_order(rows.select("article_id", *_order(rows)).join(where, "article_id"), ["_o1", "_o2", "_o3", "_o4", "article_id"]).select("article_id", "entry", "at"))
+    made = numbered(greedy(ordered, written(entry_days), passing, size), ["c"], ["at"], "n").select("article_id", "cluster_id", (F.col("n") - 1).alias("position"))
     alone = rows.select("article_id").join(made, "article_id", "left_anti").select("article_id", F.col("article_id").alias("cluster_id"), F.lit(0).cast("long").alias("position"))
     return made.unionByName(alone)
 
@@ -178,14 +239,13 @@ def events(members: DataFrame) -> DataFrame:
 
 
 def with_ids(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """``event_id`` of scope, year and a sequence that goes on from the store's (CL5). Scopes and years are
-    ranked apart; a busy scope's rows are numbered by title order in one sort."""
-    year = F.year("event_date")
-    numbered = events.withColumn("year", year).withColumn("n", F.row_number().over(Window.partitionBy("scope", "year").orderBy("event_date", "cluster_id")))
+    """``event_id`` of scope, year and a sequence that goes on from the store's (CL5), in order of day and cluster. Rows are numbered by
+    range partitions, so that a busy scope's year is not one task's."""
+    rows = numbered(events.withColumn("year", F.year("event_date")), ["scope", "year"], ["event_date", "cluster_id"], "n")
     if stored is not None:
         last = stored.groupBy("scope", "year").agg(F.max("sequence").alias("last"))
-        numbered = numbered.join(last, ["scope", "year"], "left").withColumn("n", F.col("n") + F.coalesce("last", F.lit(0)))
-    return numbered.withColumn("event_id", F.format_string("EVENT-%s-%d-%04d", "scope", "year", "n")).withColumnRenamed("n", "sequence")
+        rows = rows.join(last, ["scope", "year"], "left").withColumn("n", F.col("n") + F.coalesce("last", F.lit(0)))
+    return rows.withColumn("n", F.col("n").cast("int")).withColumn("event_id", F.format_string("EVENT-%s-%d-%04d", "scope", "year", "n")).withColumnRenamed("n", "sequence")
 
 
 def suppressive_flags(members: DataFrame, names: list[str], earlier: DataFrame | None = None) -> DataFrame:

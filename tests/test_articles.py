@@ -2,10 +2,11 @@ import datetime as dt
 import difflib
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import cluster, dedup, direction, impact, lexicon, match, normalize, relationship
+from newsloom.operators import cluster, dedup, direction, graph, impact, lexicon, match, normalize, relationship
 
 DAY = dt.datetime(2026, 9, 22, 6)
 COLUMNS = "article_id string, title string, summary string, url string, source_name string, source_domain string, source_type string, published timestamp, is_official boolean"
@@ -177,6 +178,7 @@ def test_clusters_are_those_of_a_pass_over_all_pairs(spark):
         clusters.append([i]) if best is None else best.append(i)
     got = {(r["article_id"], r["cluster_id"], r["position"]) for r in cluster.cluster(ready).collect()}
     assert got == {(m, c[0], k) for c in clusters for k, m in enumerate(c)}
+    assert {tuple(r) for r in cluster.cluster(ready, size=25).select("article_id", "cluster_id", "position").collect()} == got  # in several cells
     assert 3 < len(clusters) < 60 and cluster.cluster(ready.limit(0)).count() == 0
 
 
@@ -208,3 +210,53 @@ def test_direction_by_role(spark):
     assert case("throughput", "copper prices fall") == "UNCERTAIN"
     rival = [(-2.5, "COMPETITOR", "Zed", "INDIRECT", None, True, False, False)]
     assert scored(spark, relationship="INDIRECT", rank=3, categories=["OTHER"], exposures=rival, head_f="zed fined after probe")["direction"] == "POSITIVE"
+
+
+def sequential(order, edges):
+    """One pass over all articles, each with its own entry: cluster (by its first article) and position of each."""
+    near = {}
+    for a, b, score in edges:
+        near.setdefault(a, []).append((b, score))
+        near.setdefault(b, []).append((a, score))
+    clusters, of = [], {}
+    for x in order:
+        best, most, done = None, 0.0, None
+        for c, place, score in sorted((*of[y], s) for y, s in near.get(x, ()) if y in of):
+            if c != done and score > most:
+                best, most, done = c, score, c
+        if best is None:
+            best = len(clusters)
+            clusters.append([])
+        of[x] = (best, len(clusters[best]))
+        clusters[best].append(x)
+    return {x: clusters[c][0] for x, (c, _) in of.items()}
+
+
+def test_greedy_order_of_one_large_component_in_many_tasks(spark):
+    """A component of 100,000 entries over a thousand days, cut into cells: the clusters are those of the one order."""
+    draw, n = random.Random(17), 100_000
+    day = [k // 100 for k in range(n)]
+    edges = [(k, k + draw.choice([1, 2, 7, 90]), round(draw.uniform(0.62, 1.2), 4)) for k in range(n - 90)] + [(k, k + 1, 0.7) for k in range(n - 91, n - 1)]
+    edges = [(a, b, s) for (a, b), s in {(a, b): s for a, b, s in edges}.items()]
+    rank = list(range(n))
+    draw.shuffle(rank)
+    name = lambda k: f"e{k:06d}"
+    spread = lambda rows, schema: spark.createDataFrame(pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]), schema)
+    articles = spread([(name(k), name(k), rank[k]) for k in range(n)], "article_id string, entry string, at long")
+    days = spread([(name(k), "one", DAY.date() + dt.timedelta(days=day[k])) for k in range(n)], "entry string, component string, day date")
+    passing = spread([(name(a), name(b), s) for a, b, s in edges], "a string, b string, score double")
+    cells = cluster._cells(days, passing.selectExpr("a AS entry").unionByName(passing.selectExpr("b AS entry")), 20_000)
+    assert 10 < cells.select("cell").distinct().count() < 30
+    got = {r["article_id"]: r["cluster_id"] for r in cluster.greedy(articles, days, passing, 20_000).select("article_id", "cluster_id").collect()}
+    want = sequential(sorted(range(n), key=rank.__getitem__), edges)
+    assert got == {name(k): name(c) for k, c in want.items()}
+
+
+def test_numbers_are_row_numbers(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice(["A", "B", None]), draw.randrange(50), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, d int, k int").repartition(7)
+    got = {r["k"]: r["n"] for r in graph.numbered(df, ["g"], ["d", "k"], "n").collect()}
+    for g in ("A", "B", None):
+        assert [got[k] for _, k in sorted((d, k) for x, d, k in rows if x == g)] == list(range(1, sum(x == g for x, _, _ in rows) + 1))
+    assert graph.numbered(df.limit(0), ["g"], ["d", "k"], "n").count() == 0
