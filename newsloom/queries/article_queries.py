@@ -381,6 +381,53 @@ def members(spark, sf_dir):
     return rows.join(cluster.cluster(rows), "article_id")
 
 
+_TRUST = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cluster.RANKS.items()) + " ELSE 3 END"
+#: One pass in the greedy order; a row holds the number of the first article of each article's cluster so far.
+_GREEDY = f"""WITH RECURSIVE {TEXTS}, {_PLAIN},
+    o AS (SELECT article_id, row_number() OVER (ORDER BY NOT is_official, -({_TRUST}), published, title, article_id)::INTEGER AS n FROM t),
+    near AS (SELECT greatest(x.n, y.n) AS n, list({{'c': 0, 'y': least(x.n, y.n), 's': score}} ORDER BY least(x.n, y.n)) AS ys FROM z JOIN o x ON x.article_id = a JOIN o y ON y.article_id = b WHERE score >= 0.62 GROUP BY 1),
+    pass AS (
+        SELECT 0 AS n, []::INTEGER[] AS c
+        UNION ALL
+        SELECT pass.n + 1, list_append(c, coalesce(nullif(list_reduce(list_sort(list_transform(ys, lambda y: {{'c': c[y.y], 'y': y.y, 's': y.s}})),
+                                           lambda best, y: CASE WHEN y.c <> best.c AND y.s > best.s THEN y ELSE best END, {{'c': 0, 'y': 0, 's': 0.0}}).c, 0), pass.n + 1))
+        FROM pass LEFT JOIN near ON near.n = pass.n + 1 WHERE pass.n < (SELECT count(*) FROM o)),
+    m AS (
+        SELECT o.article_id, first.article_id AS cluster_id, row_number() OVER (PARTITION BY first.n ORDER BY o.n) - 1 AS position
+        FROM o JOIN (SELECT c FROM pass ORDER BY n DESC LIMIT 1) done ON true JOIN o first ON first.n = done.c[o.n])"""
+
+
+def _judged_by_words(spark, sf_dir):
+    rows = plain(spark, sf_dir)
+    return rows.join(cluster.cluster(rows, _no_ratio), "article_id")
+
+
+@query(f"{_GREEDY} SELECT article_id, cluster_id, position FROM m")
+def cluster_greedy_words(spark, sf_dir):
+    """The greedy order with likeness by words alone (CL2), which SQL can follow; ``cluster_greedy`` has the sequence ratio."""
+    return _judged_by_words(spark, sf_dir).select("article_id", "cluster_id", "position")
+
+
+_IN_ORDER = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_KINDS = "[" + ", ".join(f"'{c}'" for c in CATEGORY_WORDS) + "]"
+
+
+@query(f"""{_GREEDY},
+    e AS (SELECT m.*, t.title, t.head_f, t.source_domain, t.is_official, t.published::DATE AS day, 'G' || (t.doc_id % 3) AS g, CASE WHEN t.doc_id % 3 = 0 THEN t.ticker END AS direct, ({_KINDS})[t.doc_id % 8 + 1] AS kind,
+                 {_TRUST} AS trust FROM m JOIN t USING (article_id)),
+    f AS (SELECT cluster_id, count(*) AS article_count, count(DISTINCT source_domain) AS source_count, min(day) AS event_date, string_agg(DISTINCT g, ',' ORDER BY g) AS tickers, list(DISTINCT direct) FILTER (direct IS NOT NULL) AS directs,
+                 count(DISTINCT g) AS n_tickers, list(kind ORDER BY position) AS kinds, bool_or(is_official) AS has_official,
+                 arg_min({{'title': title, 'head': head_f}}, (NOT is_official, -trust, -length(title), position, article_id)) AS lead FROM e GROUP BY cluster_id),
+    k AS (SELECT *, ({_IN_ORDER.format('kinds')})[1:5] AS types, {canonical_sql('lead.head')} AS words, CASE WHEN len(directs) = 1 THEN directs[1] WHEN n_tickers = 1 THEN tickers ELSE 'GLOBAL' END AS scope FROM f)
+    SELECT 'EVENT-' || scope || '-' || year(event_date) || '-' || lpad((row_number() OVER (PARTITION BY scope, year(event_date) ORDER BY event_date, cluster_id))::VARCHAR, 4, '0') AS event_id, lead.title AS title,
+           tickers || '|' || array_to_string((list_sort(types))[1:2], ',') || '|' || array_to_string(list_sort(({_IN_ORDER.format('words')})[1:6]), ' ') AS cluster_key,
+           article_count, source_count, event_date, has_official, array_to_string(types, ',') AS event_types FROM k""")
+def event_build_words(spark, sf_dir):
+    """Events of those clusters: leads, facts, keys, scopes and numbers (CL3-CL7)."""
+    made = cluster.with_ids(cluster.events(_judged_by_words(spark, sf_dir)))
+    return made.select("event_id", "title", "cluster_key", "article_count", "source_count", "event_date", "has_official", F.array_join("event_types", ",").alias("event_types"))
+
+
 @query()
 def cluster_greedy(spark, sf_dir):
     return members(spark, sf_dir).select("article_id", "cluster_id", "position")
@@ -401,7 +448,6 @@ def event_ids(spark, sf_dir):
 
 
 _SUPPRESS = ["routine_release", "market_chatter", "listing_page", "recruitment", "research_report"]
-_TRUST = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cluster.RANKS.items()) + " ELSE 3 END"
 
 
 @query(f"""WITH {TEXTS}, f AS (SELECT doc_id, doc_id // 5 AS c, is_official, {_TRUST} AS trust, title, {", ".join(f"{has_sql('head_f', MARKERS[n])} AS {n}" for n in _SUPPRESS)} FROM t),
