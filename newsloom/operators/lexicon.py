@@ -1,63 +1,59 @@
 """The lexicon join (LX1) and classification by it (CF1-CF6).
 
-Phrases and texts are cut to words without plural endings; n-grams of the words are the join key, and the
-phrase's own pattern confirms. The work per text is its words times the longest phrase, whatever the
-lexicon's size."""
+Occurrences of all phrases are found by one automaton in one pass over the texts (``phrases.marks``); a lexicon's rows then meet
+the phrases that a text has by their folded form. The work per text is its words, whatever the lexicon's size; texts are not shuffled.
+A pass can serve several lexicons (``marked``)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
+from newsloom.operators import phrases
 
 MAX_CATEGORIES = 4
 OTHER = "OTHER"
-#: Characters of phrases, keys and patterns (with 100 for other columns) up to which a lexicon is sent to all tasks.
-MOST_BROADCAST = 8 << 20
+#: Characters of phrases up to which a lexicon is one automaton; a larger one is cut, and each part is a pass over the texts.
+MOST_CHARS = 8 << 20
 
 
-def plain_words(folded: Column) -> Column:
-    """Words of letters and digits, without any s at their ends."""
-    words = F.filter(F.split(folded, "[^a-z0-9]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(F.rtrim(w, F.lit("s")) == "", F.lit("s")).otherwise(F.rtrim(w, F.lit("s"))))
+def marked(texts: DataFrame, columns: tuple[str, ...], *lexicons: tuple[DataFrame, tuple[str, ...]]) -> DataFrame | None:
+    """The texts with ``marks_<column>`` for each folded column: the occurrences of all phrases of some lexicons, given with
+    their columns of phrases. None if they are too many for one automaton. Phrases go to the driver, after their size."""
+    every = reduce(DataFrame.union, [phrases.listed(df, *names) for df, names in lexicons])
+    if (every.agg(F.sum(F.length("phrase"))).first()[0] or 0) > MOST_CHARS:
+        return None
+    folded = [r[0] for r in every.select(text.fold(F.col("phrase"))).collect()]
+    sent = texts.sparkSession.sparkContext.broadcast(phrases.Automaton(folded))
+    return texts.withColumns({f"marks_{c}": phrases.marks(sent, F.col(c)) for c in columns})
 
 
-def phrases(lexicon: DataFrame, phrase: str = "phrase") -> DataFrame:
-    """A lexicon with the key, length and pattern of each phrase; phrases without words go."""
-    words = plain_words(text.fold(F.col(phrase)))
-    return lexicon.withColumns({"key": F.array_join(words, " "), "n_words": F.size(words), "pattern": text.phrase_pattern(F.col(phrase))}).filter("n_words > 0")
-
-
-def hits(texts: DataFrame, lexicon: DataFrame, id_column: str, text_column: str, phrase: str = "phrase", keep: tuple[str, ...] = ()) -> DataFrame:
+def hits(texts: DataFrame, lexicon: DataFrame, id_column: str, text_column: str, phrase: str = "phrase", keep: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``lexicon`` that occur in each folded text, with the text's id and the columns of ``keep``. A row occurs once for a text.
-    The longest phrase's length and the lexicon's size go to the driver. A lexicon within ``MOST_BROADCAST`` is sent to all
-    tasks: only runs that begin with a phrase's first word are made, and phrases are confirmed where the text was read, so nothing is
-    shuffled. A larger one meets all runs by key; runs carry the id alone, and the texts of those that met a phrase are joined again."""
-    table = phrases(lexicon, phrase)
-    longest, size = table.agg(F.max("n_words"), F.sum(F.length("key") + F.length("pattern") + 100)).first()
-    longest, small = longest or 0, (size or 0) <= MOST_BROADCAST
-    kept = list(dict.fromkeys([id_column, text_column, *keep]))
-    words = texts.select(*(kept if small else [id_column]), plain_words(F.col(text_column)).alias("words"))
-    starts = F.sequence(F.lit(1), F.size("words"))
-    if small:
-        heads = [r[0] for r in table.select(F.split_part("key", F.lit(" "), F.lit(1))).distinct().collect()]
-        starts = F.filter(starts, lambda i: F.get("words", i - 1).isin(heads))
-
-    def runs(i: Column) -> Column:
-        return F.array(*[F.when(i + (n - 1) <= F.size("words"), F.array_join(F.slice("words", i, F.lit(n)), " ")) for n in range(1, longest + 1)])
-
-    none = F.array().cast("array<string>")
-    grams = F.when(F.size("words") > 0, F.array_compact(F.array_distinct(F.flatten(F.transform(starts, runs))))).otherwise(none) if longest else none
-    cut = words.withColumn("grams", grams).drop("words")
-    # the outer form: from the plain one a filter is inferred that would make all runs once more, and their words for every run
-    met = cut.select("*", F.explode_outer("grams").alias("key")).drop("grams").join(F.broadcast(table) if small else table, "key")
-    if not small:
-        met = met.join(texts.select(*kept), id_column)
-    confirmed = met.filter(F.regexp_like(text_column, F.col("pattern")))
-    return confirmed.drop("key", "n_words", "pattern", *([] if text_column in keep else [text_column]))
+    Occurrences that the texts carry already (``marks_<column>``) are used, and must be of all phrases asked for; otherwise they are
+    found here, of the phrases and of the columns ``also``, in as many passes as the lexicon's size asks for."""
+    name = f"marks_{text_column}"
+    if name in texts.columns:
+        return _met(texts, lexicon, id_column, name, phrase, keep)
+    columns = tuple(dict.fromkeys([text_column, *[c.removeprefix("marks_") for c in keep if c.startswith("marks_")]]))
+    whole = marked(texts, columns, (lexicon, (phrase, *also)))
+    if whole is not None:
+        return _met(whole, lexicon, id_column, name, phrase, keep)
+    size = phrases.listed(lexicon, phrase, *also).agg(F.sum(F.length("phrase"))).first()[0]
+    shards = -(-2 * size // MOST_CHARS)
+    parts = [lexicon.filter(F.pmod(F.xxhash64(phrase), F.lit(shards)) == k) for k in range(shards)]
+    return reduce(DataFrame.unionByName, [hits(texts, part, id_column, text_column, phrase, keep, also) for part in parts])
+
+
+def _met(texts: DataFrame, lexicon: DataFrame, id_column: str, marks: str, phrase: str, keep: tuple[str, ...]) -> DataFrame:
+    names = F.array_distinct(F.transform(marks, lambda m: m["phrase"]))
+    there = texts.select(id_column, *[c for c in keep if c != id_column], F.explode(names).alias("_key"))
+    # a lexicon that was made an automaton has at most MOST_CHARS characters of phrases
+    return there.join(F.broadcast(lexicon.withColumn("_key", text.fold(F.col(phrase)))), "_key").drop("_key")
 
 
 def keyword_categories(texts: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -90,10 +86,11 @@ def found_categories(texts: DataFrame, keywords: DataFrame, rules: DataFrame) ->
 
 def ranked_categories(texts: DataFrame, found: DataFrame, most: int = MAX_CATEGORIES) -> DataFrame:
     """(article_id, categories): those with evidence in the headline first, then by rule; OTHER where there
-    is none (CF3). ``texts`` has article_id and head_f."""
-    both = found.join(texts.select("article_id", "head_f"), "article_id")
-    parts = F.split("phrase", r"\+")
-    in_head = F.forall(parts, lambda p: F.regexp_like(F.col("head_f"), text.phrase_pattern(p)))
+    is none (CF3). ``texts`` has article_id and ``marks_head_f``, the occurrences in the headline."""
+    heads = F.array_distinct(F.transform("marks_head_f", lambda m: m["phrase"]))
+    both = found.join(texts.select("article_id", heads.alias("heads")), "article_id")
+    parts = phrases.folded_all(F.split("phrase", r"\+"))
+    in_head = F.forall(parts, lambda p: F.array_contains("heads", p))
     lists = both.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct((~in_head).alias("body"), F.col("rule_ord"), F.col("category")))).alias("c"))
     chosen = lists.select("article_id", F.transform(F.slice("c", 1, most), lambda x: x["category"]).alias("found"))
     return texts.select("article_id").join(chosen, "article_id", "left").select("article_id", F.coalesce("found", F.array(F.lit(OTHER))).alias("categories"))
@@ -117,7 +114,14 @@ def register_classifier(name: str, classifier: Classifier) -> None:
 
 
 def rule_classifier(keywords: DataFrame, rules: DataFrame | None = None, most: int = MAX_CATEGORIES) -> Classifier:
+    """Categories by keywords and by rules of verbs and nouns. Texts that carry no occurrences yet get them here, in one pass."""
+
     def classify(texts: DataFrame) -> DataFrame:
+        if "marks_head_f" not in texts.columns:
+            own = [(keywords, ("phrase",)), *([(rules, ("phrase",))] if rules is not None else [])]
+            texts = marked(texts, ("text_f", "head_f"), *own)
+            if texts is None:
+                raise ValueError("the rules of a classifier are one automaton: at most MOST_CHARS characters of phrases")
         found = keyword_categories(texts, keywords) if rules is None else found_categories(texts, keywords, rules)
         return ranked_categories(texts, found, most)
 

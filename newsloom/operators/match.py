@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import lexicon
+from newsloom.operators import lexicon, phrases
 
 # Collectors that fetch by company, so that their hint is known to be right.
 TRUSTED = ["nse", "bse", "company_ir"]
@@ -18,7 +18,6 @@ RELATIONSHIPS = ["WEAK", "MACRO", "SECTOR", "INDIRECT", "INDIRECT_STRONG", "DIRE
 BASE = {"COMPANY": "DIRECT", "SUBSIDIARY": "DIRECT", "PRODUCT": "SECTOR", "CUSTOMER": "INDIRECT", "SUPPLIER": "INDIRECT", "COMPETITOR": "INDIRECT", "INDUSTRY": "SECTOR", "COMMODITY": "INDIRECT", "CURRENCY": "MACRO", "REGULATION": "INDIRECT", "GEOGRAPHY": "WEAK", "MACRO": "MACRO", "TECHNOLOGY": "SECTOR"}
 GENERIC_PLACES = ["india", "asia", "europe", "world", "global"]
 PER_TYPE = 4
-MASK = "\u0001"
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -33,26 +32,26 @@ def relationship_of(rank: Column) -> Column:
     return F.get(F.array(*[F.lit(r) for r in RELATIONSHIPS]), rank)
 
 
-def masked(folded: Column, blockers: Column) -> Column:
-    """The text with every occurrence of a blocking phrase (an array column) masked out, longest phrase
-    first, so that names inside them are not found (TX6, EX2)."""
-    ordered = F.array_sort(F.array_distinct(blockers), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.aggregate(ordered, folded, lambda t, b: F.regexp_replace(t, F.coalesce(text.phrase_pattern(b), F.lit("(?!)")), F.lit(MASK)))
-
-
-def any_of(folded: Column, phrases: Column) -> Column:
-    return F.exists(phrases, lambda p: F.regexp_like(folded, F.coalesce(text.phrase_pattern(p), F.lit("(?!)"))))
+SIDES = ("marks_text_f", "marks_head_f")
 
 
 def alias_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Every alias that occurs in a text with ``reason``: null if it counts, else why not (EM2, EM5).
     ``aliases`` has ticker, alias, is_primary, requires, excludes (with the company's negative aliases)."""
-    found = lexicon.hits(texts, aliases, "article_id", "text_f", "alias", keep=("text_f", "head_f"))
-    seen = lambda t: F.regexp_like(t, text.phrase_pattern(F.col("alias")))
-    inside = (F.size("excludes") > 0) & ~seen(masked(F.col("text_f"), F.col("excludes")))
-    lacks = (F.size("requires") > 0) & ~any_of(F.col("text_f"), F.col("requires"))
+    found = lexicon.hits(texts, aliases, "article_id", "text_f", "alias", keep=SIDES, also=("requires", "excludes"))
+    alias = text.fold(F.col("alias"))
+    inside = (F.size("excludes") > 0) & ~phrases.occurs_outside(F.col("marks_text_f"), alias, phrases.folded_all(F.col("excludes")))
+    lacks = (F.size("requires") > 0) & ~phrases.occurs_any(F.col("marks_text_f"), phrases.folded_all(F.col("requires")))
     reason = F.when(inside, "alias appears only inside an excluded phrase").when(lacks, "required context term absent")
-    return found.select("article_id", "ticker", "alias", "is_primary", seen(F.col("head_f")).alias("in_headline"), reason.alias("reason"))
+    return found.select("article_id", "ticker", "alias", "is_primary", phrases.occurs(F.col("marks_head_f"), alias).alias("in_headline"), reason.alias("reason"))
+
+
+def free(texts: DataFrame, terms: DataFrame, column: str) -> DataFrame:
+    """Terms that occur in a text outside of their excluded phrases (EX2), with ``in_headline``."""
+    found = lexicon.hits(texts, terms, "article_id", "text_f", column, keep=SIDES, also=("excludes",))
+    term = text.fold(F.col(column))
+    outside = (F.size("excludes") == 0) | phrases.occurs_outside(F.col("marks_text_f"), term, phrases.folded_all(F.col("excludes")))
+    return found.filter(outside).withColumn("in_headline", phrases.occurs(F.col("marks_head_f"), term)).drop(*SIDES)
 
 
 def rejections(hits: DataFrame) -> DataFrame:
@@ -74,10 +73,9 @@ def entities(texts: DataFrame, aliases: DataFrame, names: DataFrame) -> DataFram
     order = F.struct((~F.col("is_primary")).alias("a"), (~F.col("in_headline")).alias("b"), (-F.length("alias")).alias("c"), F.col("alias"))
     best = hits.groupBy("article_id", "ticker").agg(F.min_by(F.struct("alias", F.when(F.col("is_primary"), "primary").otherwise("secondary").alias("strength"), "in_headline"), order).alias("b")).select("article_id", "ticker", "b.*")
     found = known.unionByName(best.join(known, ["article_id", "ticker"], "left_anti"))
-    also = lexicon.hits(texts, names, "article_id", "text_f", "name", keep=("text_f", "head_f"))
-    seen = lambda t: F.regexp_like(t, text.phrase_pattern(F.col("name")))
-    also = also.filter((F.size("excludes") == 0) | seen(masked(F.col("text_f"), F.col("excludes"))))
-    also = also.withColumn("in_headline", seen(F.col("head_f"))).groupBy("article_id", "ticker").agg(F.min_by(F.struct(F.col("name").alias("alias"), "strength", "in_headline"), F.struct((F.col("strength") != "subsidiary").alias("s"), "pos", "name")).alias("b")).select("article_id", "ticker", "b.*")
+    order = F.struct((F.col("strength") != "subsidiary").alias("s"), "pos", "name")
+    also = free(texts, names, "name").groupBy("article_id", "ticker").agg(F.min_by(F.struct(F.col("name").alias("alias"), "strength", "in_headline"), order).alias("b"))
+    also = also.select("article_id", "ticker", "b.*")
     return found.unionByName(also.join(found, ["article_id", "ticker"], "left_anti"))
 
 
@@ -85,10 +83,7 @@ def exposures(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(article_id, ticker, exposure_type, term, relationship, weight, role, in_headline, flags): at most
     PER_TYPE terms of a type, longest first (EX1-EX3). ``terms`` has ticker, exposure_type, term, role,
     is_export_market, is_international, is_associate, excludes."""
-    found = lexicon.hits(texts, terms, "article_id", "text_f", "term", keep=("text_f", "head_f"))
-    seen = lambda t: F.regexp_like(t, text.phrase_pattern(F.col("term")))
-    found = found.filter((F.size("excludes") == 0) | seen(masked(F.col("text_f"), F.col("excludes"))))
-    found = found.withColumn("in_headline", seen(F.col("head_f"))).drop("text_f", "head_f")
+    found = free(texts, terms, "term")
     order = Window.partitionBy("article_id", "ticker", "exposure_type").orderBy(F.desc(F.length("term")), F.lower("term"))
     found = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_TYPE).drop("n")
     kind, low = F.col("exposure_type"), F.lower("term")

@@ -292,19 +292,43 @@ def exposure_summary(spark, sf_dir):
     return out.select("article_id", "ticker", "total_weight", "strongest", F.array_join(F.transform("exposures", lambda e: e["term"]), ",").alias("terms"))
 
 
+_WORDS_APART = r"""string_split(trim(regexp_replace(regexp_replace({0}, '([^a-z0-9\s/-])', ' \1 ', 'g'), '[\s/-]+', ' ', 'g')), ' ')"""
+_EXCLUDES = [("T00", "the", ["of the", "the in", "on"]), ("T01", "of the", ["in of the", "the and", "that"]), ("T02", "de la", ["la", "de la que", "que de la"]), ("T03", "und", ["der und die", "die und"]), ("T04", "for", [])]
+
+
+def _apart_sql(ticker: str, term: str, excludes: list[str]) -> str:
+    """Word by word: an occurrence of the term that no excluded phrase holds, which may overlap, nest or touch."""
+    is_word = lambda at, w: f"coalesce(ws[i + {at}] IN ('{w}', '{w}s'), false)"
+    at = lambda phrase, first: " AND ".join(is_word(first + k, w) for k, w in enumerate(phrase.split()))
+    own = len(term.split())
+    walls = [at(b, -shift) for b in excludes for shift in range(len(b.split()) - own + 1)]
+    free = at(term, 0) + "".join(f" AND NOT ({w})" for w in walls)
+    found = lambda rule, words: f"len(list_filter(range(1, len({words}) + 1), lambda i: {rule.replace('ws[', words + '[')})) > 0"
+    return f"SELECT article_id, '{ticker}' AS ticker, '{term}' AS term, {found(at(term, 0), 'hs')} AS in_headline FROM x WHERE {found(free, 'ws')}"
+
+
+@query(f"""WITH {TEXTS}, x AS (SELECT article_id, {_WORDS_APART.format('text_f')} AS ws, {_WORDS_APART.format('head_f')} AS hs FROM t)
+    {" UNION ALL ".join(_apart_sql(*r) for r in _EXCLUDES)}""")
+def excluded_terms(spark, sf_dir):
+    """Terms that occur outside of phrases that exclude them (EX2, TX6): blockers hold, overlap, repeat or touch the term."""
+    return match.free(texts(spark, sf_dir), rows_of(spark, _EXCLUDES, "ticker string, term string, excludes array<string>"), "term").select("article_id", "ticker", "term", "in_headline")
+
+
 def linked(spark, sf_dir):
     """Texts with categories and flags, and their links."""
     return linked_of(spark, texts(spark, sf_dir))
 
 
 def linked_of(spark, folded):
-    """The same of any articles with folded texts, which are written, as four lexicons go over them."""
-    rows = graph.written(folded).withColumns({"collector": F.lit("rss"), "tickers_hint": F.array().cast("array<string>")})
-    found = lexicon.classify(rows, lexicon.rule_classifier(_keywords(spark), _rules(spark)))
-    facts = lexicon.flags(rows, MARKERS).join(found, "article_id").withColumn("query_kind", F.lit(None).cast("string"))
+    """The same of any articles with folded texts; the occurrences of all four lexicons' phrases are found in one pass and written."""
+    keywords, rules, aliases, terms = _keywords(spark), _rules(spark), _aliases(spark), _terms(spark)
+    own = [(keywords, ("phrase",)), (rules, ("phrase",)), (aliases, ("alias", "requires", "excludes")), (terms, ("term", "excludes"))]
+    rows = graph.written(lexicon.marked(folded, ("text_f", "head_f"), *own)).withColumns({"collector": F.lit("rss"), "tickers_hint": F.array().cast("array<string>")})
+    found = lexicon.classify(rows, lexicon.rule_classifier(keywords, rules))
+    facts = lexicon.flags(rows, MARKERS).drop("marks_text_f", "marks_head_f").join(found, "article_id").withColumn("query_kind", F.lit(None).cast("string"))
     names = rows_of(spark, [], "ticker string, name string, strength string, pos int, excludes array<string>")
-    entities = match.entities(rows.withColumn("is_official", F.lit(False)), _aliases(spark), names)
-    summaries = match.exposure_summary(match.exposures(rows, _terms(spark)))
+    entities = match.entities(rows.withColumn("is_official", F.lit(False)), aliases, names)
+    summaries = match.exposure_summary(match.exposures(rows, terms))
     links = relationship.links(entities, summaries, facts.select("article_id", "categories", "is_official", "listing_page", "source_domain", "query_kind"))
     return facts, links
 
