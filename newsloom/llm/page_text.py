@@ -22,6 +22,7 @@ import html as entities
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +37,7 @@ SAMPLE_PAGES = 64
 PATH_SIZE, LEAF_SIZE, WORD_SIZE, FACTS = 320, 64, 24, 5
 INPUT = PATH_SIZE + LEAF_SIZE + WORD_SIZE + FACTS
 HIDDEN = 16
-TRAIN_PAGES, EPOCHS, BATCH, RATE = 900, 8, 32, 0.01
+TRAIN_PAGES, EPOCHS, BATCH, RATE = 1500, 10, 32, 0.01
 PAGES_AT_ONCE, STRETCH = 128, 8192
 SAMPLE_WORDS = 1 << 15
 LABEL = ""  # stands before main blocks in training pages only
@@ -48,7 +49,9 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 #: An opening tag closes an open one of these within the nearest block.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+#: What stands between a tag's name and its end, where quotes hold.
+QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -95,6 +98,55 @@ def _path_vector(bits: int, blocks: tuple[tuple[str, tuple[str, ...]], ...]) ->
     return vector
 
 
+class Tags:
+    """The tags of a page from left to right, in one scan: what is read for a tag is passed by it. An unclosed comment runs to the end; a tag
+    ends at the first > outside of quotes, or at the first > if quotes don't end; behind the last > all is text."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.ends = page, page.rfind(">"), None
+
+    def _end(self, at: int) -> int:
+        """Behind the end of a tag whose attributes begin at ``at``."""
+        found = QUOTED.match(self.page, at) if self.ends is None else None
+        if found:
+            return found.end()
+        if self.ends is None:  # quotes don't end: ends are worked out once for all places, from the right
+            self.ends = self._all_ends()
+        places, ends = self.ends
+        k = bisect_left(places, at)
+        return ends[k] if k < len(ends) and ends[k] else self.page.index(">", at) + 1
+
+    def _all_ends(self) -> tuple[list[int], list[int]]:
+        """Quotes and >, and where a tag ends that is outside of quotes there; 0 where quotes don't end."""
+        places = [m.start() for m in re.finditer("[>\"']", self.page)]
+        ends, seen = [0] * (len(places) + 1), {}
+        for k in range(len(places) - 1, -1, -1):
+            mark = self.page[places[k]]
+            if mark == ">":
+                ends[k] = places[k] + 1
+            else:
+                ends[k] = ends[seen[mark] + 1] if mark in seen else 0
+                seen[mark] = k
+        return places, ends
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closes, name, attributes) of the next tag, or of what is skipped as one, without a name."""
+        found = OPENING.search(self.page, at)
+        if not found:
+            return None
+        start, at = found.span()
+        if found[0] == "<!--":
+            end = self.page.find("-->", at)
+            return start, end + 3 if end >= 0 else len(self.page), False, "", ""
+        if at > self.last:  # no tag can end here, but a comment can begin
+            comment = self.page.find("<!--", start)
+            return (comment, len(self.page), False, "", "") if comment >= 0 else None
+        if not found[2]:
+            return start, self.page.index(">", at) + 1, False, "", ""
+        end = self._end(at)
+        return start, end, bool(found[1]), found[2].lower(), self.page[at : end - 1]
+
+
 def leaves(page: str) -> list[tuple[Node, str, int]]:
     """(innermost open tag, text, characters inside links) of the page's blocks, in order."""
     out: list[tuple[Node, str, int]] = []
@@ -128,18 +180,17 @@ def leaves(page: str) -> list[tuple[Node, str, int]]:
         while blocks and blocks[-1] >= k:
             blocks.pop()
 
+    tags = Tags(page)
     while at < size:
-        found = TOKEN.search(page, at)
+        found = tags.next(at)
         if not found:
             add(page[at:])
             break
-        if found.start() > at:
-            add(page[at : found.start()])
-        at = found.end()
-        closing, name, rest = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        if found[0] > at:
+            add(page[at : found[0]])
+        _, at, closing, name, rest = found
         if not name:
             continue
-        name = name.lower()
         if name == "br":
             add(" ")
             continue
@@ -287,6 +338,8 @@ ASIDES = {
 }
 #: Where layouts put parts inside an article.
 INSIDE = {"list": ['<div class="related">', '<div class="share social">', '<div class="tags">', '<nav class="toc">', '<div class="recirc">'], "text": ["<aside>", '<div class="ad">', '<div class="advert">', '<div class="promo">', '<div class="newsletter">', "<form>", '<div class="notice">', "<footer>", '<div class="sponsor">'], "talk": ASIDES["talk"]}
+#: Containers of whole pages: generated names, and names that tell how a page is laid out, not what a part of it holds.
+AROUND = ['<div id="root">', '<div id="app">', '<div id="__next">', '<div class="has-sidebar">', '<div class="header-fixed">', '<div class="has-sidebar header-fixed">', '<div class="layout with-sidebar">', '<div class="nav-open menu-left">', '<div class="two-columns footer-sticky">', '<div class="no-ads">', '<div class="page-with-comments">', '<div class="container sidebar-right">', '<div id="page">']
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 NOISE = ["row", "col", "box", "wrap", "inner", "block", "clearfix", "x1", "x2", "grid", "main", "page", "site", "item"]
 NAMED = re.compile(r' (?:class|id)="[^"]*"')
@@ -306,9 +359,33 @@ def training_page(draw: random.Random, words: list[str]) -> str:
         return out[:1].upper() + out[1:] + draw.choice([".", ".", ".", "", "!"])
 
     nameless = draw.random() < 0.3  # names of this page mean nothing
+    extra = draw.random() < 0.25  # names that mean nothing stand beside those that do
+
+    def made_up() -> str:
+        letters = "".join(draw.choices(LETTERS, k=draw.randint(2, 9)))
+        return draw.choice([letters, f"css-{letters[:3]}{draw.randint(0, 99)}", f"{letters[:2].upper()}{letters[2:]} {letters[::-1]}", f"sc-{letters}"])
 
     def unnamed(markup: str) -> str:
-        return NAMED.sub(lambda _: draw.choice(["", f' class="{"".join(draw.choices(LETTERS, k=draw.randint(2, 9)))}"']), markup) if nameless else markup
+        if nameless:
+            return NAMED.sub(lambda _: draw.choice(["", f' class="{made_up()}"', f' class="{made_up()}"']), markup)
+        return NAMED.sub(lambda m: f'{m[0][:-1]} {made_up()}"' if draw.random() < 0.5 else m[0], markup) if extra else markup
+
+    def options() -> str:
+        return "<select>" + "".join(f"<option>{sentence(1, 12)}</option>" for _ in range(draw.randint(1, 6))) + "</select>"
+
+    def table() -> str:
+        width, cell = draw.randint(1, 4), lambda tag: f"<{tag}>{LABEL}{sentence(1, draw.choice([2, 4, 25]))}</{tag}>"
+        head = "<tr>" + "".join(cell("th") for _ in range(width)) + "</tr>" if draw.random() < 0.6 else ""
+        rows = "".join("<tr>" + "".join(cell("th" if k == 0 and draw.random() < 0.1 else "td") for k in range(width)) + "</tr>" for _ in range(draw.randint(1, 6)))
+        head = f"<caption>{LABEL}{sentence(1, 8)}</caption>" + head if draw.random() < 0.2 else head
+        return "<table>" + (f"<thead>{head}</thead><tbody>{rows}</tbody>" if head and draw.random() < 0.4 else head + rows) + "</table>"
+
+    def long_list() -> str:
+        tag, most = draw.choice(["ul", "ol", "ol"]), draw.choice([5, 5, 12, 40])
+        if draw.random() < 0.2:
+            return "<dl>" + "".join(f"<dt>{LABEL}{sentence(1, 4)}</dt><dd>{LABEL}{sentence(3, 40)}</dd>" for _ in range(draw.randint(1, 8))) + "</dl>"
+        item = draw.choice(["<li>{}</li>", "<li>{}</li>", "<li><p>{}</p></li>"])
+        return f"<{tag}>" + "".join(item.format(f"{LABEL}{sentence(*draw.choice([(1, 6), (5, 25)]))}") for _ in range(draw.randint(1, most))) + f"</{tag}>"
 
     def part(kinds: dict[str, list[str]], kind: str) -> str:
         opened = draw.choice(kinds[kind])
@@ -327,7 +404,7 @@ def training_page(draw: random.Random, words: list[str]) -> str:
             bits = [sentence(2, 25) if draw.random() < 0.6 else " ".join(draw.choices(SMALL_TALK, k=draw.randint(1, 5))) for _ in range(draw.randint(1, 3))]
             body = bits[0] if draw.random() < 0.4 else "".join(draw.choice(["<p>{}</p>", "<div>{}</div>", "<h3>{}</h3>", "<li>{}</li>"]).format(b) for b in bits)
             if "<form" in opened:
-                body += "<label>Email</label><input><button>Send</button>"
+                body += draw.choice(["<label>Email</label><input><button>Send</button>", options(), f"<label>{sentence(1, 3)}</label>{options()}<button>Send</button>"])
         else:
             body = f"<h3>{draw.choice(['Comments', 'Discussion', sentence(1, 3)])}</h3>" if draw.random() < 0.6 else ""
             body += "".join(draw.choice(['<div class="comment"><p>{}</p></div>', "<p>{}</p>", "<li><p>{}</p></li>", "<li>{}</li>", "<div><b>{}</b></div>"]).format(sentence(3, 60)) for _ in range(draw.randint(1, 6)))
@@ -343,19 +420,20 @@ def training_page(draw: random.Random, words: list[str]) -> str:
     if draw.random() < 0.8:
         head = f"<h1>{LABEL}{sentence(1, 12)}</h1>"
         blocks.append(f"<header>{head}</header>" if opened and draw.random() < 0.1 else head)
-    for _ in range(draw.choice([1, 2, 3, 5, 8, 14])):
-        kind = draw.random()
+    mostly = draw.choice([None] * 8 + [0.85, 0.96])  # some articles are lists or tables
+    for _ in range(draw.choice([1, 2, 3, 5, 8, 14]) if mostly is None else 2):
+        kind = draw.random() if mostly is None else mostly
         body = f"{LABEL}{sentence(1, 120 if draw.random() < 0.7 else 12)}"
         if kind < 0.75:
             blocks.append(f"<p><b>{body}<br>" if kind < 0.08 else f"<p>{body}</p>")
         elif kind < 0.83:
             blocks.append(f"<h2>{LABEL}{sentence(1, 8)}</h2>")
         elif kind < 0.9:
-            blocks.append("<ul>" + "".join(f"<li>{LABEL}{sentence(1, 20)}</li>" for _ in range(draw.randint(1, 5))) + "</ul>")
+            blocks.append(long_list())
         elif kind < 0.95:
             blocks.append(f"<blockquote>{body}</blockquote>")
         else:
-            blocks.append(f"<div>{body}</div>" if draw.random() < 0.5 else f"<table><tr><td>{LABEL}{sentence(1, 4)}</td><td>{LABEL}{sentence(1, 4)}</td></tr></table>")
+            blocks.append(f"<div>{body}</div>" if draw.random() < 0.4 else table())
     if opened:
         for _ in range(draw.choice([0, 0, 0, 1, 2])):
             blocks.insert(draw.randint(1, len(blocks)), part(INSIDE, draw.choice(["list", "text", "text"])))
@@ -364,11 +442,17 @@ def training_page(draw: random.Random, words: list[str]) -> str:
     before = [part(ASIDES, draw.choice(["list", "list", "text"])) for _ in range(draw.randint(0, 4))]
     after = [part(ASIDES, draw.choice(["list", "text", "text", "talk"])) for _ in range(draw.randint(0, 4))]
     main = unnamed(opened) + "".join(blocks) + _close(opened)
-    return f"<html><head><title>{sentence(1, 9)}</title></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+    if draw.random() < 0.08:
+        after.insert(draw.randint(0, len(after)), options())
+    whole = f"{''.join(before)}{main}{''.join(after)}"
+    for _ in range(draw.choice([0, 0, 0, 1, 1, 2])):
+        outer = draw.choice(AROUND) if draw.random() < 0.6 else f'<div class="{made_up()}">'
+        whole = f"{outer}{whole}</div>"
+    return f"<html><head><title>{sentence(1, 9)}</title></head><body>{whole}</body></html>"
 
 
 @lru_cache(4)
-def trained(words: tuple[str, ...], seed: int = 7, pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> Network:
+def trained(words: tuple[str, ...], seed: int = 11, pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> Network:
     """A network fitted to training pages filled with these words."""
     draw, net = random.Random(seed), Network(seed)
     cases = []

@@ -1,4 +1,5 @@
 import random
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -155,3 +156,51 @@ def test_text_without_tags_and_formulas(net):
     assert page_text.main_texts(net, [ARTICLE[1]]) == [ARTICLE[1]]
     page = f"<article><h1>{ARTICLE[0]}</h1><p>{ARTICLE[1]} Energy is <math><mi>E</mi></math> here.</p><noscript><p>{ARTICLE[2]}</p></noscript></article>"
     assert page_text.main_texts(net, [page]) == [f"{ARTICLE[0]} {ARTICLE[1]} Energy is E here. {ARTICLE[2]}"]
+
+
+def hand_made(draw, words, kind):
+    """A page of a layout that no training page has, and its article."""
+    line = lambda n: " ".join(draw.choices(words, k=n)).capitalize() + "."
+    paragraphs = [line(draw.randint(15, 50)) for _ in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in paragraphs)
+    menu = "<ul>" + "".join(f'<li><a href="/{k}">{line(1)}</a></li>' for k in range(5)) + "</ul>"
+    head, items = line(5), [line(draw.randint(6, 18)) for _ in range(40)]
+    if kind == "list":
+        page = f"<nav>{menu}</nav><article><h1>{head}</h1><ol>{''.join(f'<li>{x}</li>' for x in items)}</ol></article><footer>Privacy terms</footer>"
+        return page, [head, *items]
+    if kind == "layout names":
+        return f'<div class="has-sidebar header-fixed"><nav>{menu}</nav><main>{body}</main><aside>{line(6)}</aside></div>', paragraphs
+    if kind == "table":
+        cells = [[line(1) for _ in range(3)]] + [[line(2) for _ in range(3)] for _ in range(4)]
+        rows = "".join("<tr>" + "".join(f"<{tag}>{x}</{tag}>" for x in row) + "</tr>" for tag, row in zip(["th"] + ["td"] * 4, cells))
+        page = f"<header>{menu}</header><article><h1>{head}</h1><p>{paragraphs[0]}</p><table>{rows}</table><p>{paragraphs[1]}</p></article><footer>{line(8)}</footer>"
+        return page, [head, paragraphs[0], *[x for row in cells for x in row], paragraphs[1]]
+    if kind == "options":
+        choice = "<select>" + "".join(f"<option>{line(n)}</option>" for n in (8, 5)) + "</select>"
+        return f"<article><h1>{head}</h1>{body}</article><form>{choice}</form>{choice}", [head, *paragraphs]
+    return f'<div class="m1">{menu}</div><div id="root"><div class="css-3z{draw.randrange(99)}">{body}</div></div>', paragraphs
+
+
+@pytest.mark.parametrize("kind", ["list", "layout names", "table", "options", "generated names"])
+def test_hand_made_layouts(net, kind):
+    """Ten pages a kind; nine at least are right to the character."""
+    draw = random.Random(kind)
+    pages = [hand_made(draw, WORDS, kind) for _ in range(10)]
+    right = sum(got == " ".join(want) for got, (_, want) in zip(page_text.main_texts(net, [f"<body>{p}</body>" for p, _ in pages]), pages))
+    assert right >= 9
+
+
+def test_unclosed_tags_take_work_in_proportion():
+    for piece in ("<a", "<a ", '<a x="', "<!", "<script ", '<a ">" ', "<a ' \" > ", "<!--", "</p", "<a href='x>", "<p ", "<"):
+        for end in ("", ">", '">'):
+            begun = time.perf_counter()
+            page_text.leaves(piece * (1_000_000 // len(piece)) + end)
+            assert time.perf_counter() - begun < 8, piece
+
+
+def test_ends_of_odd_tags():
+    texts = lambda page: [t for _, t, _ in page_text.leaves(page)]
+    assert texts('a<p title="x > y">b') == ["a", "b"]
+    assert texts("a<p title='x > y>b</p>c") == ["a", "y>b", "c"]  # quotes don't end: the first >
+    assert texts('a<p title="1>b<p x="2">c') == ["a", "b", "c"]
+    assert texts("a <b <!-- c") == ["a <b"] and texts("a < b") == ["a < b"] and texts("a <!-- b") == ["a"]
