@@ -59,20 +59,34 @@ def jaccard_bound(similarity: float) -> float:
     return max(0.0, (similarity - 0.0001 - 0.3 - 0.2) / 0.5)
 
 
+def near_candidates(keys: DataFrame, days: int, bound: float) -> DataFrame:
+    """(a, b): articles of one domain that share a key word and lie in the same or the next stretch of days, an undated one with all of
+    its domain. ``keys`` has article_id, domain, word, ``day`` (microseconds) and ``n``, the number of the title's words, which may
+    differ as far as a Jaccard of ``bound`` lets them. A stretch is part of the join's key, so that a word's history is many keys."""
+    rows = keys.withColumn("own", F.floor(F.col("day") / (max(days, 1) * 86_400_000_000)))
+    left = rows.filter("own is not null").withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    right = rows.select("domain", "word", F.col("own").alias("bucket"), F.col("article_id").alias("other"), F.col("n").alias("m"))
+    near = left.join(right, ["domain", "word", "bucket"]).filter((F.col("own") < F.col("bucket")) | (F.col("article_id") < F.col("other")))
+    undated = rows.filter("own is null").join(right.drop("bucket"), ["domain", "word"])
+    met = near.select("article_id", "other", "n", "m").unionByName(undated.select("article_id", "other", "n", "m"))
+    alike = F.least("n", "m") >= bound * F.greatest("n", "m") - 1e-9
+    return met.filter(alike & (F.col("article_id") != F.col("other"))).select(F.least("article_id", "other").alias("a"), F.greatest("article_id", "other").alias("b")).distinct()
+
+
 def near_pairs(articles: DataFrame, similarity: float = SIMILARITY, days: int = WINDOW_DAYS) -> DataFrame:
     """(a, b, jaccard, containment): articles of one publisher whose titles share so many words that they
-    may be that similar, and which were published at most so many days apart, to the second, or at unknown times. Words are joined rarest first: of two sets
-    with Jaccard j, one of the first n - ceil(j n) + 1 words of each is shared."""
+    may be that similar, and which were published at most so many days apart, to the second, or at unknown times. Words are joined
+    rarest first, within stretches of days: of two sets with Jaccard j, one of the first n - ceil(j n) + 1 words of each is shared."""
     bound = jaccard_bound(similarity)
     if bound <= 0:
         raise ValueError("at this similarity words cannot narrow the candidates")
     rows = articles.select("article_id", F.lower("source_domain").alias("domain"), F.unix_micros("published").alias("day"), F.array_distinct(text.canonical_tokens(text.fold(F.col("title")))).alias("words")).filter(F.size("words") > 0)
-    word = rows.select("article_id", "domain", F.explode("words").alias("word"))
+    word = rows.select("article_id", "domain", "day", F.explode("words").alias("word"))
     often = word.groupBy("domain", "word").agg(F.count("*").alias("n"))
-    ranked = word.join(often, ["domain", "word"]).groupBy("article_id", "domain").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+    ranked = word.join(often, ["domain", "word"]).groupBy("article_id", "domain", "day").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
     first = F.slice("w", 1, (F.size("w") - F.ceil(F.size("w") * bound) + 1).cast("int"))
-    keys = ranked.select("article_id", "domain", F.explode(first).alias("k")).select("article_id", "domain", "k.word")
-    met = keys.alias("x").join(keys.alias("y"), ["domain", "word"]).filter("x.article_id < y.article_id").select(F.col("x.article_id").alias("a"), F.col("y.article_id").alias("b")).distinct()
+    keys = ranked.select("article_id", "domain", "day", F.size("w").alias("n"), F.explode(first).alias("k")).select("article_id", "domain", "day", "n", "k.word")
+    met = near_candidates(keys, days, bound)
     side = lambda n: rows.select(F.col("article_id").alias(n), F.col("day").alias(f"day_{n}"), F.col("words").alias(f"words_{n}"))
     pairs = met.join(side("a"), "a").join(side("b"), "b")
     near = F.col("day_a").isNull() | F.col("day_b").isNull() | (F.abs(F.col("day_a") - F.col("day_b")) <= days * 86_400_000_000)

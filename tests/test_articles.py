@@ -260,3 +260,55 @@ def test_numbers_are_row_numbers(spark):
     for g in ("A", "B", None):
         assert [got[k] for _, k in sorted((d, k) for x, d, k in rows if x == g)] == list(range(1, sum(x == g for x, _, _ in rows) + 1))
     assert graph.numbered(df.limit(0), ["g"], ["d", "k"], "n").count() == 0
+
+
+def survivors(rows):
+    """Near-duplicates by all pairs: better articles first, each meets the last kept one that it is alike to."""
+    kept = []
+    words = {r["id"]: set(r["words"]) for r in rows}
+
+    def alike(x, y):
+        x, y = sorted((x, y), key=lambda r: r["id"])
+        u, v = words[x["id"]], words[y["id"]]
+        if x["domain"] != y["domain"] or not u or not v or (x["when"] and y["when"] and abs(x["when"] - y["when"]) > dt.timedelta(days=5)):
+            return False
+        jaccard, contained = len(u & v) / len(u | v), len(u & v) / min(len(u), len(v))
+        ratio = difflib.SequenceMatcher(None, x["folded"], y["folded"]).ratio()
+        return round(max(0.5 * jaccard + 0.3 * ratio + 0.2 * contained, 0.8 * contained), 4) >= dedup.SIMILARITY
+
+    merit = lambda r: (r["official"], normalize.QUALITY[r["type"]], r["when"] is not None, len(r["summary"]))
+    for r in sorted(rows, key=lambda r: (not r["official"], -normalize.QUALITY[r["type"]], r["when"] or dt.datetime(1970, 1, 1), r["id"])):
+        met = next((k for k in reversed(range(len(kept))) if alike(r, kept[k])), None)
+        if met is None:
+            kept.append(r)
+        elif merit(r) > merit(kept[met]):
+            kept[met] = r
+    return sorted(r["id"] for r in kept)
+
+
+def test_near_duplicates_of_random_titles_by_all_pairs(spark):
+    draw = random.Random(23)
+    base = [draw.sample("solar order plant steel coal export duty merger audit grid cement power bonds fund".split(), 9) for _ in range(6)]
+    rows = []
+    for _ in range(160):
+        words = list(draw.choice(base))
+        if draw.random() < 0.6:
+            words[draw.randrange(9)] = draw.choice(["profit", "loss", "bank", words[0]])
+        rows.append({"title": " ".join(words), "domain": draw.choice(["d.com", "D.com", "e.org"]), "type": draw.choice(["wire", "blog", "regulator"]), "official": draw.random() < 0.2, "summary": "x" * draw.randint(0, 3), "published": None if draw.random() < 0.1 else DAY + dt.timedelta(hours=draw.randint(0, 900))})
+    made = articles(spark, rows)
+    got = ids(dedup.near_duplicates(made))
+    folded = made.select("article_id", text.fold(F.col("title")).alias("f"), F.array_distinct(text.canonical_tokens(text.fold(F.col("title")))).alias("w")).collect()
+    facts = {r["article_id"]: r for r in folded}
+    plain = [{"id": r["article_id"], "domain": r["source_domain"].lower(), "type": r["source_type"], "official": r["is_official"], "summary": r["summary"], "when": r["published"], "folded": facts[r["article_id"]]["f"], "words": facts[r["article_id"]]["w"]} for r in made.collect()]
+    assert got == survivors(plain) and 20 < len(got) < 150
+
+
+def test_candidates_grow_with_the_years(spark):
+    """A publisher's history meets itself in stretches of days only: twice the years, twice the candidates."""
+
+    def candidates(years):
+        keys = spark.range(years * 365 * 4).select(F.col("id").cast("string").alias("article_id"), F.lit("d").alias("domain"), F.lit("w").alias("word"), F.lit(5).alias("n"), (F.col("id") * 21_600_000_000).alias("day"))
+        return dedup.near_candidates(keys, 5, 0.76).count()
+
+    few, many = candidates(2), candidates(4)
+    assert 1.8 * few < many < 2.2 * few and few < 2 * 365 * 4 * 60
