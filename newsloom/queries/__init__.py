@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.queries import article_queries, event_queries, profile_queries, source_queries, text_queries
+from newsloom.queries import article_queries, event_queries, page_queries, profile_queries, source_queries, text_queries
 
-MODULES = [text_queries, article_queries, event_queries, profile_queries, source_queries]
+MODULES = [text_queries, article_queries, event_queries, profile_queries, source_queries, page_queries]
 
 
 def all_queries() -> dict:

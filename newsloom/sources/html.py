@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import text, urls
 
-ANCHOR = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))[^>]*>(.*?)</a\s*>""", re.I | re.S)
+ANCHOR_TAG = re.compile(r"<(/?)a(?![A-Za-z0-9_-])", re.I)
+HREF = re.compile(r"""\bhref\s*+=\s*+(?:"([^"]*+)|'([^']*+)|([^\s>"']++))""", re.I)
+MARKUP = re.compile(r"<[^<>]*+>")
 LINK_TAG = re.compile(r"<link\b[^>]*>", re.I)
 # Words of error pages, of releases and filings, of links that say nothing, and document endings.
 SOFT_404_PATHS = ["404", "error", "notfound", "page-not-found"]
@@ -25,18 +28,34 @@ GENERIC_ANCHORS = ["download", "view", "click here", "read more", "pdf", "here",
 DOCUMENTS = r"\.(?:pdf|docx?|xlsx?|pptx?|zip)$"
 
 
+def anchors(base: str | None, page: str | None) -> Iterator[tuple[int, str, str]]:
+    """(place, link, anchor) of a page's http anchors with text, in one scan: an anchor's text runs to its end tag, and an anchor that opens
+    before takes its place. A tag ends at the first >; behind the last > there is none."""
+    page, at, place, href, start = page or "", 0, 0, None, 0
+    while found := ANCHOR_TAG.search(page, at):
+        end = page.find(">", found.end())
+        if end < 0:
+            return
+        at = end + 1
+        if not found[1]:
+            link = HREF.search(page[found.end() : end])
+            href, start = next((g for g in link.groups() if g is not None), None) if link else None, at
+            continue
+        words, target, href = " ".join(MARKUP.sub(" ", page[start : found.start()]).split()) if href else "", href, None
+        if not words:
+            continue
+        try:
+            target = urljoin(base or "", target.strip())
+        except ValueError:
+            continue
+        if target.startswith(("http://", "https://")):
+            yield place, target, words
+            place += 1
+
+
 def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = []
-        for base, page in zip(frame["url"], frame["html"]):
-            for place, found in enumerate(ANCHOR.finditer(page or "")):
-                words = " ".join(re.sub(r"<[^>]+>", " ", found[4]).split())
-                try:
-                    target = urljoin(base or "", next(g for g in found.groups()[:3] if g is not None).strip())
-                except ValueError:
-                    continue
-                if words and target.startswith(("http://", "https://")):
-                    rows.append((base, place, target, words))
+        rows = [(base, *a) for base, page in zip(frame["url"], frame["html"]) for a in anchors(base, page)]
         yield pd.DataFrame(rows, columns=["page_url", "place", "link", "anchor"])
 
 
@@ -45,6 +64,19 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInPandas(_anchors, "page_url string, place int, link string, anchor string").withColumn("anchor", text.clean_text(F.col("anchor")))
 
 
+class PageLinks:
+    """The same as a table function of SQL: ``FROM pages p, LATERAL page_links(p.url, p.html) l``. Character references are decoded here."""
+
+    def eval(self, base: str, page: str):
+        for place, link, words in anchors(base, page):
+            yield place, link, " ".join(unescape(words).split())
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``page_links`` known to the session's SQL."""
+    spark.udtf.register("page_links", F.udtf(PageLinks, returnType="place int, link string, anchor string"))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _feeds(base: pd.Series, pages: pd.Series) -> pd.Series:
     def found(url, page):

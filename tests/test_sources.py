@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -71,3 +72,17 @@ def test_redirects(spark):
     landed = spark.createDataFrame([("https://agg.com/1", "https://agg.com/1", '<link rel="canonical" href="https://e.com/long-story">'), ("https://agg.com/2", "https://e.com/long-story", "")], "url string, final_url string, html string")
     got = {r["title"]: (r["url"], r["previous_id"]) for r in html.resolve(articles, landed, ["agg.com"], 5).collect()}
     assert got == {"T1": ("https://e.com/long-story", "a1"), "T2": ("https://agg.com/2", None), "T3": ("https://e.com/kept-as-is", None)}
+
+
+def test_anchors_in_one_scan(spark):
+    page = 'x <a href=one>A <b>b</b></a><A HREF = "two">open <a href=\'three\'>T &amp; u</A ><a name=n>none</a><abbr href=no>x</abbr><a href="http://[bad">z</a><a href="/4">unclosed'
+    assert list(html.anchors("https://e.com/d/", page)) == [(0, "https://e.com/d/one", "A b"), (1, "https://e.com/d/three", "T &amp; u")]
+    assert list(html.anchors(None, None)) == list(html.anchors("https://e.com", "<a href=x")) == []
+    pages = spark.createDataFrame([("https://e.com/d/", page), ("https://e.com", None)], "url string, html string")
+    html.register(spark)
+    rows = spark.sql("SELECT p.url AS page_url, l.place, l.link, l.anchor FROM {p} p, LATERAL page_links(p.url, p.html) l", p=pages)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, html.links(pages).collect()))
+    for piece in ("<a href=x>", "<a ", "<a href=", "<a>b</a>", "<", "<a href=x>" + "<" * 50, "</a>"):
+        begun = time.perf_counter()
+        list(html.anchors("https://e.com", piece * (500_000 // len(piece)) + "</a>"))
+        assert time.perf_counter() - begun < 6, piece
