@@ -360,6 +360,19 @@ def relationship_label(spark, sf_dir):
     return links.select("article_id", "ticker", "rank", "evidence_weight")
 
 
+_PLACES = [["China"], ["Delhi", "EU"], ["Pune"], []]
+_HOSTS = ["reuters.com", "paper.com.au", "Daily.EU", "local.in", "notreuters.com", "trade.gov", None]
+
+
+@query(f"""WITH {ARTICLES} SELECT article_id, doc_id % 4 < 2 OR doc_id % 9 = 4 OR doc_id % 7 IN (0, 1, 2, 5) AS international FROM a""")
+def international_flags(spark, sf_dir):
+    """Foreign places, searches and publishers (RL7)."""
+    places = F.get(F.array(*[F.array(*[F.lit(p) for p in ps]).cast("array<string>") for ps in _PLACES]), (F.col("doc_id") % 4).cast("int"))
+    host = F.get(F.array(*[F.lit(h) for h in _HOSTS]), (F.col("doc_id") % 7).cast("int"))
+    kind = F.when(F.col("doc_id") % 9 == 4, "INTERNATIONAL").when(F.col("doc_id") % 9 == 5, "COMPANY")
+    return articles(spark, sf_dir).select("article_id", relationship.is_foreign(places, kind, host).alias("international"))
+
+
 def prepared(spark, sf_dir):
     facts, links = linked(spark, sf_dir)
     facts = facts.withColumn("legal_notice", text.contains_any(F.col("head_f"), ["onin"]))
