@@ -16,14 +16,20 @@ def shared_folder(spark) -> str:
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder and not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp(prefix="spark-newsloom-")
+    if not folder:  # kept on the context, so that a session has one
+        folder = tempfile.mkdtemp(prefix="spark-newsloom-")
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Written and read again, so that lineage ends."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    """Written and read again, so that lineage ends. The files go when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def in_order(df: DataFrame, order: list) -> DataFrame:
