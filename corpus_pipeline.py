@@ -10,22 +10,26 @@ from newsloom.llm.support import stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within the limit of their language."""
+    """Documents whose perplexity is within the limit of their language. Null and empty texts and documents that cannot be judged
+    stay; repeated rows are judged alike and stay or go together; columns stay as they are; an empty table gives no rows."""
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies (five words, 0.8 or more), the one of the smallest id. Equal texts and repeated rows are
+    one group, texts without words as well; rows without an id stay; columns stay as they are; an empty table gives no rows."""
     return jaccard_join.first_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All documents, with secrets replaced by a mark, overlapping ones by one; ``n_chars`` follows. Texts without secrets and null
+    texts stay as they are, repeated rows are changed alike; columns stay as they are; an empty table gives no rows."""
     return secrets.redact(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences. A null text is an empty one, which has its end mark alone; repeated rows are packed each; columns
+    beside id and text are not read; an empty table gives no rows."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
