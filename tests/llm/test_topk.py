@@ -70,3 +70,50 @@ def test_one_very_common_vector(spark):
     assert run(spark, rows) == brute(rows)
     file = topk.approximation_file(topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") % 50 == 0, 6, 3)
     assert file.count() == 301 and max(len(r["members"]) for r in file.collect()) == 6
+
+
+def test_one_large_component_widens_no_other_cell(spark, monkeypatch):
+    """The bounds that tiles list are counted, with and without one component far above all others."""
+    counts, real = [], topk.bounded_scores
+    monkeypatch.setattr(topk, "bounded_scores", lambda *a: counts.append(real(*a)) or counts[-1])
+    draw = random.Random(4)
+    rows = [(k, [struct_float(draw.gauss(0, 1)) for _ in range(24)]) for k in range(4000)]
+    for large in (None, 1e7):
+        if large:
+            rows[77][1][5] = large
+            rows[100][1][7] = -large
+        assert run(spark, rows) == brute(rows)
+        assert counts.pop().count() < 80 * len(rows) / 20
+
+
+def test_blocks_and_rounds(spark):
+    rows = [(k * 10, [struct_float(math.sin(k * j)) for j in range(1, 7)]) for k in range(300)]
+    assert run(spark, rows, wave=7, at_once=2) == run(spark, rows) == brute(rows)
+
+
+def test_jobs_do_not_grow_with_queries(spark, monkeypatch):
+    """Many blocks are tiles of one job."""
+    writes, real = [], topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df: writes.append(1) or real(df))
+    rows = [(k * 50, [struct_float(math.sin(k * j)) for j in range(1, 5)]) for k in range(400)]
+    one = run(spark, rows)
+    few, writes[:] = len(writes), []
+    assert run(spark, rows, wave=10) == one and len(writes) == few
+
+
+def test_cells_cover_all_values():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for x in (draw.standard_cauchy(5000) * 1e6, draw.normal(0, 50, 3000), np.array([7.0]), np.array([0.0, 0.0, 5e15, -5e15]), draw.integers(-3, 4, 900)):
+        x = np.floor(x).astype(np.int64)
+        counted = topk._joined_bins(topk.pd.DataFrame({"position": 0, "bin": topk.bins(x, topk.DETAIL), "n": 1, "low": x, "high": x}))
+        assert (counted["low"].to_numpy()[1:] > counted["high"].to_numpy()[:-1]).all()
+        first, last = topk.cells_of(*(counted[c].to_numpy() for c in ("n", "low", "high")))
+        at = np.searchsorted(first, x, side="right") - 1
+        assert len(first) <= topk.CELLS and (first[at] <= x).all() and (x <= last[at]).all() and (last[:-1] < first[1:]).all()
+
+
+def test_scores_above_exact_doubles(spark):
+    rows = [(k * 25, [2.0**20 * (k % 7) + k, 2.0**21 - 3.0 * k, 1.0]) for k in range(60)]
+    assert run(spark, rows) == brute(rows)
