@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text
 from newsloom.operators import cluster, dedup, graph, lexicon, match, normalize, relationship
 from newsloom.plans import daily
-from newsloom.queries.base import ARTICLES, CATEGORY_WORDS, COOCCUR, MARKERS, NAMES, TERMS, TEXTS, TICKERS, TYPES, articles, canonical_sql, has_sql, rows_of, table, texts, values_sql, words_sql
+from newsloom.queries.base import ARTICLES, CATEGORY_WORDS, COOCCUR, MARKERS, NAMES, TERMS, TEXTS, TICKERS, TYPES, articles, canonical_sql, decimal_round_sql, fold_sql, has_sql, likeness_sql, ratio_sql, rows_of, table, texts, values_sql, words_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -58,12 +58,34 @@ def dedup_near_jaccard(spark, sf_dir):
     return out.select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"))
 
 
-@query()
+def _survivors_sql(source: str, days: int) -> str:
+    """The near-duplicate pass over ``source``: its articles in order, one a step; the state is the survivors with their places and the lost."""
+    words = f"w AS (SELECT *, {fold_sql('title')} AS f, list_distinct({canonical_sql(fold_sql('title'))}) AS words FROM {source})"
+    met = f"""m AS MATERIALIZED (SELECT x.article_id || '|' || y.article_id AS id, x.article_id AS one, y.article_id AS other, x.f AS a, y.f AS b, len(list_intersect(x.words, y.words)) AS n, len(x.words) AS nx, len(y.words) AS ny
+        FROM w x JOIN w y ON x.source_domain = y.source_domain AND x.article_id < y.article_id AND abs(epoch_us(x.published) - epoch_us(y.published)) <= {days} * 86400000000
+        WHERE len(x.words) > 0 AND len(y.words) > 0 AND n / (nx + ny - n) >= {dedup.jaccard_bound(0.88)!r})"""
+    return f"""{words}, {met}, {ratio_sql("SELECT id, a, b FROM m")},
+    l AS (SELECT one, other FROM m JOIN ratios USING (id) WHERE {likeness_sql('n', 'nx', 'ny', 'ratio')} >= 0.88),
+    near AS (SELECT article_id, list(other) AS around FROM (SELECT one AS article_id, other FROM l UNION ALL SELECT other, one FROM l) GROUP BY article_id),
+    o AS MATERIALIZED (SELECT article_id, around, [is_official::INTEGER, {_QUALITY}, (published IS NOT NULL)::INTEGER, length(coalesce(summary, ''))] AS merit,
+              row_number() OVER (ORDER BY NOT is_official, -({_QUALITY}), published, article_id) AS place FROM w JOIN near USING (article_id)),
+    step AS (SELECT 0::BIGINT AS turn, []::STRUCT(place BIGINT, article_id VARCHAR, merit BIGINT[])[] AS kept, []::VARCHAR[] AS lost
+        UNION ALL
+        SELECT place, CASE WHEN met IS NULL THEN list_append(kept, {{'place': place, 'article_id': article_id, 'merit': merit::BIGINT[]}})
+                           WHEN merit::BIGINT[] > met.merit THEN list_append([x for x in kept if x.place <> met.place], {{'place': met.place, 'article_id': article_id, 'merit': merit::BIGINT[]}}) ELSE kept END,
+               CASE WHEN met IS NULL THEN lost WHEN merit::BIGINT[] > met.merit THEN list_append(lost, met.article_id) ELSE list_append(lost, article_id) END
+        FROM (SELECT o.*, kept, lost, list_max([x for x in kept if list_contains(around, x.article_id)]) AS met FROM step JOIN o ON o.place = step.turn + 1)),
+    gone AS (SELECT unnest(lost) AS article_id FROM (SELECT lost FROM step ORDER BY turn DESC LIMIT 1))
+    SELECT article_id FROM {source} WHERE article_id NOT IN (SELECT article_id FROM gone)"""
+
+
+@query(f"WITH RECURSIVE {ARTICLES}, {_survivors_sql('a', 100000)}")
 def dedup_near_full(spark, sf_dir):
     return dedup.near_duplicates(articles(spark, sf_dir), days=100000).select("article_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ARTICLES}, by_url AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY lower(url) ORDER BY {_BEST}) = 1),
+    by_title AS (SELECT * FROM by_url QUALIFY {_KEY} = '' OR row_number() OVER (PARTITION BY {_KEY}, source_domain ORDER BY {_BEST}) = 1), {_survivors_sql('by_title', dedup.WINDOW_DAYS)}""")
 def deduplicate(spark, sf_dir):
     return dedup.deduplicate(articles(spark, sf_dir)).select("article_id")
 
@@ -401,6 +423,14 @@ _PLAIN = f"""w AS (SELECT article_id, doc_id, doc_id % 3 AS g, published::DATE A
     z AS (SELECT a, b, round(likeness + least(bonus, 0.3)::DOUBLE, 4) AS score FROM s), ok AS (SELECT a, b FROM z WHERE score >= 0.62)"""
 
 
+#: The same pairs with the sequence ratio, for those that it can lift to the threshold.
+_FULL = f"""{_PLAIN.split("s AS (SELECT a, b, round(")[0]}
+    bound AS MATERIALIZED (SELECT j.*, y.head_f AS ft, x.head_f AS st, least(0.3, CASE WHEN same_kind THEN 0.12 ELSE 0 END + CASE WHEN same_day THEN 0.08 ELSE 0 END + CASE WHEN official THEN 0.08 ELSE 0 END
+              + CASE WHEN shared THEN 0.06 ELSE 0 END)::DOUBLE AS bonus, {likeness_sql('common', 'nx', 'ny', '1.0::DOUBLE')} AS most FROM j JOIN t x ON x.article_id = a JOIN t y ON y.article_id = b),
+    {ratio_sql("SELECT a || '|' || b AS id, ft AS a, st AS b FROM bound WHERE most + bonus >= 0.62")},
+    z AS MATERIALIZED (SELECT a, b, {decimal_round_sql(likeness_sql('common', 'nx', 'ny', 'ratio') + ' + bonus')} AS score FROM bound JOIN ratios ON id = a || '|' || b)"""
+
+
 @query(f"WITH {TEXTS}, {_PLAIN} SELECT a, b, score FROM z WHERE score >= 0.62")
 def cluster_pairs(spark, sf_dir):
     return cluster.scored_pairs(plain(spark, sf_dir), _no_ratio).filter("passes").select("a", "b", "score")
@@ -419,10 +449,10 @@ def members(spark, sf_dir):
 
 
 _TRUST = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cluster.RANKS.items()) + " ELSE 3 END"
-#: One pass in the greedy order; a row holds the number of the first article of each article's cluster so far.
-_GREEDY = f"""WITH RECURSIVE {TEXTS}, {_PLAIN},
+#: One pass in the greedy order over the pairs ``z``; a row holds the number of the first article of each article's cluster so far.
+_PASS = f"""
     o AS (SELECT article_id, row_number() OVER (ORDER BY NOT is_official, -({_TRUST}), published, title, article_id)::INTEGER AS n FROM t),
-    near AS (SELECT greatest(x.n, y.n) AS n, list({{'c': 0, 'y': least(x.n, y.n), 's': score}} ORDER BY least(x.n, y.n)) AS ys FROM z JOIN o x ON x.article_id = a JOIN o y ON y.article_id = b WHERE score >= 0.62 GROUP BY 1),
+    near AS MATERIALIZED (SELECT greatest(x.n, y.n) AS n, list({{'c': 0, 'y': least(x.n, y.n), 's': score}} ORDER BY least(x.n, y.n)) AS ys FROM z JOIN o x ON x.article_id = a JOIN o y ON y.article_id = b WHERE score >= 0.62 GROUP BY 1),
     pass AS (
         SELECT 0 AS n, []::INTEGER[] AS c
         UNION ALL
@@ -432,6 +462,7 @@ _GREEDY = f"""WITH RECURSIVE {TEXTS}, {_PLAIN},
     m AS (
         SELECT o.article_id, first.article_id AS cluster_id, row_number() OVER (PARTITION BY first.n ORDER BY o.n) - 1 AS position
         FROM o JOIN (SELECT c FROM pass ORDER BY n DESC LIMIT 1) done ON true JOIN o first ON first.n = done.c[o.n])"""
+_GREEDY, _GREEDY_FULL = (f"WITH RECURSIVE {TEXTS}, {pairs}, {_PASS}" for pairs in (_PLAIN, _FULL))
 
 
 def _judged_by_words(spark, sf_dir):
@@ -441,7 +472,7 @@ def _judged_by_words(spark, sf_dir):
 
 @query(f"{_GREEDY} SELECT article_id, cluster_id, position FROM m")
 def cluster_greedy_words(spark, sf_dir):
-    """The greedy order with likeness by words alone (CL2), which SQL can follow; ``cluster_greedy`` has the sequence ratio."""
+    """The greedy order with likeness by words alone (CL2); ``cluster_greedy`` has the sequence ratio."""
     return _judged_by_words(spark, sf_dir).select("article_id", "cluster_id", "position")
 
 
@@ -449,28 +480,32 @@ _IN_ORDER = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _KINDS = "[" + ", ".join(f"'{c}'" for c in CATEGORY_WORDS) + "]"
 
 
-@query(f"""{_GREEDY},
+#: Events of the clusters ``m``.
+_EVENTS = f"""
     e AS (SELECT m.*, t.title, t.head_f, t.source_domain, t.is_official, t.published::DATE AS day, 'G' || (t.doc_id % 3) AS g, CASE WHEN t.doc_id % 3 = 0 THEN t.ticker END AS direct, ({_KINDS})[t.doc_id % 8 + 1] AS kind,
                  {_TRUST} AS trust FROM m JOIN t USING (article_id)),
     f AS (SELECT cluster_id, count(*) AS article_count, count(DISTINCT source_domain) AS source_count, min(day) AS event_date, string_agg(DISTINCT g, ',' ORDER BY g) AS tickers, list(DISTINCT direct) FILTER (direct IS NOT NULL) AS directs,
                  count(DISTINCT g) AS n_tickers, list(kind ORDER BY position) AS kinds, bool_or(is_official) AS has_official,
                  arg_min({{'title': title, 'head': head_f}}, (NOT is_official, -trust, -length(title), position, article_id)) AS lead FROM e GROUP BY cluster_id),
-    k AS (SELECT *, ({_IN_ORDER.format('kinds')})[1:5] AS types, {canonical_sql('lead.head')} AS words, CASE WHEN len(directs) = 1 THEN directs[1] WHEN n_tickers = 1 THEN tickers ELSE 'GLOBAL' END AS scope FROM f)
-    SELECT 'EVENT-' || scope || '-' || year(event_date) || '-' || lpad((row_number() OVER (PARTITION BY scope, year(event_date) ORDER BY event_date, cluster_id))::VARCHAR, 4, '0') AS event_id, lead.title AS title,
+    k AS (SELECT *, ({_IN_ORDER.format('kinds')})[1:5] AS types, {canonical_sql('lead.head')} AS words, CASE WHEN len(directs) = 1 THEN directs[1] WHEN n_tickers = 1 THEN tickers ELSE 'GLOBAL' END AS scope FROM f)"""
+_EVENT_COLUMNS = f"""SELECT 'EVENT-' || scope || '-' || year(event_date) || '-' || lpad((row_number() OVER (PARTITION BY scope, year(event_date) ORDER BY event_date, cluster_id))::VARCHAR, 4, '0') AS event_id, lead.title AS title,
            tickers || '|' || array_to_string((list_sort(types))[1:2], ',') || '|' || array_to_string(list_sort(({_IN_ORDER.format('words')})[1:6]), ' ') AS cluster_key,
-           article_count, source_count, event_date, has_official, array_to_string(types, ',') AS event_types FROM k""")
+           article_count, source_count, event_date"""
+
+
+@query(f"{_GREEDY}, {_EVENTS} {_EVENT_COLUMNS}, has_official, array_to_string(types, ',') AS event_types FROM k")
 def event_build_words(spark, sf_dir):
     """Events of those clusters: leads, facts, keys, scopes and numbers (CL3-CL7)."""
     made = cluster.with_ids(cluster.events(_judged_by_words(spark, sf_dir)))
     return made.select("event_id", "title", "cluster_key", "article_count", "source_count", "event_date", "has_official", F.array_join("event_types", ",").alias("event_types"))
 
 
-@query()
+@query(f"{_GREEDY_FULL} SELECT article_id, cluster_id, position FROM m")
 def cluster_greedy(spark, sf_dir):
     return members(spark, sf_dir).select("article_id", "cluster_id", "position")
 
 
-@query()
+@query(f"{_GREEDY_FULL}, {_EVENTS} {_EVENT_COLUMNS}, tickers FROM k")
 def event_build(spark, sf_dir):
     made = cluster.with_ids(cluster.events(members(spark, sf_dir)))
     return made.select("event_id", "title", "cluster_key", "article_count", "source_count", "event_date", F.array_join("tickers", ",").alias("tickers"))

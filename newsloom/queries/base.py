@@ -71,6 +71,39 @@ def canonical_sql(folded: str) -> str:
     return f"[t for t in {first} if t not in {words_sql(text.FILLER)} and length(t) > 2]"
 
 
+def ratio_sql(pairs: str) -> str:
+    """Common table expressions that end in ``ratios`` (id, ratio): the sequence ratio of texts ``a`` and ``b`` of each row of
+    ``pairs``, which has an ``id`` of its own. Each step takes the longest run of equal characters of a stretch, the earliest in a, then
+    in b, and goes on with the stretches before and after it. To be used after WITH RECURSIVE; for texts below 200 characters."""
+    return f"""rp AS MATERIALIZED ({pairs}),
+    rm AS MATERIALIZED (SELECT id, i, j FROM (SELECT id, a, b, unnest(range(length(a))) AS i FROM rp) x, LATERAL (SELECT unnest(range(length(b))) AS j) y
+        WHERE substr(a, i::INTEGER + 1, 1) = substr(b, j::INTEGER + 1, 1)),
+    rs AS (SELECT id, 0::BIGINT AS a0, length(a)::BIGINT AS a1, 0::BIGINT AS b0, length(b)::BIGINT AS b1, 0::BIGINT AS k FROM rp
+        UNION ALL
+        SELECT id, CASE WHEN half = 0 THEN a0 ELSE i + n END, CASE WHEN half = 0 THEN i ELSE a1 END, CASE WHEN half = 0 THEN b0 ELSE j + n END, CASE WHEN half = 0 THEN j ELSE b1 END,
+               CASE WHEN half = 0 THEN n ELSE 0 END
+        FROM (SELECT * FROM (SELECT id, a0, a1, b0, b1, min(i) AS i, min(j) AS j, count(*) AS n FROM (
+                  SELECT rs.*, rm.i, rm.j, rm.i - row_number() OVER (PARTITION BY rs.id, a0, a1, b0, b1, rm.i - rm.j ORDER BY rm.i) AS run
+                  FROM rs JOIN rm ON rs.id = rm.id AND rm.i >= a0 AND rm.i < a1 AND rm.j >= b0 AND rm.j < b1)
+              GROUP BY id, a0, a1, b0, b1, i - j, run)
+              QUALIFY row_number() OVER (PARTITION BY id, a0, a1, b0, b1 ORDER BY n DESC, i, j) = 1), (VALUES (0), (1)) h(half)),
+    ratios AS (SELECT id, CASE WHEN any_value(length(a) + length(b)) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * sum(k) / any_value(length(a) + length(b)) END AS ratio
+        FROM rp JOIN rs USING (id) GROUP BY id)"""
+
+
+def likeness_sql(common: str, one: str, other: str, ratio: str) -> str:
+    """Title similarity from the numbers of common words and of each title's words, and the sequence ratio. Rounded by its
+    decimal form, a half up, as Spark's ``round`` does."""
+    jaccard = f"CASE WHEN {common} = 0 THEN 0 ELSE {common} / ({one} + {other} - {common}) END"
+    contained = f"CASE WHEN {common} = 0 THEN 0 ELSE {common} / least({one}, {other}) END"
+    return decimal_round_sql(f"greatest(0.5::DOUBLE * ({jaccard}) + 0.3::DOUBLE * {ratio} + 0.2::DOUBLE * ({contained}), 0.8::DOUBLE * ({contained}))")
+
+
+def decimal_round_sql(x: str, places: int = 4) -> str:
+    """A double between 0 and 10 rounded by its decimal form."""
+    return f"round((({x})::VARCHAR)::DECIMAL(38, 20), {places})::DOUBLE"
+
+
 def has_sql(folded: str, phrases: list[str]) -> str:
     """Does a folded text contain one of some phrases?"""
     return f"regexp_matches({folded}, '{text.pattern_of(phrases, lookaround=False)}')"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import direction, graph, impact, planning, report, signals, store
 from newsloom.queries.article_queries import _no_ratio, linked, members
-from newsloom.queries.base import CATEGORY_WORDS, PAIRS, RELATIONS, TICKERS, TYPES, canonical_sql, fold_sql, pairs, rows_of, table, values_sql
+from newsloom.queries.base import CATEGORY_WORDS, PAIRS, RELATIONS, TICKERS, TYPES, canonical_sql, fold_sql, likeness_sql, pairs, ratio_sql, rows_of, table, values_sql
 from newsloom.streaming import stories, streams
 
 QUERIES, ORACLES = {}, {}
@@ -166,7 +166,15 @@ def store_find_by_title(spark, sf_dir):
     return store.find_existing(events.filter("sequence % 50 = 0"), events.filter("sequence % 50 <> 0"), ratio=_no_ratio).select("incoming_id", "event_id")
 
 
-@query()
+_MET = "SELECT i.event_id || o.event_id AS id, i.folded AS a, o.folded AS b FROM r i JOIN r o ON i.ticker = o.ticker AND abs(i.event_date - o.event_date) <= 21 WHERE i.o_orderkey % 50 = 0 AND o.o_orderkey % 50 <> 0"
+
+
+@query(f"""WITH RECURSIVE {_STORED}, w AS (SELECT s.*, 'orders of ' || lower(o_orderpriority) || ' for ' || (s.o_custkey % 40) AS title FROM s JOIN orders USING (o_orderkey)),
+    r AS (SELECT *, {_TITLE_WORDS} AS words, {fold_sql('title')} AS folded FROM w), {ratio_sql(_MET)},
+    j AS (SELECT i.event_id AS incoming_id, o.event_id, i.cluster_key = o.cluster_key AS same, i.kind = o.kind AS alike, len(list_intersect(i.words, o.words)) AS n, len(i.words) AS a, len(o.words) AS b
+          FROM r i JOIN r o ON i.ticker = o.ticker AND abs(i.event_date - o.event_date) <= 21 WHERE i.o_orderkey % 50 = 0 AND o.o_orderkey % 50 <> 0),
+    c AS (SELECT incoming_id, event_id, same, round({likeness_sql('n', 'a', 'b', 'ratio')} + CASE WHEN alike THEN 0.1::DOUBLE ELSE 0 END, 4) AS score FROM j JOIN ratios ON id = incoming_id || event_id)
+    SELECT incoming_id, event_id, score FROM c WHERE same OR score >= 0.55 QUALIFY row_number() OVER (PARTITION BY incoming_id ORDER BY NOT same, -score, event_id) = 1""")
 def store_find_similar(spark, sf_dir):
     events = stored_events(spark, sf_dir)
     return store.find_existing(events.filter("sequence % 50 = 0"), events.filter("sequence % 50 <> 0"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, text, urls
 from newsloom.operators import dedup, signals
-from newsloom.queries.base import ARTICLES, TEXTS, TYPES, articles, canonical_sql, fold_sql, has_sql, rows_of, table, texts, values_sql, words_sql
+from newsloom.queries.base import ARTICLES, TEXTS, TYPES, articles, canonical_sql, fold_sql, has_sql, likeness_sql, ratio_sql, rows_of, table, texts, values_sql, words_sql
 from newsloom.sources import html
 
 QUERIES, ORACLES = {}, {}
@@ -105,7 +105,12 @@ def title_overlap(spark, sf_dir):
     return both.select("doc_id", F.round(text.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"), F.round(text.containment(F.col("w"), F.col("v")), 6).alias("contained"))
 
 
-@query()
+_PAIR = "SELECT x.doc_id AS id, x.head_f AS a, y.head_f AS b FROM c x JOIN c y ON y.doc_id = x.doc_id + 1"
+
+
+@query(f"""WITH RECURSIVE {TEXTS}, c AS (SELECT doc_id, head_f, list_distinct({canonical_sql('head_f')}) AS w FROM t), {ratio_sql(_PAIR)},
+    n AS (SELECT x.doc_id, len(list_intersect(x.w, y.w)) AS n, len(x.w) AS a, len(y.w) AS b FROM c x JOIN c y ON y.doc_id = x.doc_id + 1)
+    SELECT doc_id, {likeness_sql('n', 'a', 'b', 'ratio')} AS similarity FROM n JOIN ratios ON id = doc_id""")
 def title_similarity(spark, sf_dir):
     rows = texts(spark, sf_dir).select("doc_id", "head_f", F.array_distinct(text.canonical_tokens(F.col("head_f"))).alias("w"))
     both = rows.join(rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"), F.col("head_f").alias("next_f")), "doc_id")
