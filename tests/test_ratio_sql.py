@@ -27,4 +27,4 @@ def test_ratio_of_random_texts(spark):
 
 def test_rounding_by_the_decimal_form():
     for x, want in ((0.056249999999999994, 0.0562), (0.05625, 0.0563), (0.00005, 0.0001), (0.88, 0.88), (1.0, 1.0)):
-        assert duckdb.sql(f"SELECT {decimal_round_sql(repr(x) + '::DOUBLE')}").fetchone()[0] == want
+        assert duckdb.sql(f"SELECT {decimal_round_sql(repr(x) + '::DOUBLE')}").fetchall()[0][0] == want
