@@ -121,5 +121,6 @@ def _digests(batches: Iterator[pa.RecordBatch], template: dict) -> Iterator[pa.R
 
 
 def read_back(turns: DataFrame, template: dict = TEMPLATE) -> DataFrame:
-    """Digests of each conversation as read back from what ``format_chats`` returned."""
+    """Digests of each conversation as read back from what ``format_chats`` returned. The frame must be as it was
+    returned, or written and read file by file: a conversation's turns in one partition, one after another in order."""
     return turns.mapInArrow(lambda b: _digests(b, template), DIGESTS)

@@ -127,3 +127,12 @@ def test_clashing_columns(spark):
     kept = quality.keep(more, labels)
     assert kept.columns == more.columns and kept.count() == quality.keep(docs, labels).count()
     assert {tuple(r) for r in kept.select(*names).collect()} == {tuple(names)}
+
+
+def test_a_language_needs_so_many_held_out_texts(spark):
+    """With one text too few a language has no limit of its own; with just as many it has."""
+    of = {"few": quality.LEAST_HELD - 1, "enough": quality.LEAST_HELD}
+    rows = [(k, lang, True, 1000, 1.0 + k / 100) for lang, n in of.items() for k in range(n)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, held boolean, chars long, log_ppl double")
+    assert {(r["every"], r["lang"]) for r in quality.limits(scored).collect()} == {(False, "enough"), (True, None)}
+    assert quality.limits(scored.filter("lang = 'few'")).count() == 0
