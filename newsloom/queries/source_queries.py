@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from newsloom.operators import graph, report, store
 from newsloom.queries.base import PAIRS, TICKERS, pairs, rows_of, table, values_sql
 from newsloom.queries.event_queries import _STORED, stored_events
-from newsloom.sources import landing
+from newsloom.sources import landing, seam
+from newsloom.streaming import streams
 
 QUERIES, ORACLES = {}, {}
 COMPANIES = [(t, f"Company {t} Ltd") for t in TICKERS]
@@ -70,14 +71,29 @@ def shown(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[when if c == "published" else F.array_join(c, ",").alias(c) if c == "tickers_hint" else F.col(c) for c in columns])
 
 
-@query(f"WITH {_ITEMS} SELECT title, url, domain AS source_name, {_AT} FROM i WHERE doc_id % 10 <> 0")
-def source_feed(spark, sf_dir):
-    """Feed items (SC1); every tenth has no link and goes."""
+def _feed_files(spark, sf_dir):
+    """Items as feed files; every tenth has no link."""
     rows, path = items(spark, sf_dir), folder(spark)
     link = F.when(F.col("doc_id") % 10 != 0, F.col("url"))
     made = rows.select("title", link.alias("link"), F.date_format("seen", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pubDate"), F.struct(F.col("domain").alias("_VALUE"), F.col("url").alias("_url")).alias("source"))
     made.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
-    return shown(landing.rss(spark, path), "title", "url", "source_name", "published")
+    return path
+
+
+_FEED = f"WITH {_ITEMS} SELECT title, url, domain AS source_name, {_AT} FROM i WHERE doc_id % 10 <> 0"
+
+
+@query(_FEED)
+def source_feed(spark, sf_dir):
+    """Feed items (SC1); every tenth has no link and goes."""
+    return shown(landing.rss(spark, _feed_files(spark, sf_dir)), "title", "url", "source_name", "published")
+
+
+@query(_FEED)
+def stream_source_feed(spark, sf_dir):
+    """The same files read as a stream, a few a batch."""
+    found = seam.landed(spark, "feed", _feed_files(spark, sf_dir), stream=True, files_per_batch=4)
+    return shown(streams.drained(found, "append", graph.shared_folder(spark), f"feed_{uuid.uuid4().hex}"), "title", "url", "source_name", "published")
 
 
 @query(f"""WITH {_ITEMS}, r AS (SELECT title, url, 'query ' || payload AS query, 'T' || lpad((payload % 11)::VARCHAR, 2, '0') AS query_ticker, seen FROM i)
