@@ -87,15 +87,17 @@ FACTS = {
 }
 
 
-def page_facts(pages: DataFrame, known: DataFrame, most: int = 25) -> DataFrame:
+def page_facts(pages: DataFrame, known: DataFrame, most: int | None = 25) -> DataFrame:
     """(ticker, field, term): names that a company's pages give, of 4 characters and at most six words, that
-    are not known yet (EN2, TX20). ``pages`` has ticker, text."""
+    are not known yet (EN2, TX20). ``pages`` has ticker, text; without ``most`` all names of a field are given."""
     parts = [F.struct(F.lit(field).alias("field"), F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?i){p}"), F.lit(1)) for p in patterns])).alias("found")) for field, patterns in FACTS.items()]
     found = pages.select("ticker", F.explode(F.array(*parts)).alias("f")).select("ticker", "f.field", F.explode("f.found").alias("line"))
     terms = found.select("ticker", "field", F.explode(F.split("line", r"\s*(?:,|;|\||\band\b)\s*")).alias("term")).withColumn("term", F.trim("term"))
     good = terms.filter((F.length("term") >= 4) & (F.size(F.split("term", r"\s+")) <= 6)).withColumn("low", F.lower("term"))
     new = good.groupBy("ticker", "field", "low").agg(F.min("term").alias("term"), F.count("*").alias("n")).join(known.select("ticker", "field", F.lower("term").alias("low")), ["ticker", "field", "low"], "left_anti")
-    return new.withColumn("place", F.row_number().over(Window.partitionBy("ticker", "field").orderBy(F.desc("n"), "low"))).filter(F.col("place") <= most).select("ticker", "field", "term")
+    if most is not None:
+        new = new.withColumn("place", F.row_number().over(Window.partitionBy("ticker", "field").orderBy(F.desc("n"), "low"))).filter(F.col("place") <= most)
+    return new.select("ticker", "field", "term")
 
 
 def stale(profiles: DataFrame, enriched: DataFrame, today: Column, days: int = 30) -> DataFrame:
