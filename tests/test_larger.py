@@ -27,3 +27,9 @@ def compared(spark, tmp_path):
 def test_fact_terms_of_a_company_with_many(compared):
     got, want = compared("fact_terms", supplier="select s.* replace (k as s_suppkey, 3 as s_nationkey) from (from given limit 1) s, range(1200) r(k)")
     assert len(want) == 1202 and got == want
+
+
+def test_store_find_existing_with_many_of_a_key(compared):
+    orders = "select o.* replace (case when o_orderkey % 50 = 0 then 0 else 0 + 5500 * (o_orderkey % 3) end as o_custkey, timestamp '1996-03-01' as o_orderdate, 'F' as o_orderstatus) from given o"
+    got, want = compared("store_find_existing", orders=orders)
+    assert len(want) > 5 and got == want
