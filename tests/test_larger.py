@@ -33,3 +33,8 @@ def test_store_find_existing_with_many_of_a_key(compared):
     orders = "select o.* replace (case when o_orderkey % 50 = 0 then 0 else 0 + 5500 * (o_orderkey % 3) end as o_custkey, timestamp '1996-03-01' as o_orderdate, 'F' as o_orderstatus) from given o"
     got, want = compared("store_find_existing", orders=orders)
     assert len(want) > 5 and got == want
+
+
+def test_event_ids_in_each_year(compared):
+    got, want = compared("event_ids", documents="select * replace (doc_id * 301 as doc_id) from given")
+    assert len({w[1].split("-")[2] for w in want}) > 2 and got == want
