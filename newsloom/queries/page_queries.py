@@ -33,7 +33,7 @@ def _changed(spark, sf_dir, *pairs: tuple[str, str]):
     pages, markup = table(spark, sf_dir, "pages"), F.col("html")
     for old, new in pairs:
         markup = F.replace(markup, F.lit(old), F.lit(new))
-    return html.links(pages.withColumn("html", markup))
+    return html.links(pages.withColumn("html", markup), "page_id")
 
 
 @query(f"{_LINKS.format(changed='html')} SELECT page_id, link, anchor, count(*) AS n FROM a GROUP BY ALL")

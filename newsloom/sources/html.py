@@ -55,13 +55,16 @@ def anchors(base: str | None, page: str | None) -> Iterator[tuple[int, str, str]
 
 def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = [(base, *a) for base, page in zip(frame["url"], frame["html"]) for a in anchors(base, page)]
-        yield pd.DataFrame(rows, columns=["page_url", "place", "link", "anchor"])
+        rows = [(key, base, *a) for key, base, page in zip(frame["page"], frame["url"], frame["html"]) for a in anchors(base, page)]
+        yield pd.DataFrame(rows, columns=["page", "page_url", "place", "link", "anchor"])
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(page_url, place, link, anchor) of http anchors with text, absolute (HT1)."""
-    return pages.select("url", "html").mapInPandas(_anchors, "page_url string, place int, link string, anchor string").withColumn("anchor", text.clean_text(F.col("anchor")))
+def links(pages: DataFrame, key: str | None = None) -> DataFrame:
+    """(page_url, place, link, anchor) of http anchors with text, absolute (HT1). With ``key``, a column of the pages, there is also ``page``, its
+    value as a string, by which pages of one address are told apart."""
+    rows = pages.select(F.col(key or "url").cast("string").alias("page"), "url", "html")
+    found = rows.mapInPandas(_anchors, "page string, page_url string, place int, link string, anchor string").withColumn("anchor", text.clean_text(F.col("anchor")))
+    return found if key else found.drop("page")
 
 
 class PageLinks:
@@ -103,7 +106,8 @@ def soft_404(url: Column, html: Column) -> Column:
 def releases(found: DataFrame, least: int = 25) -> DataFrame:
     """Links of a government page that read like releases, one for each text and page (SC7)."""
     rows = found.withColumn("folded", text.fold(F.col("anchor"))).filter((F.length("anchor") >= least) & text.contains_any(F.col("folded"), RELEASE_HINTS))
-    return rows.groupBy("page_url", "folded").agg(F.min_by(F.struct("place", "link", "anchor"), "place").alias("l")).select("page_url", "l.link", "l.anchor")
+    page = [c for c in ("page", "page_url") if c in rows.columns]
+    return rows.groupBy(*page, "folded").agg(F.min_by(F.struct("place", "link", "anchor"), "place").alias("l")).select("page_url", "l.link", "l.anchor")
 
 
 def sections(found: DataFrame) -> DataFrame:

@@ -38,3 +38,9 @@ def test_store_find_existing_with_many_of_a_key(compared):
 def test_event_ids_in_each_year(compared):
     got, want = compared("event_ids", documents="select * replace (doc_id * 301 as doc_id) from given")
     assert len({w[1].split("-")[2] for w in want}) > 2 and got == want
+
+
+def test_page_releases_of_pages_with_one_address(compared):
+    pages = "select p.* replace (page_id + k * 100000 as page_id, case when k = 2 then replace(html, '</a>', ' x</a>') else html end as html) from given p, range(3) r(k)"
+    got, want = compared("page_releases", pages=pages)
+    assert len(want) > 20 and got == want
