@@ -8,7 +8,8 @@ still come lies within ``days`` of it. Nothing of the store is read: a ticker's
 
 Defined results: rows later than ``late`` behind the newest are dropped by the watermark; undated rows never match and must be split off
 (``streams.split_undated``); null keys are empty, null titles have no words; repeated rows change nothing a second
-time; a null ticker is a ticker, a null impact 0. A day of one ticker is held in memory when it is taken, its open stories by word."""
+time; a null ticker is a ticker, a null impact 0. Rows that wait are kept as they come, a piece for each Arrow batch and day, so that a batch is in
+memory at a time. A day of one ticker is held in memory when it is taken, its open stories by word."""
 
 from __future__ import annotations
 
@@ -111,7 +112,7 @@ class Shelf:
 
 
 class Stories(StatefulProcessor):
-    """Per ticker: rows that wait, by day, and open stories, by id. A timer at the end of each day takes its rows."""
+    """Per ticker: rows that wait, by day and piece, and open stories, by id. A timer at the end of each day takes its rows."""
 
     def __init__(self, days: int, similarity: float):
         self.days, self.similarity = days, similarity
@@ -119,32 +120,44 @@ class Stories(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         text_of = lambda name: StructType([StructField(name, StringType())])
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", text_of("day"), text_of("rows"))
+        self.waiting = handle.getMapState("waiting", text_of("piece"), text_of("rows"))  # by day/number
+        self.pieces = handle.getMapState("pieces", text_of("day"), text_of("n"))
         self.open = handle.getMapState("open", text_of("event_id"), text_of("story"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        by_day: dict[int, list] = {}
         for batch in rows:
+            by_day: dict[int, list] = {}
             for row in batch[ROW].to_dict("records"):
                 row |= {"words": list(row["words"]), "event_types": list(row["event_types"]), "has_official": bool(row["has_official"])}
                 by_day.setdefault(int(row["day"]), []).append(row)
-        for day, new in by_day.items():
-            before = self.waiting.getValue((str(day),)) if self.waiting.containsKey((str(day),)) else None
-            self.waiting.updateValue((str(day),), (json.dumps((json.loads(before[0]) if before else []) + new),))
-            self.handle.registerTimer((day + 1) * DAY_MS - 1)
+            for day, new in by_day.items():
+                n = self._pieces(day)
+                self.waiting.updateValue((f"{day}/{n}",), (json.dumps(new),))
+                self.pieces.updateValue((str(day),), (str(n + 1),))
+                if not n:
+                    self.handle.registerTimer((day + 1) * DAY_MS - 1)
         yield from ()
 
+    def _pieces(self, day: int) -> int:
+        return int(self.pieces.getValue((str(day),))[0]) if self.pieces.containsKey((str(day),)) else 0
+
+    def _taken(self, day: int) -> Iterator[dict]:
+        """The rows that wait for a day, which then wait no longer."""
+        for n in range(self._pieces(day)):
+            yield from json.loads(self.waiting.getValue((f"{day}/{n}",))[0])
+            self.waiting.removeKey((f"{day}/{n}",))
+        self.pieces.removeKey((str(day),))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         day = (expiredTimerInfo.getExpiryTimeInMs() + 1) // DAY_MS - 1
         stories = {k[0]: json.loads(v[0]) for k, v in self.open.iterator()}
         for event_id in [e for e, s in stories.items() if s["day"] + self.days < day]:  # no row of this day or later can continue it
             self.open.removeKey((event_id,))
             del stories[event_id]
-        if self.waiting.containsKey((str(day),)):
+        if self._pieces(day):
             shelf, changes = Shelf(stories, self.days, self.similarity), []
-            for row in sorted(json.loads(self.waiting.getValue((str(day),))[0]), key=lambda r: (r["at"], r["event_id"])):
+            for row in sorted(self._taken(day), key=lambda r: (r["at"], r["event_id"])):
                 changes += shelf.take(key[0], row)
-            self.waiting.removeKey((str(day),))
             for event_id in shelf.touched:
                 self.open.updateValue((event_id,), (json.dumps(shelf.stories[event_id]),))
                 self.handle.registerTimer((shelf.stories[event_id]["day"] + self.days + 2) * DAY_MS - 1)  # when it is dropped
