@@ -44,3 +44,32 @@ def test_page_releases_of_pages_with_one_address(compared):
     pages = "select p.* replace (page_id + k * 100000 as page_id, case when k = 2 then replace(html, '</a>', ' x</a>') else html end as html) from given p, range(3) r(k)"
     got, want = compared("page_releases", pages=pages)
     assert len(want) > 20 and got == want
+
+
+@pytest.mark.parametrize("key", ["k", ""])
+def test_equal_titles_are_scored_once(spark, key):
+    """Stored and incoming events with few titles: the ratio runs once for two titles, whether keys match or not."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from newsloom.operators import store
+
+    scored = spark.sparkContext.accumulator(0)
+
+    def ratio(a, b):
+        @F.udf("double")
+        def counted(x, y):
+            scored.add(1)
+            return 1.0 if x == y else 0.5
+
+        return counted(a, b)
+
+    titles = ["Acme wins solar order", "Acme opens solar plant"]
+    event = lambda n: (f"E{n:03d}", titles[n % 2], key, dt.date(2026, 9, 1) + dt.timedelta(days=n % 5), ["A"], ["T"])
+    kind = "event_id string, title string, cluster_key string, event_date date, event_types array<string>, tickers array<string>"
+    made = spark.createDataFrame([event(n) for n in range(120)], kind)
+    got = store.find_existing(made.filter("event_id >= 'E080'"), made.filter("event_id < 'E080'"), ratio=ratio).collect()
+    assert {(r["incoming_id"], r["event_id"]) for r in got} == {(f"E{n:03d}", f"E{n % 2:03d}") for n in range(80, 120)} and scored.value <= 8
+    scored_self = store.find_existing(made, made, ratio=ratio).filter("incoming_id in ('E000', 'E001', 'E002')").collect()
+    assert {(r["incoming_id"], r["event_id"]) for r in scored_self} == {("E000", "E002"), ("E001", "E003"), ("E002", "E000")}
