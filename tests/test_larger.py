@@ -73,3 +73,38 @@ def test_equal_titles_are_scored_once(spark, key):
     assert {(r["incoming_id"], r["event_id"]) for r in got} == {(f"E{n:03d}", f"E{n % 2:03d}") for n in range(80, 120)} and scored.value <= 8
     scored_self = store.find_existing(made, made, ratio=ratio).filter("incoming_id in ('E000', 'E001', 'E002')").collect()
     assert {(r["incoming_id"], r["event_id"]) for r in scored_self} == {("E000", "E002"), ("E001", "E003"), ("E002", "E000")}
+
+
+def test_copies_of_a_title_are_not_paired(compared, monkeypatch):
+    """Of one publisher's 600 copies of a title the survivors are found without listing their pairs."""
+    from newsloom.operators import dedup
+
+    rows, written = [], dedup.written
+
+    def counted(df):
+        made = written(df)
+        rows.append(made.count())
+        return made
+
+    monkeypatch.setattr(dedup, "written", counted)
+    documents = "select d.* replace (k as doc_id, 'src7' as source, d.text || repeat('x', (k % 4)::int) as text) from (from given order by doc_id limit 1) d, range(600) r(k)"
+    got, want = compared("dedup_near_full", documents=documents)
+    assert got == want and len(want) == 1 and max(rows) <= 600
+
+
+def test_pairs_of_copies_meet_once(compared, monkeypatch):
+    """All pairs of 300 copies and of titles near to them, in tiles; what meets by words are the different sets of words."""
+    from newsloom.operators import dedup
+
+    met, candidates = [], dedup.near_candidates
+
+    def counted(*args):
+        made = candidates(*args)
+        met.append(made.count())
+        return made
+
+    monkeypatch.setattr(dedup, "near_candidates", counted)
+    monkeypatch.setattr(dedup, "TILE", 40, raising=False)
+    documents = "select doc_id: k, d.* exclude (doc_id, source, text), source: 'src7', text: 'attion thanedble anea eriner thanea therhean esndha edenen' || case when k % 3 = 0 then ' eringble' else '' end from (from given limit 1) d, range(300) r(k)"
+    got, want = compared("dedup_near_jaccard", documents=documents)
+    assert got == want and len(want) == 300 * 299 // 2 and sum(met) <= 1
