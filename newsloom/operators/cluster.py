@@ -39,16 +39,26 @@ def prepared(articles: DataFrame, links: DataFrame) -> DataFrame:
 PAIR_COLUMNS = ["article_id", "tickers", "direct", "day", "words", "title_f", "deadlines", "categories", "is_official", "legal_notice"]
 
 
-def _candidates(rows: DataFrame, days: int, by_word: bool) -> DataFrame:
-    """Pairs of ids that share a ticker and lie in the same or the next stretch of days (and share a title word)."""
+def _candidates(rows: DataFrame, days: int, threshold: float | None = None) -> DataFrame:
+    """Pairs of ids that share a ticker and lie in the same or the next stretch of days. With a ``threshold``, those that share a title word,
+    lie within the days, and can reach it by the number of words that they share (at most one for each time they meet), whatever
+    else is gained; pairs are left out here, before anything else of the articles is joined to them."""
     stretch = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / (days + 1))
-    base = rows.select("article_id", F.explode("tickers").alias("ticker"), stretch.alias("bucket"), F.lit("").alias("word"))
-    if by_word:
-        base = rows.select("article_id", F.explode("words").alias("word"), "tickers", stretch.alias("bucket")).select("article_id", "word", "bucket", F.explode("tickers").alias("ticker"))
-    left = base.select(F.col("article_id").alias("a"), "ticker", "word", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("bucket").alias("own"))
-    right = base.select(F.col("article_id").alias("b"), "ticker", "word", "bucket")
-    met = left.join(right, ["ticker", "word", "bucket"]).filter((F.col("own") < F.col("bucket")) | (F.col("a") < F.col("b")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    base = rows.select("article_id", F.explode("tickers").alias("ticker"), stretch.alias("bucket"), F.lit("").alias("word"), "day", F.size("words").alias("n"), "is_official")
+    if threshold is not None:
+        base = rows.select("article_id", F.explode("words").alias("word"), "tickers", stretch.alias("bucket"), "day", F.size("words").alias("n"), "is_official").withColumn("ticker", F.explode("tickers")).drop("tickers")
+    left = base.select(F.col("article_id").alias("a"), "ticker", "word", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("bucket").alias("own"), "day", "n", "is_official")
+    right = base.select(F.col("article_id").alias("b"), "ticker", "word", "bucket", F.col("day").alias("day_b"), F.col("n").alias("m"), F.col("is_official").alias("official_b"))
+    met = left.join(right, ["ticker", "word", "bucket"]).filter(((F.col("own") < F.col("bucket")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")))
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    if threshold is None:
+        return met.select(*pair).distinct()
+    known = [F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"), (F.col("day") == F.col("day_b")).alias("same_day"), (F.col("is_official") | F.col("official_b")).alias("official")]
+    counted = met.filter(F.abs(F.datediff("day", "day_b")) <= days).groupBy(*pair, *known).agg(F.count("*").alias("times"))
+    common = F.least("times", "n")
+    gain = F.when(F.col("same_day"), DAY_BONUS).otherwise(0.0) + F.when(F.col("official"), OFFICIAL_BONUS).otherwise(0.0) + CATEGORY_BONUS + DIRECT_BONUS
+    most = similarity_of(common / (F.col("n") + F.col("m") - common), common / F.col("n"), F.lit(1.0)) + F.least(gain, F.lit(MOST_BONUS))
+    return counted.filter(most + 0.0002 >= threshold).select("a", "b")
 
 
 def scored_pairs(rows: DataFrame, ratio=sequence_ratio, threshold: float = THRESHOLD, days: int = WINDOW_DAYS, proceeding_days: int = PROCEEDING_DAYS) -> DataFrame:
@@ -56,9 +66,9 @@ def scored_pairs(rows: DataFrame, ratio=sequence_ratio, threshold: float = THRES
     the threshold unless both are notices about one company, which have a path of their own. Pairs whose words,
     title lengths and bonus already rule the threshold out are not returned."""
     most_without_words = 0.3 + MOST_BONUS
-    pairs = _candidates(rows, days, by_word=threshold > most_without_words + 0.0001)
+    pairs = _candidates(rows, days, threshold if threshold > most_without_words + 0.0001 else None)
     notices = rows.filter("legal_notice and size(direct) > 0")
-    pairs = pairs.unionByName(_candidates(notices, proceeding_days, by_word=False)).distinct()
+    pairs = pairs.unionByName(_candidates(notices, proceeding_days)).distinct()
     return _scored(pairs, rows, ratio, threshold, days, proceeding_days)
 
 
@@ -84,14 +94,16 @@ def _scored(pairs: DataFrame, rows: DataFrame, ratio, threshold: float, days: in
     return judged.select("a", "b", F.round(score, 4).alias("score")).withColumn("passes", F.col("score") >= threshold)
 
 
-def entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries, where): articles alike in every column that pairs are judged by are one entry, under their smallest
-    id, with ``n`` articles; ``where`` has (article_id, entry) of all."""
-    alike = [c for c in PAIR_COLUMNS if c != "article_id"]
-    keyed = rows.withColumn("_kind", F.sha2(F.to_json(F.struct(*alike)), 256))
-    made = keyed.groupBy("_kind").agg(F.min_by(F.struct(*[F.col(c) for c in PAIR_COLUMNS]), "article_id").alias("r"), F.count("*").alias("n"))
-    where = keyed.select("article_id", "_kind").join(made.select("_kind", F.col("r.article_id").alias("entry")), "_kind").select("article_id", "entry")
-    return made.select("r.*", "n"), where
+def kind_of() -> Column:
+    """A digest of every column that pairs are judged by."""
+    return F.sha2(F.to_json(F.struct(*[c for c in PAIR_COLUMNS if c != "article_id"])), 256)
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """Articles alike in every column that pairs are judged by (rows have ``_kind``, see ``kind_of``) are one entry, under their smallest
+    id, with ``n`` articles."""
+    made = rows.groupBy("_kind").agg(F.min_by(F.struct(*[F.col(c) for c in PAIR_COLUMNS]), "article_id").alias("r"), F.count("*").alias("n"))
+    return made.select("_kind", "r.*", "n")
 
 
 #: Entries and passing pairs of a cell; one day of a component is never cut.
@@ -196,15 +208,18 @@ def greedy(articles: DataFrame, entry_days: DataFrame, passing: DataFrame, size:
 
 def cluster(rows: DataFrame, ratio=sequence_ratio, threshold: float = THRESHOLD, days: int = WINDOW_DAYS, proceeding_days: int = PROCEEDING_DAYS, size: int = CELL) -> DataFrame:
     """(article_id, cluster_id, position) of every row; a cluster is named by its first article (CL2). Places in the order and
-    positions in clusters are numbered by range partitions, so that neither a component nor a cluster is one task's."""
-    table, where = (written(df) for df in entries(rows))
+    positions in clusters are numbered by range partitions, so that neither a component nor a cluster is one task's. What is needed of the rows
+    is written first: they are gone over again and again."""
+    rows = written(rows.select(*PAIR_COLUMNS, "source_type", "published", "title").withColumn("_kind", kind_of()))  # titles are folded once
+    table = written(entries(rows))
     single = {"ratio": ratio, "threshold": threshold, "days": days, "proceeding_days": proceeding_days}
     own = _scored(table.filter("n > 1").select(F.col("article_id").alias("a"), F.col("article_id").alias("b")), table, **single)
     passing = written(scored_pairs(table, **single).unionByName(own).filter("passes").select("a", "b", "score"))
     groups = components(passing.select("a", "b")).withColumnRenamed("node", "entry")
     paired = passing.select(F.explode(F.array("a", "b")).alias("entry")).distinct()
     entry_days = paired.join(groups, "entry", "left").join(table.select(F.col("article_id").alias("entry"), "day"), "entry").withColumn("component", F.coalesce("component", "entry"))
-    ordered = written(in_order(rows.select("article_id", *_order(rows)).join(where, "article_id"), ["_o1", "_o2", "_o3", "_o4", "article_id"]).select("article_id", "entry", "at"))
+    places = in_order(rows.select("article_id", "_kind", *_order(rows)), ["_o1", "_o2", "_o3", "_o4", "article_id"]).select("article_id", "_kind", "at")
+    ordered = written(places.join(table.select("_kind", F.col("article_id").alias("entry")), "_kind").select("article_id", "entry", "at"))
     made = numbered(greedy(ordered, written(entry_days), passing, size), ["c"], ["at"], "n").select("article_id", "cluster_id", (F.col("n") - 1).alias("position"))
     alone = rows.select("article_id").join(made, "article_id", "left_anti").select("article_id", F.col("article_id").alias("cluster_id"), F.lit(0).cast("long").alias("position"))
     return made.unionByName(alone)
@@ -214,9 +229,13 @@ def _lead_order() -> Column:
     return F.struct((~F.col("is_official")).alias("a"), (-quality_of(F.col("source_type"), RANKS)).alias("b"), (-F.length("title")).alias("c"), F.col("position"), F.col("article_id"))
 
 
+def _lead() -> Column:
+    return F.min_by(F.struct("article_id", "title", "summary", "source_name"), _lead_order()).alias("lead")
+
+
 def leads(members: DataFrame) -> DataFrame:
     """The lead of each cluster: official, trusted, longest title, first (CL3)."""
-    return members.groupBy("cluster_id").agg(F.min_by(F.struct("article_id", "title", "summary", "source_name"), _lead_order()).alias("lead"))
+    return members.groupBy("cluster_id").agg(_lead())
 
 
 def events(members: DataFrame) -> DataFrame:
@@ -226,22 +245,21 @@ def events(members: DataFrame) -> DataFrame:
     facts = members.groupBy("cluster_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("tickers")))).alias("tickers"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("direct")))).alias("direct"),
         F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["categories"]))).alias("all_categories"), F.min("day").alias("event_date"), F.count("*").alias("article_count"),
-        F.count_distinct("source_domain").alias("source_count"), F.bool_or("is_official").alias("has_official"), F.array_sort(F.collect_list(source)).alias("sources"),
+        F.count_distinct("source_domain").alias("source_count"), F.bool_or("is_official").alias("has_official"), F.array_sort(F.collect_list(source)).alias("sources"), _lead(),
     )
     real = F.filter("all_categories", lambda c: c != "OTHER")
-    out = facts.join(leads(members), "cluster_id")
     words = F.array_sort(F.slice(F.array_distinct(text.canonical_tokens(text.fold(F.col("lead.title")))), 1, 6))
     kinds = F.slice(F.when(F.size(real) > 0, real).otherwise(F.col("all_categories")), 1, 5)
     scope = F.when(F.size("direct") == 1, F.get("direct", F.lit(0))).when(F.size("tickers") == 1, F.get("tickers", F.lit(0))).otherwise("GLOBAL")
-    out = out.withColumns({"event_types": kinds, "title": F.col("lead.title"), "summary": F.substring("lead.summary", 1, 600), "primary_source": F.col("lead.source_name"), "scope": scope})
+    out = facts.withColumns({"event_types": kinds, "title": F.col("lead.title"), "summary": F.substring("lead.summary", 1, 600), "primary_source": F.col("lead.source_name"), "scope": scope})
     key = F.concat_ws("|", F.array_join("tickers", ","), F.array_join(F.slice(F.array_sort("event_types"), 1, 2), ","), F.array_join(words, " "))
     return out.withColumn("cluster_key", key).drop("lead", "all_categories")
 
 
 def with_ids(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """``event_id`` of scope, year and a sequence that goes on from the store's (CL5), in order of day and cluster. Rows are numbered by
-    range partitions, so that a busy scope's year is not one task's."""
-    rows = numbered(events.withColumn("year", F.year("event_date")), ["scope", "year"], ["event_date", "cluster_id"], "n")
+    range partitions, so that a busy scope's year is not one task's; they are written before, as ranges are found by a pass of their own."""
+    rows = numbered(written(events.withColumn("year", F.year("event_date"))), ["scope", "year"], ["event_date", "cluster_id"], "n")
     if stored is not None:
         last = stored.groupBy("scope", "year").agg(F.max("sequence").alias("last"))
         rows = rows.join(last, ["scope", "year"], "left").withColumn("n", F.col("n") + F.coalesce("last", F.lit(0)))
