@@ -108,3 +108,21 @@ def test_pairs_of_copies_meet_once(compared, monkeypatch):
     documents = "select doc_id: k, d.* exclude (doc_id, source, text), source: 'src7', text: 'attion thanedble anea eriner thanea therhean esndha edenen' || case when k % 3 = 0 then ' eringble' else '' end from (from given limit 1) d, range(300) r(k)"
     got, want = compared("dedup_near_jaccard", documents=documents)
     assert got == want and len(want) == 300 * 299 // 2 and sum(met) <= 1
+
+
+def test_pairs_that_share_too_few_words_are_left_out_first(compared, monkeypatch):
+    """Sixty titles of one company's days that share one word of eight: nothing else of them is joined; the pairs that pass do not change."""
+    from newsloom.operators import cluster
+
+    joined, scored = [], cluster._scored
+
+    def counted(pairs, *args, **more):
+        joined.append(pairs.count())
+        return scored(pairs, *args, **more)
+
+    monkeypatch.setattr(cluster, "_scored", counted)
+    far = "select k as doc_id, d.* exclude (doc_id, source, text), 'src7' as source, 'attion ' || array_to_string([chr(97 + (k % 26)::int) || chr((97 + k // 26)::int) || 'word' || chr(97 + j::int) for j in range(7)], ' ') as text from (from given limit 1) d, range(60) r(k)"
+    got, want = compared("cluster_pairs", documents=far)
+    assert got == want == [] and sum(joined) == 0
+    got, want = compared("cluster_pairs", documents=far.replace("k % 26", "k % 3"))
+    assert got == want and len(want) > 0
