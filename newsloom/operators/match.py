@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text
 from newsloom.operators import lexicon, phrases
+from newsloom.operators.graph import written
 
 # Collectors that fetch by company, so that their hint is known to be right.
 TRUSTED = ["nse", "bse", "company_ir"]
@@ -67,7 +68,12 @@ def hinted(texts: DataFrame, tickers: DataFrame) -> DataFrame:
 def entities(texts: DataFrame, aliases: DataFrame, names: DataFrame) -> DataFrame:
     """(article_id, ticker, alias, strength, in_headline): each company's best mention (EM1-EM6): a trusted
     hint; else the best alias (primary, headline, longer); else its first subsidiary or brand.
-    ``names`` has ticker, name, strength (subsidiary or brand), pos, excludes."""
+    ``names`` has ticker, name, strength (subsidiary or brand), pos, excludes. Texts without occurrences are gone over once for both
+    lexicons, and what was found is written, without the texts."""
+    if not set(SIDES) <= set(texts.columns):
+        whole = lexicon.marked(texts, ("text_f", "head_f"), (aliases, ("alias", "requires", "excludes")), (names, ("name", "excludes")))
+        if whole is not None:
+            texts = written(whole.select("article_id", "collector", "is_official", "tickers_hint", *SIDES))
     known = hinted(texts, aliases)
     hits = alias_hits(texts, aliases).filter("reason is null")
     order = F.struct((~F.col("is_primary")).alias("a"), (~F.col("in_headline")).alias("b"), (-F.length("alias")).alias("c"), F.col("alias"))

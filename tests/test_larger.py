@@ -126,3 +126,18 @@ def test_pairs_that_share_too_few_words_are_left_out_first(compared, monkeypatch
     assert got == want == [] and sum(joined) == 0
     got, want = compared("cluster_pairs", documents=far.replace("k % 26", "k % 3"))
     assert got == want and len(want) > 0
+
+
+def test_entities_go_over_texts_once(compared, monkeypatch):
+    """Aliases and further names are found in one pass over the texts."""
+    from newsloom.operators import lexicon
+
+    passes, marked = [], lexicon.marked
+
+    def counted(*args):
+        passes.append(args)
+        return marked(*args)
+
+    monkeypatch.setattr(lexicon, "marked", counted)
+    got, want = compared("entity_fallback")
+    assert got == want and len(want) > 50 and len(passes) == 1
