@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, urls
-from newsloom.operators import cluster, dedup, direction, graph, impact, isolation, lexicon, normalize, report, store
+from newsloom.operators import cluster, dedup, direction, graph, impact, isolation, lexicon, normalize, report, store, wording
 
 FLAGS = ["speculative", "opinion", "routine_release", "market_chatter", "listing_page", "recruitment", "research_report"]
 
@@ -62,23 +62,29 @@ def assess(facts: DataFrame, links: DataFrame, stored: DataFrame | None = None,
     missing = {f: F.lit(False) for f in [*FLAGS, "legal_notice", "official_language"] if f not in facts.columns}
     facts = facts.withColumns(missing).withColumn("source_name", F.coalesce("source_name", "source_domain") if "source_name" in facts.columns else F.col("source_domain"))
     rows = graph.written(cluster.prepared(facts, links))
-    members = graph.written(rows.join(cluster.cluster(rows), "article_id"))
+    members = graph.written(rows.drop("text_f").join(cluster.cluster(rows), "article_id"))
     events = cluster.with_ids(cluster.events(members))
     before = earlier_flags(events, stored, sources, markers or {}) if stored is not None and sources is not None else None
     flags = cluster.suppressive_flags(members, FLAGS, before)
-    first = members.groupBy("cluster_id").agg(F.min_by("head_f", "position").alias("head_f"), F.min_by("text_f", "position").alias("text_f"), F.bool_or("official_language").alias("official_language"))
-    strongest = cluster.strongest_links(members, links).select("cluster_id", "ticker", "relationship", "rank", "evidence_weight", "international", "in_headline", "exposures", F.col("reasons").alias("link_reasons"))
+    spoken = members.groupBy("cluster_id").agg(F.bool_or("official_language").alias("official_language"))
+    strongest = graph.written(cluster.strongest_links(members, links).select("cluster_id", "ticker", "relationship", "rank", "evidence_weight", "international", "in_headline", "exposures", F.col("reasons").alias("link_reasons")))
+    # a cluster is named by its first article, whose texts are asked once and not for each company
+    first = rows.select(F.col("article_id").alias("cluster_id"), "head_f", "text_f").join(members.select("cluster_id"), "cluster_id", "left_semi").dropDuplicates(["cluster_id"])
+    first = graph.written(wording.worded(first))
+    asked = strongest.select("cluster_id", direction.anchor_term().alias("_anchor")).filter("_anchor is not null").distinct()
+    placed = wording.anchored(asked.join(first.filter(wording.torn("head") | wording.torn("body")), "cluster_id"), F.col("_anchor")).select("cluster_id", "_anchor", "w_head_at", "w_body_at")
     kinds = events.select("event_id", "cluster_id", "title", "event_date", F.col("event_types").alias("categories"), F.array_distinct(F.transform("sources", lambda s: s["source_type"])).alias("source_types"), F.col("source_count").cast("int").alias("n_sources"), "has_official")
-    both = strongest.join(kinds, "cluster_id").join(flags, "cluster_id").join(first, "cluster_id")
+    both = strongest.join(kinds, "cluster_id").join(flags, "cluster_id").join(spoken, "cluster_id").join(first, "cluster_id")
+    both = both.withColumn("_anchor", direction.anchor_term()).join(placed, ["cluster_id", "_anchor"], "left").drop("_anchor")
     lenders = profiles.select("ticker", F.regexp_like(F.lower("industry"), F.lit("bank|financial")).alias("is_lender")) if profiles is not None else None
     both = both.join(lenders, "ticker", "left") if lenders is not None else both.withColumn("is_lender", F.lit(False))
     both = both.withColumns({"is_international": F.col("international"), "is_update": F.lit(False), "is_lender": F.coalesce("is_lender", F.lit(False))})
     scored = direction.with_direction(impact.scored(both))
-    major = text.has_magnitude(F.concat_ws(" ", "head_f", "text_f"))
-    value = impact.confidence(F.col("source_types"), F.col("n_sources"), F.col("rank"), major, F.col("speculative"), F.col("opinion"))
+    value = impact.confidence(F.col("source_types"), F.col("n_sources"), F.col("rank"), F.col("w_major"), F.col("speculative"), F.col("opinion"))
     impacts = impact.business_impacts(F.col("categories"))
     out = scored.withColumns({"confidence": value, "horizon": impact.time_horizon(F.col("categories"), F.col("relationship")), "impacts": impacts, "watch_next": impact.watch_next(F.col("categories"))})
-    return out.withColumn("why", impact.why_it_matters(F.col("relationship"), F.col("categories"), F.col("impacts")))
+    out = out.withColumn("why", impact.why_it_matters(F.col("relationship"), F.col("categories"), F.col("impacts")))
+    return out.drop(*wording.COLUMNS, "w_head_at", "w_body_at")
 
 
 def fresh_articles(landed: DataFrame, seen: DataFrame, domains: DataFrame, now, hours: int = 36) -> DataFrame:
