@@ -12,6 +12,7 @@ exclusive; phrases that are equal when folded are one phrase."""
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cached_property
 
 import ahocorasick
@@ -93,20 +94,28 @@ class Automaton:
         return found
 
 
+def marks_of(automaton: Automaton, texts: pa.Array) -> pa.Array:
+    """The occurrences in each of a batch's folded texts. They are kept as numbers of four bytes, and a text is a Python string only
+    while it is gone over, so that a batch of texts full of phrases takes little more than its own size."""
+    offsets, starts, ends, numbers = (array("i") for _ in range(4))
+    offsets.append(0)
+    for cell in texts:
+        for start, end, number in automaton.occurrences(cell.as_py()):
+            starts.append(start)
+            ends.append(end)
+            numbers.append(number)
+        offsets.append(len(numbers))
+    offsets, starts, ends, numbers = (pa.Array.from_buffers(pa.int32(), len(a), [None, pa.py_buffer(a)]) for a in (offsets, starts, ends, numbers))
+    spans = pa.StructArray.from_arrays([pa.array(automaton.phrases, pa.string()).take(numbers), starts, ends], names=["phrase", "start", "end"])
+    return pa.ListArray.from_arrays(offsets, spans)
+
+
 def marks(sent: Broadcast, folded: Column) -> Column:
     """The occurrences in a column of folded texts of the phrases of an automaton that was sent to the tasks."""
 
     @F.arrow_udf(MARKS)
     def mark(texts: pa.Array) -> pa.Array:
-        automaton = sent.value
-        offsets, rows = [0], []
-        for cell in texts:
-            rows += automaton.occurrences(cell.as_py())
-            offsets.append(len(rows))
-        starts, ends, numbers = zip(*rows) if rows else ((), (), ())
-        names = pa.array(automaton.phrases, pa.string()).take(pa.array(numbers, pa.int64()))
-        spans = pa.StructArray.from_arrays([names, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["phrase", "start", "end"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
+        return marks_of(sent.value, texts)
 
     return mark(folded)
 

@@ -1,10 +1,13 @@
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
 from newsloom.operators import lexicon, match, phrases
+from newsloom.queries.base import rows_of
 
 
 def brute(folded, items):
@@ -70,3 +73,24 @@ def test_no_pattern_is_a_column(spark):
     found = match.free(folded(spark, "word more"), terms, "term")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "(?<![a-z0-9])" not in plan and "n_words" not in plan
+
+
+def test_a_batch_full_of_phrases_takes_little_memory():
+    """300,000 occurrences in 300 texts: some 16 bytes each beside the result, not Python objects; what is found is the same."""
+    automaton = phrases.Automaton(["the", "of the", "steel"])
+    texts = pa.array(["of the " * 500, None, "", *["the plain word " * 1000] * 300])
+    phrases.marks_of(automaton, texts[:4])
+    tracemalloc.start()
+    found = phrases.marks_of(automaton, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(found.flatten()) and len(found.flatten()) == 1000 + 300_000
+    assert found.to_pylist()[3] == [{"phrase": "the", "start": 15 * k, "end": 15 * k + 3} for k in range(1000)] and found.to_pylist()[1:3] == [[], []]
+
+
+def test_fixed_rows_start_no_python(spark):
+    rows = rows_of(spark, [("T1", None, ["a", "b"], 1.5), ("T2", "x", [], None)], "ticker string, role string, excludes array<string>, w double")
+    assert [tuple(r) for r in rows.collect()] == [("T1", None, ["a", "b"], 1.5), ("T2", "x", [], None)]
+    assert "LocalRelation" in rows._jdf.queryExecution().optimizedPlan().toString()
+    none = rows_of(spark, [], "ticker string, pos int")
+    assert none.count() == 0 and none.dtypes == [("ticker", "string"), ("pos", "int")]
