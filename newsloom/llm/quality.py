@@ -7,9 +7,10 @@ model is trained on the trusted texts (those labelled good) but for one in ``HEL
 Counts are sharded by the two characters before an n-gram's last one, which the contexts of all its orders above
 the second share: a shard has all counts, continuation counts and back-off weights of those orders. The two lowest orders are
 one dense table of a fixed size. Tasks send their counts to the shards as packed, sorted arrays. Documents are dealt into blocks in
-turn; a block packs its texts once, asks each shard for the different n-grams that occur in it, and gets their
-probabilities in the same order. A shard's requests are answered one by one, after its counts were read; a shard is
-repeated for each ``ANSWERS`` blocks. So no task holds more than a shard's counts and a request, or a block's texts and answers.
+turn; a block packs its texts once, asks each shard for the different n-grams that occur in it, and gets them back with
+their probabilities. A shard's requests are answered one by one, after its counts were read; a shard is
+repeated for each ``ANSWERS`` blocks. So no task holds more than a shard's counts and a request, or a block's packed texts, its
+different n-grams with their answers, and what one part of its texts unpacks to.
 
 A document's perplexity is per character. It is judged as if the text had ``PRIOR_CHARS`` characters more
 at its language's median, as short texts vary more. A document is rejected if that is above an upper quantile of its
@@ -32,6 +33,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -117,13 +119,17 @@ def unpack_grams(raw: bytes) -> np.ndarray:
 
 def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
     """The shard of the two characters before the last one."""
-    pair = (codes >> SYMBOL_BITS) & (SYMBOLS**2 - 1)
-    return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
+    pair = codes >> SYMBOL_BITS
+    pair &= SYMBOLS**2 - 1
+    mixed = pair.view(np.uint64)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed >>= np.uint64(33)
+    return mixed.view(np.int64) % shards
 
 
 def _by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """(order that puts codes shard by shard, still ascending; where each shard ends)."""
-    of = shard_of(codes, shards)
+    of = shard_of(codes, shards).astype(np.int16)  # sorted by digits
     return np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=shards))
 
 
@@ -135,6 +141,17 @@ def merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _added(codes: np.ndarray, counts: np.ndarray, new: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``merged`` of ascending codes with a few ascending new ones, without sorting all; ``counts`` is changed in place."""
+    at = np.searchsorted(codes, new)
+    known = at < len(codes)
+    known[known] = codes[at[known]] == new[known]
+    counts[at[known]] += times[known]
+    if known.all():
+        return codes, counts
+    return np.insert(codes, at[~known], new[~known]), np.insert(counts, at[~known], times[~known])
+
+
 def _message(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=[x.split()[0] for x in MESSAGE.split(", ")])
@@ -183,7 +200,7 @@ def _trained(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
     for batch in batches:
         for part in _parts(batch.column(0).to_pylist()):
             new, times = np.unique(grams(part)[0], return_counts=True)
-            codes, counts = merged(np.concatenate([codes, new]), np.concatenate([counts, times]))
+            codes, counts = _added(codes, counts, new, times)
             if len(codes) > HELD_GRAMS:
                 yield from sent()
                 codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -271,26 +288,26 @@ def low_orders(counts: DataFrame) -> tuple[dict[int, list[float]], np.ndarray]:
     return cuts, smoothed(pairs, single).astype(np.float32).ravel()
 
 
-def _block_grams(docs: pa.Table) -> tuple[np.ndarray, list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
-    """(different n-grams of a block, ascending; for each of its rows, of each part of its texts: the part's different
-    n-grams, which of them ends at each character, and the texts' lengths)."""
-    rows, found, waiting = [], [np.zeros(0, np.int64)], 0
-    for row in docs.to_pylist():
-        rows.append([])
-        for part in _parts(_texts(row)):
-            codes, lengths = grams(part)
-            own, place = np.unique(codes, return_inverse=True)
-            rows[-1].append((own, place.astype(np.int32), lengths))
-            found.append(own)
-            waiting += len(own)
-            if waiting > HELD_GRAMS:
-                found, waiting = [np.unique(np.concatenate(found))], 0
-    return np.unique(np.concatenate(found)), rows
+def _block_parts(docs: pa.Table) -> Iterator[list[str]]:
+    """The texts of a block part by part; one row of it is unpacked at a time."""
+    for k in range(docs.num_rows):
+        yield from _parts(_texts(docs.slice(k, 1).select(["sizes", "texts"]).to_pylist()[0]))
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    codes = np.sort(codes)
+    return codes[np.flatnonzero(np.diff(codes, prepend=-1))]
 
 
 def _asked(docs: pa.Table, shards: int) -> pa.Table:
     """A block's requests to the shards."""
-    codes, rows = _block_grams(docs)[0], []
+    codes, found, waiting = np.zeros(0, np.int64), [], 0
+    for part in _block_parts(docs):
+        found.append(_distinct(grams(part)[0]))
+        waiting += len(found[-1])
+        if waiting > PART_CHARS:
+            codes, found, waiting = _distinct(np.concatenate([codes, *found])), [], 0
+    codes, rows = _distinct(np.concatenate([codes, *found])), []
     order, ends = _by_shard(codes, shards)
     block = docs["block"][0].as_py() if docs.num_rows else 0
     for shard, (low, high) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
@@ -312,31 +329,30 @@ def _answered(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
                 continue
             logs = shard.log_probabilities(unpack_grams(codes), cuts, pairs).astype(np.float16)
             raw = zstandard.compress(np.ascontiguousarray(logs[:, None].view(np.uint8).T).tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([number], pa.int32()), pa.array([raw], pa.binary())], names=["block", "shard", "logs"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([codes], pa.binary()), pa.array([raw], pa.binary())], names=["block", "grams", "logs"])
 
 
-def _scores(docs: pa.Table, answers: pa.Table, shards: int) -> pa.Table:
+def _scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Log-probability of every text of one block, from the shards' answers."""
-    codes, rows = _block_grams(docs)
-    order, ends = _by_shard(codes, shards)
-    logs = np.zeros(len(codes), dtype=np.float32)
-    for row in answers.to_pylist():
-        high = int(ends[row["shard"]])
+    codes, logs = [np.zeros(0, np.int64)], [np.zeros(0, np.float16)]
+    for k in range(answers.num_rows):
+        row = answers.slice(k, 1).to_pylist()[0]
         planes = np.frombuffer(zstandard.decompress(row["logs"]), dtype=np.uint8).reshape(2, -1)
-        own = np.ascontiguousarray(planes.T).view(np.float16).ravel()
-        logs[order[high - len(own) : high]] = own
-    out = [[], [], [], [], [], []]
-    for row, parts in zip(docs.select(["doc_ids", "hashes", "langs", "good"]).to_pylist(), rows):
-        totals, sizes = [], []
-        for own, place, lengths in parts:
-            running = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(codes, own)][place], dtype=np.float64)])
-            at = np.cumsum(lengths)
-            totals += (running[at] - running[at - lengths]).tolist()
-            sizes += lengths.tolist()
-        for column, new in zip(out, (row["doc_ids"], row["hashes"], row["langs"], row["good"], totals, sizes)):
-            column += new
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64()]
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "text_hash", "lang", "good", "total", "chars"), out, kinds)})
+        codes.append(unpack_grams(row["grams"]))
+        logs.append(np.ascontiguousarray(planes.T).view(np.float16).ravel())
+    codes, logs = np.concatenate(codes), np.concatenate(logs)
+    order = np.argsort(codes)
+    codes, logs = codes[order], logs[order].astype(np.float32)
+    totals, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for part in _block_parts(docs):
+        asked, lengths = grams(part)
+        own, place = np.unique(asked, return_inverse=True)
+        running = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(codes, own)][place], dtype=np.float64)])
+        at = np.cumsum(lengths)
+        totals.append(running[at] - running[at - lengths])
+        sizes.append(lengths)
+    kept = {new: pc.list_flatten(docs[name]) for new, name in (("doc_id", "doc_ids"), ("text_hash", "hashes"), ("lang", "langs"), ("good", "good"))}
+    return pa.table(kept | {"total": pa.array(np.concatenate(totals)), "chars": pa.array(np.concatenate(sizes))})
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -367,8 +383,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     copies = F.explode(F.sequence(F.lit(0), F.lit(blocks // ANSWERS)))
     rows = asked.withColumn("copy", F.floor(F.col("block") / ANSWERS).cast("int")).unionByName(counts.withColumn("copy", copies))
     sorted_rows = rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind").select("shard", "copy", "kind", "block", "grams", "numbers")
-    answers = sorted_rows.mapInArrow(lambda b: _answered(b, sent), "block int, shard int, logs binary")
-    made = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _scores(d, a, shards), "doc_id long, text_hash long, lang string, good int, total double, chars long")
+    answers = sorted_rows.mapInArrow(lambda b: _answered(b, sent), "block int, grams binary, logs binary")
+    made = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores, "doc_id long, text_hash long, lang string, good int, total double, chars long")
     any_model = not counts.isEmpty()
     log_ppl = F.when((F.col("chars") > 0) & F.lit(any_model), -F.col("total") / F.col("chars"))
     return stored(made.select("doc_id", "text_hash", "lang", ((F.col("good") == 1) & held).alias("held"), "chars", log_ppl.alias("log_ppl")))

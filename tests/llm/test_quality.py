@@ -1,9 +1,12 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from newsloom.llm import quality
@@ -136,3 +139,54 @@ def test_a_language_needs_so_many_held_out_texts(spark):
     scored = spark.createDataFrame(rows, "doc_id long, lang string, held boolean, chars long, log_ppl double")
     assert {(r["every"], r["lang"]) for r in quality.limits(scored).collect()} == {(False, "enough"), (True, None)}
     assert quality.limits(scored.filter("lang = 'few'")).count() == 0
+
+
+def peak(job):
+    """(what ``job`` returns, MB that it held at most besides Arrow's)."""
+    tracemalloc.start()
+    try:
+        return job(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def packed_block(rows):
+    """A block of ``rows`` rows of two texts with the same n-grams."""
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("ab ") for _ in range(n)) for n in (100_000, 150_000)]
+    raw = zstandard.compress("".join(texts).encode(), 3)
+    columns = [[0] * rows, [[2 * k, None] for k in range(rows)], [[7, 8]] * rows, [["en", None]] * rows, [[0, 1]] * rows, [[len(t) for t in texts]] * rows, [raw] * rows]
+    kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+    return texts, pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in quality.BLOCK.split(", ")])
+
+
+def test_memory_of_a_block_is_that_of_one_part():
+    """Twelve times the texts with the same n-grams need no more memory, neither to ask nor to score."""
+    (texts, small), (_, large) = packed_block(2), packed_block(24)
+    asked, few = peak(lambda: quality._asked(small, 16))
+    again, many = peak(lambda: quality._asked(large, 16))
+    assert again.equals(asked) and many < 1.3 * few
+    codes = np.concatenate([quality.unpack_grams(x) for x in asked["grams"].to_pylist()])
+    assert sorted(codes.tolist()) == sorted(set(quality.grams(texts)[0].tolist()))
+    logs = lambda c: -(c % 7 + 1).astype(np.float16)
+    raw = [zstandard.compress(np.ascontiguousarray(logs(quality.unpack_grams(x))[:, None].view(np.uint8).T).tobytes()) for x in asked["grams"].to_pylist()]
+    answers = pa.table({"block": pa.array([0] * len(raw), pa.int32()), "grams": asked["grams"], "logs": pa.array(raw, pa.binary())})
+    few = peak(lambda: quality._scores(small, answers))[1]
+    got, many = peak(lambda: quality._scores(large, answers))
+    assert many < 1.3 * few
+    totals = [float(logs(quality.grams([t])[0]).astype(np.float64).sum()) for t in texts]
+    assert got["total"].to_pylist() == totals * 24 and got["chars"].to_pylist() == [100_000, 150_000] * 24
+    assert got["doc_id"].to_pylist() == [x for k in range(24) for x in (2 * k, None)] and got["lang"].to_pylist() == ["en", None] * 24
+    assert got["good"].to_pylist() == [0, 1] * 24 and got["text_hash"].to_pylist() == [7, 8] * 24
+
+
+def test_counts_are_added_as_merged_ones():
+    draw = np.random.default_rng(6)
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for top in (0, 50, 50, 5000, 1 << 60):
+        new, times = np.unique(draw.integers(0, top + 1, 400 if top else 0), return_counts=True)
+        want = quality.merged(np.concatenate([codes, new]), np.concatenate([counts, times]))
+        codes, counts = quality._added(codes, counts, new, times)
+        assert codes.tolist() == want[0].tolist() and counts.tolist() == want[1].tolist()
+    pairs = [(int(c) >> quality.SYMBOL_BITS) % quality.SYMBOLS**2 for c in codes]
+    assert quality.shard_of(codes, 4096).tolist() == [(p * 0x9E3779B97F4A7C15 % 2**64 >> 33) % 4096 for p in pairs]
